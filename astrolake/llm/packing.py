@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-FLUSH_BYTES = 32 << 20
+FLUSH_BYTES = 8 << 20
 
 BLOB_SCHEMA = "bucket long, blob binary"
 BLOB_ARROW = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])

@@ -10,6 +10,20 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _fold(column: str, n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; rows of fold 0 of 5 teach nothing."""
+    from astrolake.llm import toxicity
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"), _fold("_id", 5) != 0)
+    return toxicity.scored(docs, model).select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-word shingle sets of all documents, joined at a similarity of 0.75, as components."""
     from astrolake.llm.jaccard_join import jaccard_components
@@ -46,6 +60,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_jaccard_join, op7_suffix_dedup, op8_decontamination)}
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; rows of fold 2 of 4 teach nothing."""
+    from astrolake.llm import pu_quality
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pu_quality.train(docs, _read(spark, sf_dir, "labels"), _fold("_id", 4) != 2)
+    return pu_quality.scored(docs, model).select("doc_id", (_fold("doc_id", 4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= pu_quality.CUT).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_jaccard_join, op7_suffix_dedup, op8_decontamination, op9_pu_quality)}
 
 ORACLE_SQL: dict[str, str] = {}

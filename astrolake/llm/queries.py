@@ -69,6 +69,14 @@ def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.scored(docs, model).select("doc_id", (_fold("doc_id", 4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= pu_quality.CUT).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_jaccard_join, op7_suffix_dedup, op8_decontamination, op9_pu_quality)}
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document for sources weighted 5, 2, 1 in turn."""
+    from astrolake.llm import source_mix
 
-ORACLE_SQL: dict[str, str] = {}
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return source_mix.mix(docs).select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_jaccard_join, op7_suffix_dedup, op8_decontamination, op9_pu_quality, op10_source_mix)}
+
+from astrolake.llm.sql import ORACLE_SQL  # noqa: E402, F401

@@ -24,6 +24,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that is made of control strings, formatted and read back."""
+    from astrolake.llm import chat_format
+
+    given = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_format.digest(chat_format.windows(given.unionByName(more)))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-word shingle sets of all documents, joined at a similarity of 0.75, as components."""
     from astrolake.llm.jaccard_join import jaccard_components
@@ -77,6 +87,6 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(docs).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_jaccard_join, op7_suffix_dedup, op8_decontamination, op9_pu_quality, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat_format, op4_jaccard_join, op7_suffix_dedup, op8_decontamination, op9_pu_quality, op10_source_mix)}
 
 from astrolake.llm.sql import ORACLE_SQL  # noqa: E402, F401

@@ -41,6 +41,24 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+#: The rules (host, path, verdict) of the contract.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL, by rules and by path templates."""
+    from astrolake.llm.url_templates import judged
+
+    return judged(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+def op6_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest of every fiftieth vector by cosine."""
+    from astrolake.llm.ann_search import neighbours
+
+    return neighbours(_read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each document left once 50-byte strings of smaller documents are removed."""
     from astrolake.llm.suffix_dedup import remove_repeats
@@ -87,6 +105,6 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(docs).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat_format, op4_jaccard_join, op7_suffix_dedup, op8_decontamination, op9_pu_quality, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat_format, op4_jaccard_join, op5_url_templates, op6_projection_ann, op7_suffix_dedup, op8_decontamination, op9_pu_quality, op10_source_mix)}
 
 from astrolake.llm.sql import ORACLE_SQL  # noqa: E402, F401

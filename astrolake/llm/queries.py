@@ -34,6 +34,13 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.windows(given.unionByName(more)))
 
 
+def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summed conditional log-probabilities of every document's tokens."""
+    from astrolake.llm.pseudo_likelihood import scored
+
+    return scored(_read(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-word shingle sets of all documents, joined at a similarity of 0.75, as components."""
     from astrolake.llm.jaccard_join import jaccard_components
@@ -105,6 +112,6 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(docs).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat_format, op4_jaccard_join, op5_url_templates, op6_projection_ann, op7_suffix_dedup, op8_decontamination, op9_pu_quality, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_pseudo_likelihood, op4_jaccard_join, op5_url_templates, op6_projection_ann, op7_suffix_dedup, op8_decontamination, op9_pu_quality, op10_source_mix)}
 
 from astrolake.llm.sql import ORACLE_SQL  # noqa: E402, F401

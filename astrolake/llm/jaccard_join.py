@@ -65,7 +65,7 @@ def signature(tokens: np.ndarray) -> int:
     if not len(tokens):
         return 0
     a = textops.mix(tokens + np.uint64(len(tokens)))
-    h = textops.mix(np.array([a.sum(dtype=np.uint64) ^ (np.bitwise_xor.reduce(tokens) * np.uint64(3))], np.uint64))[0]
+    h = textops.mix(np.array([a.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(textops.mix(tokens))], np.uint64))[0]
     return int(np.int64(np.uint64(h).view(np.int64))) or 1
 
 

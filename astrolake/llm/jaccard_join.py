@@ -41,7 +41,7 @@ from astrolake.llm import packing, textops
 
 K, THRESHOLD = 5, 75
 #: Entries up to this many members yield all their pairs at once.
-SMALL = 8
+SMALL = 16
 #: A token in at least this many sets is frequent, unless the list would not fit.
 FREQUENT = 16
 MAX_FREQUENT = 1 << 20
@@ -106,8 +106,8 @@ def node_table(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n long, node long, sketch binary")
 
 
-def frequent_tokens(texts: DataFrame, k: int, n_buckets: int, least: int, most: int) -> np.ndarray:
-    """Sorted 40-bit token classes whose exact document count is at least ``least`` (or more, so that ``most`` fit)."""
+def frequent_tokens(texts: DataFrame, k: int, n_buckets: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 40-bit tokens whose exact document count is at least ``least`` (or more, so that ``most`` fit), and the counts' powers of two in quarters."""
 
     def count(batches):
         held, size = [], 0
@@ -145,8 +145,10 @@ def frequent_tokens(texts: DataFrame, k: int, n_buckets: int, least: int, most:
             break
         fit -= bins[b]
         cut = 2 ** (b + 1)
-    tokens = counted.where(F.col("df") >= cut).select("token").toArrow().column("token").to_numpy()
-    return np.sort(tokens.view(np.uint64))
+    found = counted.where(F.col("df") >= cut).select("token", F.floor(F.log2("df") * 4).cast("short").alias("bin")).toArrow()
+    tokens = found.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], found.column("bin").to_numpy()[order].astype(np.uint8)
 
 
 def level(n: int, threshold: int = THRESHOLD) -> int:
@@ -154,11 +156,9 @@ def level(n: int, threshold: int = THRESHOLD) -> int:
     return int(np.floor(np.log(n) / np.log(100 / threshold) + 1e-9)) if n else 0
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
-    """Index keys of a set: rare tokens of the prefix, and pairs within classes of frequent ones."""
+def index_keys(tokens: np.ndarray, frequent: np.ndarray, bins: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, float]:
+    """Index keys of a set (rare tokens of the prefix, and pairs within classes of frequent ones), and its share of rare tokens."""
     n = len(tokens)
-    if not n:
-        return tokens
     need = n - needed(n, threshold) + 1
     short = tokens >> _CUT
     if len(frequent):
@@ -169,12 +169,13 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, threshold: int = THRESH
         often = np.zeros(n, bool)
     rare = tokens[~often]
     if len(rare) >= need:
-        return rare[:need]
+        return rare[:need], len(rare) / n
     keys, rest, common = [rare], need - len(rare), tokens[often]
+    common = common[np.lexsort((common, bins[slot[often]]))]
     own = level(n, threshold)
     for lv in (own, own - 1):
         classes = max(1, int((100 / threshold) ** lv * (100 - threshold) / 100 / 4))
-        # order within the frequent: by hash; the class by other bits
+        # the less frequent come first, then by hash; the class is by other bits
         kind = (textops.mix(common) % np.uint64(classes)).astype(np.int64)
         seen: dict[int, list[int]] = {}
         left = rest
@@ -191,75 +192,78 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, threshold: int = THRESH
         if left > 0:
             # all of a set's frequent tokens are in the prefix and the classes still lose too much: index them singly as well
             keys.append(common)
-    return np.unique(np.concatenate(keys))
+    return np.unique(np.concatenate(keys)), len(rare) / n
 
 
-def candidates(texts: DataFrame, frequent: np.ndarray, k: int, n_buckets: int, threshold: int) -> DataFrame:
+def candidates(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, n_buckets: int, threshold: int, small: int = SMALL) -> DataFrame:
     """Candidate rows: kind 0 a pair (a, b); kind 1 a member a of the large entry b."""
     held_frequent = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches):
-        often = held_frequent.value
-        keys, owners, nodes, sizes, seen, size = [], [], [], [], set(), 0
+        often, bins = held_frequent.value
+        keys, owners, nodes, sizes, shares, seen, size = [], [], [], [], [], set(), 0
 
         def flush():
             key, owner = np.concatenate(keys) >> _CUT, np.concatenate(owners)
-            node, n = np.array(nodes, np.int64), np.array(sizes, np.int64)
+            node, n, share = np.array(nodes, np.int64), np.array(sizes, np.int64), np.array(shares, np.uint16)
             order = np.argsort(key, kind="stable")
             key, owner = key[order], owner[order]
             bucket = ((key >> np.uint64(8)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
             for b, s in packing.by_bucket(bucket):
                 used, local = np.unique(owner[s], return_inverse=True)
-                yield b, packing.pack(packing.delta(key[s]), local.astype(np.uint32), node[used], n[used])
+                yield b, packing.pack(packing.delta(key[s]), local.astype(np.uint32), node[used], n[used], share[used])
 
         for part, sets in _sets(batches, "t", k):
             for s in sets:
                 node = signature(s)
                 if len(s) and node not in seen:
                     seen.add(node)
-                    found = index_keys(s, often, threshold)
+                    found, rare = index_keys(s, often, bins, threshold)
                     keys.append(found)
                     owners.append(np.full(len(found), len(nodes), np.int64))
                     nodes.append(node)
                     sizes.append(len(s))
+                    shares.append(int(rare * 65535))
             size += part.nbytes
             if size >= packing.FLUSH_BYTES and keys:
                 yield packing.blob_batch(flush())
-                keys, owners, nodes, sizes, seen, size = [], [], [], [], set(), 0
+                keys, owners, nodes, sizes, shares, seen, size = [], [], [], [], [], set(), 0
         if keys:
             yield packing.blob_batch(flush())
 
     def meet(table: pa.Table) -> pa.Table:
-        key, node, n = [], [], []
+        key, node, n, share = [], [], [], []
         for blob in table.column("blob").to_pylist():
-            d, local, nodes, sizes = packing.unpack(blob)
+            d, local, nodes, sizes, shares = packing.unpack(blob)
             key.append(packing.undelta(d))
             node.append(nodes[local])
             n.append(sizes[local])
-        key, node, n = np.concatenate(key), np.concatenate(node), np.concatenate(n)
+            share.append(shares[local])
+        key, node, n, share = np.concatenate(key), np.concatenate(node), np.concatenate(n), np.concatenate(share)
         order = np.lexsort((node, n, key))
-        key, node, n = key[order], node[order], n[order]
+        key, node, n, share = key[order], node[order], n[order], share[order]
         keep = np.ones(len(key), bool)
         keep[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, n = key[keep], node[keep], n[keep]
+        key, node, n, share = key[keep], node[keep], n[keep], share[keep]
         starts, group = packing.groups(key)
         count = np.diff(np.r_[starts, len(key)])
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         # members stand by size: the i-th and the (i+step)-th of a small entry
-        for step in range(1, SMALL):
+        for step in range(1, small):
             i = np.arange(len(key) - step)
-            ok = (group[i] == group[i + step]) & (count[group[i]] <= SMALL) & (needed(n[i + step], threshold) <= n[i])
+            ok = (group[i] == group[i + step]) & (count[group[i]] <= small) & (needed(n[i + step], threshold) <= n[i])
             left.append(node[i[ok]])
             right.append(node[i[ok] + step])
         member, entry = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         known = set()
-        for g in np.flatnonzero(count > SMALL):
+        for g in np.flatnonzero(count > small):
             a, b = starts[g], starts[g] + count[g]
             name = int(textops.mix(np.array([np.bitwise_xor.reduce(textops.mix(node[a:b].view(np.uint64))) + np.uint64(b - a)], np.uint64)).view(np.int64)[0])
             if name in known:
                 continue
             known.add(name)
-            hub = a + (b - a) // 2
+            # copies of one text have few rare tokens, their original none: the same hub in all their entries
+            hub = a + int(np.lexsort((node[a:b], share[a:b]))[0])
             near = np.flatnonzero((needed(np.maximum(n[a:b], n[hub]), threshold) <= np.minimum(n[a:b], n[hub])) & (node[a:b] != node[hub])) + a
             left.append(node[near])
             right.append(np.full(len(near), node[hub]))
@@ -356,6 +360,30 @@ def plausible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def across(members: DataFrame, n_buckets: int, threshold: int) -> DataFrame:
+    """Pairs (a, b) of members of one entry in different components, from (entry, node, component, n); once per bucket of entries."""
+
+    def run(table: pa.Table) -> pa.Table:
+        entry, node, comp, n = (table.column(c).to_numpy() for c in ("entry", "node", "component", "n"))
+        order = np.lexsort((comp, entry))
+        entry, node, comp, n = entry[order], node[order], comp[order], n[order]
+        found = np.zeros((0, 2), np.int64)
+        starts, _ = packing.groups(entry)
+        for a, b in zip(starts, np.r_[starts[1:], len(entry)], strict=True):
+            v, c, z = node[a:b], comp[a:b], n[a:b]
+            names, counts = np.unique(c, return_counts=True)
+            minor = np.flatnonzero(c != names[np.argmax(counts)])
+            for i in range(0, len(minor), 256):
+                m = minor[i : i + 256, None]
+                ok = (c[m] != c[None]) & (threshold * np.maximum(z[m], z[None]) <= 100 * np.minimum(z[m], z[None]))
+                x, y = np.nonzero(ok)
+                p, q = v[m[x, 0]], v[y]
+                found = np.unique(np.concatenate([found, np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1)]), axis=0)
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+    return members.withColumn("_part", F.pmod("entry", F.lit(n_buckets))).groupBy("_part").applyInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of every node of the edges (a, b): minimum labels by alternating large and small stars."""
     edges = packing.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
@@ -375,15 +403,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, threshold: int = THRESHOLD, bucket_tokens: int = BUCKET_TOKENS, frequent: int = FREQUENT, max_frequent: int = MAX_FREQUENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links (other nodes its text is verified similar to in the search)."""
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, threshold: int = THRESHOLD, bucket_tokens: int = BUCKET_TOKENS, frequent: int = FREQUENT, max_frequent: int = MAX_FREQUENT, small: int = SMALL) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, n_verified (other texts it was verified similar to; in large entries enough of them to join components)."""
     texts = docs.select(F.col(text).alias("t"))
     n_rows, size = packing.text_size(texts, "t")
     n_buckets = packing.bucket_count(size // 6, bucket_tokens)
     table = packing.written(node_table(docs, doc_id, text, k), "nodes")
     nodes = table.where("node <> 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     often = frequent_tokens(texts, k, n_buckets, frequent, max_frequent)
-    found = packing.written(candidates(texts, often, k, n_buckets, threshold), "candidates")
+    found = packing.written(candidates(texts, often, k, n_buckets, threshold, small), "candidates")
     first = packing.written(plausible(found.where("kind = 0").select("a", "b").distinct(), nodes, threshold), "pairs")
     links = packing.written(verify(first, texts, k, n_buckets, threshold), "links")
     linked = components(links)
@@ -393,10 +421,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     split = members.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("entry")
     open_members = packing.written(members.join(split, "entry"), "open-entries")
     if not open_members.isEmpty():
-        sizes = open_members.join(nodes.select("node", "n"), "node")
-        x = sizes.select("entry", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-        y = sizes.select("entry", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-        cross = x.join(y, "entry").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+        cross = across(open_members.join(nodes.select("node", "n"), "node"), n_buckets, threshold).distinct()
         cross = packing.written(plausible(cross, nodes, threshold), "cross")
         if not cross.isEmpty():
             links = links.unionByName(packing.written(verify(cross, texts, k, n_buckets, threshold), "links"))
@@ -406,7 +431,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     least = rows.where("node <> 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return (
         rows.join(least, "component", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("n_links").cast("long").alias("n_links"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("n_links").cast("long").alias("n_verified"))
     )
 
 

@@ -211,7 +211,6 @@ def _union_spans(spans):
     return F.aggregate(F.array_sort(spans), start, step).cast(kind)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a hit; their columns are untouched."""
-    names = docs.columns
-    return contaminated_words(docs, benchmark, **options).where("_hit_words = 0").select(*[F.col(f"`{c}`") for c in names])
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents without a hit, with all their columns."""
+    return contaminated_words(packing.wrapped(docs, text=text), benchmark, **options).where("_hit_words = 0").select("doc.*")

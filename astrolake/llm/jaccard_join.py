@@ -439,9 +439,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 BROADCAST_IDS = 1 << 20
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """Of each component the document with the smallest id stays; rows with a null id stay."""
-    found = packing.written(jaccard_components(docs, doc_id, **options), "components")
-    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Of each component the documents with the smallest id stay; rows with a null id stay."""
+    found = packing.written(jaccard_components(docs, doc_id, text, **options), "components")
+    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
     few = lost.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(lost) if few else lost, doc_id, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = packing.wrapped(docs, _id=doc_id)
+    return rows.join(F.broadcast(lost) if few else lost, F.col("_id").cast("long") == F.col("_lost"), "left_anti").select("doc.*")

@@ -163,3 +163,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def extended(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` with further columns."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def wrapped(df: DataFrame, **named) -> DataFrame:
+    """The row as one struct ``doc`` beside the columns an operator works on: no name of the input can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), *[F.col(f"`{c}`").alias(name) for name, c in named.items()])

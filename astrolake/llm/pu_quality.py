@@ -210,6 +210,7 @@ def scored(docs: DataFrame, model: Network | float, text: str = "text", name: st
     return docs.mapInArrow(run, packing.extended(docs, f"{name} double"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, learning, text: str = "text", cut: float = CUT) -> DataFrame:
-    """The documents whose score reaches the cut."""
-    return scored(docs, train(docs, labels, learning, text=text, cut=cut), text).where(F.col("_score") >= cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_good(docs: DataFrame, labels: DataFrame, learning, doc_id: str = "doc_id", text: str = "text", cut: float = CUT) -> DataFrame:
+    """The documents whose score reaches the cut, with all their columns."""
+    model = train(docs, labels, learning, doc_id=doc_id, text=text, cut=cut)
+    return scored(packing.wrapped(docs, text=text), model).where(F.col("_score") >= cut).select("doc.*")

@@ -121,7 +121,6 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     """The mixed corpus itself: every document as many times as it is taken."""
     slim = packing.written(docs.select(*_slim(docs, doc_id, text, source, seed)), "sizes")
     plan = packing.written(plan_of(slim, weights, most), "mix-plan")
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), *_slim(docs, doc_id, text, source, seed))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *_slim(docs, doc_id, text, source, seed))
     taken = _ranked(rows, plan).withColumn("_copies", _copies()).where("_copies > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_doc.*")

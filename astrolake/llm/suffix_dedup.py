@@ -367,16 +367,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with repeated spans cut out of the text; characters cut in half are dropped, emptied documents go."""
-    names = docs.columns
-    cut = remove_repeats(docs, doc_id, text, **options)
+    """``docs`` with repeated spans cut out of the text; characters cut in half are dropped, documents left without text go."""
+    cut = remove_repeats(packing.wrapped(docs, doc_id=doc_id, text=text), **options)
 
-    def decode(batches):
+    def decode(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            i = names.index(text)
-            whole = batch.column("_kept").to_pylist()
-            changed = pa.array([x.decode("utf-8", "ignore") for x in whole], pa.string())
-            columns = [changed if j == i else batch.column(j) for j in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([bool(x) or not n for x, n in zip(whole, batch.column("_n_bytes").to_pylist(), strict=True)]))
+            texts = [x.decode("utf-8", "ignore") for x in batch.column("_kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string()), batch.column("_n_bytes")], names=["doc", "left", "_n_bytes"])
 
-    return cut.mapInArrow(decode, docs.schema)
+    done = cut.mapInArrow(decode, packing.extended(cut.select("doc"), "left string, _n_bytes long"))
+    done = done.where("left <> '' OR _n_bytes = 0")
+    return done.select(*[(F.when(F.col(f"doc.`{c}`").isNull(), None).otherwise(F.col("left")) if c == text else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -47,6 +47,8 @@ FREQUENT = 16
 MAX_FREQUENT = 1 << 20
 #: Tokens a task of the reduce side handles.
 BUCKET_TOKENS = 1 << 20
+#: Members of a large entry that stand against each other in one group.
+BLOCK = 2048
 
 _CUT = np.uint64(24)
 
@@ -360,28 +362,72 @@ def plausible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, n_buckets: int, threshold: int) -> DataFrame:
-    """Pairs (a, b) of members of one entry in different components, from (entry, node, component, n); once per bucket of entries."""
+class Sketches:
+    """Sketches of several sets, folded to a common number of cells where two are compared."""
+
+    def __init__(self, raw: list[bytes]):
+        self.raw, self.cells, self.folded = raw, np.array([len(x) for x in raw], np.int64), {}
+
+    def _at(self, cells: int) -> np.ndarray:
+        if cells not in self.folded:
+            table = np.zeros((len(self.raw), cells), np.uint16)
+            for i in np.flatnonzero(self.cells >= cells):
+                table[i] = np.frombuffer(self.raw[i], np.uint8).reshape(-1, cells).sum(axis=0, dtype=np.uint16)
+            self.folded[cells] = table
+        return self.folded[cells]
+
+    def most_common(self, x: np.ndarray, y: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+        """Upper bounds of the intersections of sets x[i] and y[i]; ``unknown`` where a sketch is missing."""
+        out, cells = unknown.copy(), np.minimum(self.cells[x], self.cells[y])
+        for c in np.unique(cells[cells > 0]):
+            table, at = self._at(int(c)), np.flatnonzero(cells == c)
+            step = max(1, (1 << 22) // int(c))
+            for i in range(0, len(at), step):
+                j = at[i : i + step]
+                out[j] = np.minimum(table[x[j]], table[y[j]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def across(members: DataFrame, n_buckets: int, threshold: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of members of one entry in different components that sizes and sketches allow, from (entry, node, component, n, sketch).
+
+    An entry of more than ``block`` members is cut into blocks, and every two blocks meet
+    in a group of their own, so no group exceeds two blocks."""
+    sizes = members.groupBy("entry").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
+    dealt = members.join(sizes, "entry").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("entry", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "component", "n", "sketch")
 
     def run(table: pa.Table) -> pa.Table:
-        entry, node, comp, n = (table.column(c).to_numpy() for c in ("entry", "node", "component", "n"))
-        order = np.lexsort((comp, entry))
-        entry, node, comp, n = entry[order], node[order], comp[order], n[order]
-        found = np.zeros((0, 2), np.int64)
-        starts, _ = packing.groups(entry)
-        for a, b in zip(starts, np.r_[starts[1:], len(entry)], strict=True):
-            v, c, z = node[a:b], comp[a:b], n[a:b]
+        entry, low, high, mine, node, comp, n = (table.column(c).to_numpy() for c in ("entry", "low", "high", "mine", "node", "component", "n"))
+        raw = table.column("sketch")
+        order = np.lexsort((comp, high, low, entry))
+        starts, _ = packing.groups(entry[order], low[order], high[order])
+        found, waiting = [np.zeros((0, 2), np.int64)], 0
+        for a, b in zip(starts, np.r_[starts[1:], len(order)], strict=True):
+            o = order[a:b]
+            v, c, z, m = node[o], comp[o], n[o], mine[o]
+            apart = low[o[0]] < high[o[0]]
             names, counts = np.unique(c, return_counts=True)
             minor = np.flatnonzero(c != names[np.argmax(counts)])
+            sketches = Sketches(raw.take(pa.array(o)).to_pylist()) if len(minor) else None
             for i in range(0, len(minor), 256):
-                m = minor[i : i + 256, None]
-                ok = (c[m] != c[None]) & (threshold * np.maximum(z[m], z[None]) <= 100 * np.minimum(z[m], z[None]))
-                x, y = np.nonzero(ok)
-                p, q = v[m[x, 0]], v[y]
-                found = np.unique(np.concatenate([found, np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1)]), axis=0)
-        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
-
-    return members.withColumn("_part", F.pmod("entry", F.lit(n_buckets))).groupBy("_part").applyInArrow(run, "a long, b long")
+                x, y = minor[i : i + 256, None], np.arange(len(v))[None]
+                ok = (c[x] != c[y]) & (threshold * np.maximum(z[x], z[y]) <= 100 * np.minimum(z[x], z[y]))
+                if apart:
+                    ok &= m[x] != m[y]
+                i_x, i_y = np.nonzero(ok)
+                x, y = minor[i : i + 256][i_x], i_y
+                most = sketches.most_common(x, y, np.minimum(z[x], z[y]))
+                keep = 100 * most >= threshold * (z[x] + z[y] - most)
+                p, q = v[x[keep]], v[y[keep]]
+                found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
+                waiting += len(p)
+            if waiting > 1 << 20:
+                found, waiting = [np.unique(np.concatenate(found), axis=0)], 0
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return dealt.withColumn("_part", F.pmod(F.xxhash64("entry", "low", "high"), F.lit(n_buckets))).groupBy("_part").applyInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -403,7 +449,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, threshold: int = THRESHOLD, bucket_tokens: int = BUCKET_TOKENS, frequent: int = FREQUENT, max_frequent: int = MAX_FREQUENT, small: int = SMALL) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, threshold: int = THRESHOLD, bucket_tokens: int = BUCKET_TOKENS, frequent: int = FREQUENT, max_frequent: int = MAX_FREQUENT, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_verified (other texts it was verified similar to; in large entries enough of them to join components)."""
     texts = docs.select(F.col(text).alias("t"))
     n_rows, size = packing.text_size(texts, "t")
@@ -421,8 +467,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     split = members.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("entry")
     open_members = packing.written(members.join(split, "entry"), "open-entries")
     if not open_members.isEmpty():
-        cross = across(open_members.join(nodes.select("node", "n"), "node"), n_buckets, threshold).distinct()
-        cross = packing.written(plausible(cross, nodes, threshold), "cross")
+        cross = packing.written(across(open_members.join(nodes, "node"), n_buckets, threshold, block).distinct(), "cross")
         if not cross.isEmpty():
             links = links.unionByName(packing.written(verify(cross, texts, k, n_buckets, threshold), "links"))
             linked = components(links)

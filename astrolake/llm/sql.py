@@ -42,4 +42,33 @@ WITH rows AS (
 SELECT doc_id, size::bigint AS size, source_size, target, copies, (copies * size)::bigint AS taken FROM chosen
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_source_mix": OP10}
+OP8 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT coalesce(item_id::varchar, '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), starts AS (
+  SELECT item, w, least(len(w), 10)::bigint AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM b WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item, n, array_to_string(w[p : p + n - 1], ' ') AS g FROM starts
+), sizes AS (
+  SELECT DISTINCT n FROM windows
+), places AS (
+  SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n
+), hits AS (
+  SELECT rid, p, n, item FROM (SELECT rid, p, n, array_to_string(w[p : p + n - 1], ' ') AS g FROM places) JOIN windows USING (n, g)
+), covered AS (
+  SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT rid, p, n FROM hits)) GROUP BY rid
+), named AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid
+)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8, "op10_source_mix": OP10}

@@ -172,31 +172,39 @@ class Lexicon:
         return at, weight[at], ~exact[at]
 
 
-def quote_positions(data: np.ndarray) -> np.ndarray:
-    """Byte positions of quotation marks."""
-    found = [np.flatnonzero(_QUOTES[data])]
+def quotation_marks(data: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Lengths in bytes of the kinds of quotation marks, and where they stand."""
+    found = [(1, np.flatnonzero(_QUOTES[data]))]
     for mark in _QUOTE_BYTES:
         m = np.frombuffer(mark, np.uint8)
         if len(data) >= len(m):
             hit = np.ones(len(data) - len(m) + 1, bool)
             for j, b in enumerate(m):
                 hit &= data[j : j + len(hit)] == b
-            found.append(np.flatnonzero(hit))
-    return np.sort(np.concatenate(found))
+            found.append((len(m), np.flatnonzero(hit)))
+    return found
+
+
+def words_of(part: pa.RecordBatch, column: str) -> tuple[textops.Words, np.ndarray]:
+    """Words of a slice, which quotation marks end as blanks do, and the positions of these marks."""
+    data, offsets = textops.raw(part.column(column))
+    marks, plain = quotation_marks(data), data.copy()
+    for size, at in marks:
+        for j in range(size):
+            plain[at + j] = 0x20
+    return textops.Words(plain, offsets, textops.ALNUM_WORD), np.sort(np.concatenate([at for _, at in marks]))
 
 
 def features(part: pa.RecordBatch, column: str, lexicon: Lexicon) -> np.ndarray:
     """One row of features per text of the slice."""
-    data, offsets = textops.raw(part.column(column))
-    words = textops.Words(data, offsets, textops.ALNUM_WORD)
-    n = part.num_rows
+    words, marks = words_of(part, column)
+    offsets, n = words.offsets, part.num_rows
     out = np.zeros((n, N_FEATURES))
     at, weight, wrong = lexicon.lookup(words)
     if not len(at):
         return out
     row = np.searchsorted(words.bounds, at, "right") - 1
     low, high = np.maximum(at - WINDOW, words.bounds[row]), np.minimum(at + WINDOW + 1, words.bounds[row + 1])
-    marks = quote_positions(data)
     before = np.searchsorted(marks, words.start[at]) - np.searchsorted(marks, np.where(low == words.bounds[row], offsets[row], words.start[low]))
     after = np.searchsorted(marks, np.where(high == words.bounds[row + 1], offsets[row + 1], words.end[high - 1])) - np.searchsorted(marks, words.end[at])
     quoted = (before > 0) & (after > 0)
@@ -269,8 +277,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
         counts: dict[bytes, list[int]] = {}
         for batch in batches:
             for part in textops.pieces(batch, "_text"):
-                data, offsets = textops.raw(part.column("_text"))
-                words = textops.Words(data, offsets, textops.ALNUM_WORD)
+                words, _ = words_of(part, "_text")
                 h = words.hashes()
                 toxic = part.column("_y").to_numpy(zero_copy_only=False)
                 for i in range(part.num_rows):

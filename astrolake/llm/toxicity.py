@@ -6,7 +6,7 @@
 2. A word matches a term exactly, or misspelled: the Levenshtein automaton of the word
    (one edit) is intersected with the trie of all terms, so one walk covers the whole
    lexicon.  Words of clean learning rows are never misspellings.  Only words that share
-   a half with some term reach the automaton (one edit leaves one half intact).
+   three quarters with some term reach the automaton (one edit leaves these intact).
 3. Each occurrence has a context window of ``WINDOW`` words either side.  Quotation marks
    there make it a quotation, counted apart from abuse; terms close together weigh more.
 4. A logistic model over these sums, fitted on learning rows that did not teach terms,
@@ -105,6 +105,17 @@ class Automaton:
         return found
 
 
+def char_bytes(data: np.ndarray) -> np.ndarray:
+    """Bytes of the UTF-8 characters that start at each byte (1 inside of characters)."""
+    return 1 + (data >= 0xC0).astype(np.int64) + (data >= 0xE0) + (data >= 0xF0)
+
+
+def ends_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, ahead: int, behind: int, running: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the first ``ahead`` and the last ``behind`` bytes of each span."""
+    running = textops.prefix_hash(data) if running is None else running
+    return textops.mix(textops.span_hashes(data, start, start + ahead, running) * np.uint64(3) + textops.span_hashes(data, end - behind, end, running))
+
+
 def word_hash(term: bytes) -> int:
     data = np.frombuffer(term, np.uint8)
     return int(textops.span_hashes(data, np.array([0]), np.array([len(data)]))[0])
@@ -121,13 +132,16 @@ class Lexicon:
         self.terms = [terms[i] for i in order]
         self.trie = Trie(self.terms)
         self.clean = np.sort(np.array([word_hash(c.encode()) for c in clean], np.uint64)) if clean else np.zeros(0, np.uint64)
-        halves = defaultdict(set), defaultdict(set)
-        for t in raw:
-            if SHORTEST <= len(t) <= LONGEST:
-                half = len(t) // 2
-                halves[0][half].add(word_hash(t[:half]))
-                halves[1][len(t) - half].add(word_hash(t[half:]))
-        self.halves = [{n: np.sort(np.array(list(s), np.uint64)) for n, s in kind.items()} for kind in halves]
+        parts = defaultdict(set)
+        for t in terms:
+            if SHORTEST <= len(t) and len(t.encode()) <= LONGEST:
+                raw, slack, half = t.encode(), int(char_bytes(np.frombuffer(t.encode(), np.uint8)).max()), len(t) // 2
+                # an edit leaves one half whole, and of the other half its first or its last part
+                for ahead, behind in ((half + (len(t) - half) // 2, 0), (half, len(t) - half - (len(t) - half) // 2), (0, len(t) - half // 2), (half // 2, len(t) - half)):
+                    a, b = len(t[:ahead].encode()), len(t[len(t) - behind :].encode())
+                    parts[a, b, len(raw), slack].add(int(ends_hash(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]), a, b)[0]))
+        #: bytes at the front, bytes at the end, bytes of the term, bytes of its widest character -> hashes of these ends
+        self.parts = {kind: np.sort(np.array(list(found), np.uint64)) for kind, found in parts.items()}
         self.seen: dict[int, tuple[float, int]] = {}
 
     @staticmethod
@@ -150,11 +164,14 @@ class Lexicon:
         maybe = np.zeros(len(h), bool)
         running = textops.prefix_hash(words.data)
         fit = np.flatnonzero(~exact & (length >= SHORTEST - 1) & (length <= LONGEST + 4))
-        for side, table in enumerate(self.halves):
-            for n, known in table.items():
-                at = fit[length[fit] >= n]
-                a = words.start[at] if side == 0 else words.end[at] - n
-                maybe[at[self._in(textops.span_hashes(words.data, a, a + n, running), known)]] = True
+        wide = np.ones(len(h), np.int64)
+        for least in (2, 3, 4):
+            some = np.r_[0, np.cumsum(char_bytes(words.data) >= least)]
+            wide[some[words.end] > some[words.start]] = least
+        for (ahead, behind, whole, slack), known in self.parts.items():
+            # one edit changes the length by one character at most
+            at = fit[(length[fit] >= max(ahead, behind)) & (np.abs(length[fit] - whole) <= np.maximum(wide[fit], slack))]
+            maybe[at[self._in(ends_hash(words.data, words.start[at], words.end[at], ahead, behind, running), known)]] = True
         weight = np.zeros(len(h))
         slot = np.searchsorted(self.hashes, h[exact])
         weight[exact] = self.weights[slot]
@@ -298,7 +315,8 @@ def train(docs: DataFrame, labels: DataFrame, learning, doc_id: str = "doc_id",
     n = marks.count()
     share = min(1.0, MAX_LABELLED / max(n, 1))
     few = marks.where(F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = packing.written(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(few), "_id"), "toxicity-rows")
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(few), "_id")
+    rows = packing.written(rows.dropDuplicates(["_text", "_y"]), "toxicity-rows")  # copies of a text teach once
     teach = F.pmod(F.xxhash64("_id", F.lit(SEED + 1)), F.lit(3)) > 0
     tally = {(r["t"], r["_y"]): r["c"] for r in rows.groupBy(teach.alias("t"), "_y").agg(F.count(F.lit(1)).alias("c")).collect()}
     n_toxic, n_clean = tally.get((True, 1), 0), tally.get((True, 0), 0)

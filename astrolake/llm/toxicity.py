@@ -158,35 +158,36 @@ class Lexicon:
 
     def lookup(self, words: textops.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions of matching words, their weights, and whether misspelled."""
-        h = words.hashes()
+        # equal words of a slice are looked up once
+        h, once, each = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        start, end = words.start[once], words.end[once]
         exact = self._in(h, self.hashes)
-        length = words.end - words.start
+        length = end - start
         maybe = np.zeros(len(h), bool)
         running = textops.prefix_hash(words.data)
         fit = np.flatnonzero(~exact & (length >= SHORTEST - 1) & (length <= LONGEST + 4))
+        fit = fit[~self._in(h[fit], self.clean)]
         wide = np.ones(len(h), np.int64)
         for least in (2, 3, 4):
             some = np.r_[0, np.cumsum(char_bytes(words.data) >= least)]
-            wide[some[words.end] > some[words.start]] = least
+            wide[some[end] > some[start]] = least
         for (ahead, behind, whole, slack), known in self.parts.items():
             # one edit changes the length by one character at most
             at = fit[(length[fit] >= max(ahead, behind)) & (np.abs(length[fit] - whole) <= np.maximum(wide[fit], slack))]
-            maybe[at[self._in(ends_hash(words.data, words.start[at], words.end[at], ahead, behind, running), known)]] = True
+            maybe[at[self._in(ends_hash(words.data, start[at], end[at], ahead, behind, running), known)]] = True
         weight = np.zeros(len(h))
         slot = np.searchsorted(self.hashes, h[exact])
         weight[exact] = self.weights[slot]
         todo = np.flatnonzero(maybe)
-        if len(todo):
-            todo = todo[~self._in(h[todo], self.clean)]
         if len(self.seen) > 1 << 18:
             self.seen.clear()
         for i in todo.tolist():
             key = int(h[i])
             if key not in self.seen:
-                self.seen[key] = self.misspelled(words.data[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace"))
+                self.seen[key] = self.misspelled(words.data[start[i] : end[i]].tobytes().decode("utf-8", "replace"))
             weight[i] = self.seen[key]
-        at = np.flatnonzero(weight > 0)
-        return at, weight[at], ~exact[at]
+        at = np.flatnonzero(weight[each] > 0)
+        return at, weight[each[at]], ~exact[each[at]]
 
 
 def quotation_marks(data: np.ndarray) -> list[tuple[int, np.ndarray]]:

@@ -1,11 +1,16 @@
 """Language-model scoring by masked pseudo-likelihood.
 
-A token is a lower-cased word; the ``WORDS`` most frequent of the whole corpus (exact
-counts over all documents) have a number of their own, all others share hashed numbers.
-A window network predicts a token from two tokens on each side: the sum of one
-embedding per position, a tanh, and a softmax in two steps (class, then token within
-class).  The score of a document is the sum of log p(token | both sides) over all its
-tokens.
+A token is a lower-cased word.  Words with an exact count in the whole corpus of at least
+``least_count`` (the square root of the tokens over 16, so the vocabulary grows with the
+corpus) have a number of their own; as surroundings all others share hashed numbers,
+which form the last class.  A window network predicts a token from two tokens on each
+side: the sum of one embedding per position, a tanh, and a softmax in two steps (class,
+then token within class), with about as many classes as tokens in each.  A word without
+a number has the probability of the last class times that of its spelling: a chain of
+bytes counted over all such words of the corpus.  So each token has a probability of its
+own, and for given surroundings these sum to at most one (the chain also spells words that
+have a number).  The score of a document is the sum of log p(token | both sides) over all
+its tokens.
 
 Training covers all documents: in each round every task starts from the shared
 parameters, runs minibatch descent over a share of masked positions of its own
@@ -20,6 +25,7 @@ columns are not returned.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,20 +35,34 @@ from pyspark.sql import functions as F
 
 from astrolake.llm import packing, textops
 
+#: The least network; a larger vocabulary has more and larger classes (``shape_for``).
 CLASSES, PER_CLASS, OTHERS = 16, 32, 32
 SIZE = CLASSES * PER_CLASS
 WORDS = SIZE - OTHERS
 DIM, SIDE = 16, 2
 ROUNDS, MASKED, BATCH, RATE, SEED = 2, 8, 1024, 0.5, 3
 PARTS, LANES = 8, 8
+#: The byte that stands before and after a word's own.
+EDGE = 256
+
+
+def least_count(tokens: int) -> int:
+    """Count from which a word of a corpus has a number of its own."""
+    return max(2, math.isqrt(tokens) // 16)
+
+
+def shape_for(words: int) -> tuple[int, int]:
+    """Classes, and tokens in each, for so many words and one class of others."""
+    per = max(PER_CLASS, math.isqrt(words) + 1)
+    return max(CLASSES, -(-words // per) + 1), per
 
 
 class Network:
     """Parameters of the window network as one flat vector of float32."""
 
-    shapes = ((2 * SIDE, SIZE + 1, DIM), (DIM,), (CLASSES, DIM), (CLASSES,), (CLASSES, PER_CLASS, DIM), (CLASSES, PER_CLASS))
-
-    def __init__(self, flat: np.ndarray | None = None):
+    def __init__(self, flat: np.ndarray | None = None, classes: int = CLASSES, per_class: int = PER_CLASS):
+        self.classes, self.per_class = classes, per_class
+        self.shapes = ((2 * SIDE, classes * per_class + 1, DIM), (DIM,), (classes, DIM), (classes,), (classes, per_class, DIM), (classes, per_class))
         sizes = [int(np.prod(s)) for s in self.shapes]
         if flat is None:
             rng = np.random.default_rng(SEED)
@@ -51,6 +71,15 @@ class Network:
         ends = np.cumsum(sizes)
         self.emb, self.bias, self.cls, self.cls_b, self.tok, self.tok_b = (self.flat[e - n : e].reshape(s) for e, n, s in zip(ends, sizes, self.shapes, strict=True))
 
+    def start_from(self, counts: np.ndarray, rest: int) -> None:
+        """Biases that give each word its share of the corpus before any training."""
+        share = np.full(self.classes * self.per_class, 0.5)
+        share[: len(counts)] = counts
+        share[-self.per_class :] = max(rest, 1) / self.per_class
+        share = share.reshape(self.classes, self.per_class) / share.sum()
+        self.cls_b[:] = np.log(share.sum(axis=1))
+        self.tok_b[:] = np.log(share / share.sum(axis=1, keepdims=True))
+
     def _hidden(self, around: np.ndarray) -> np.ndarray:
         h = self.emb[0][around[0]] + self.bias
         for j in range(1, 2 * SIDE):
@@ -63,15 +92,18 @@ class Network:
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return z
 
-    def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, around: np.ndarray, target: np.ndarray, spelled: np.ndarray | None = None) -> np.ndarray:
+        """Of the target numbers; or of the words themselves, given how the words without a number are ``spelled``."""
         h = self._hidden(around)
-        c, t = target // PER_CLASS, target % PER_CLASS
+        c, t = target // self.per_class, target % self.per_class
         out = np.take_along_axis(self._log_softmax(h @ self.cls.T + self.cls_b), c[:, None], 1)[:, 0]
         order = np.argsort(c, kind="stable")
-        ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
+        ends = np.searchsorted(c[order], np.arange(self.classes + 1))
+        for k in range(self.classes):
             rows = order[ends[k] : ends[k + 1]]
-            if len(rows):
+            if len(rows) and spelled is not None and k == self.classes - 1:
+                out[rows] += spelled[rows]
+            elif len(rows):
                 out[rows] += np.take_along_axis(self._log_softmax(h[rows] @ self.tok[k].T + self.tok_b[k]), t[rows][:, None], 1)[:, 0]
         return out
 
@@ -79,15 +111,15 @@ class Network:
         """One descent step on the mean loss of a batch."""
         n = len(target)
         h = self._hidden(around)
-        c, t = target // PER_CLASS, target % PER_CLASS
+        c, t = target // self.per_class, target % self.per_class
         g = np.exp(self._log_softmax(h @ self.cls.T + self.cls_b))
         g[np.arange(n), c] -= 1
         gh = g @ self.cls
         scale = rate / n
         d_cls, d_cls_b = g.T @ h, g.sum(axis=0)
         order = np.argsort(c, kind="stable")
-        ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
+        ends = np.searchsorted(c[order], np.arange(self.classes + 1))
+        for k in range(self.classes):
             rows = order[ends[k] : ends[k + 1]]
             if len(rows):
                 hk = h[rows]
@@ -104,10 +136,10 @@ class Network:
             np.subtract.at(self.emb[j], around[j], scale * gh)
 
 
-def numbers(words: textops.Words, vocabulary: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Token numbers: the word's own, or a hashed one among the others."""
+def numbers(words: textops.Words, vocabulary: np.ndarray, number: np.ndarray, classes: int = CLASSES, per_class: int = PER_CLASS) -> np.ndarray:
+    """Token numbers: the word's own, or a hashed one among the others (the last class)."""
     h = words.hashes()
-    out = (WORDS + (h % np.uint64(OTHERS)).astype(np.int64)).astype(np.int64)
+    out = ((classes - 1) * per_class + (h % np.uint64(per_class)).astype(np.int64)).astype(np.int64)
     if len(vocabulary) and len(h):
         slot = np.searchsorted(vocabulary, h)
         slot[slot == len(vocabulary)] = 0
@@ -116,17 +148,17 @@ def numbers(words: textops.Words, vocabulary: np.ndarray, number: np.ndarray) ->
     return out
 
 
-def surroundings(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def surroundings(ids: np.ndarray, bounds: np.ndarray, outside: int = SIZE) -> np.ndarray:
     """Numbers of the tokens around each token, row-wise; beyond a text's ends stands a number of its own."""
     n, rows = len(ids), len(bounds) - 1
-    padded = np.full(n + SIDE * (rows + 1), SIZE, np.int64)
+    padded = np.full(n + SIDE * (rows + 1), outside, np.int64)
     at = np.arange(n) + SIDE * (np.repeat(np.arange(rows), np.diff(bounds)) + 1)
     padded[at] = ids
     return np.stack([padded[at + j] for j in (*range(-SIDE, 0), *range(1, SIDE + 1))])
 
 
-def vocabulary_of(texts: DataFrame, n_buckets: int, words: int = WORDS) -> np.ndarray:
-    """Hashes of the most frequent words, most frequent first (ties by hash)."""
+def word_counts(texts: DataFrame, n_buckets: int) -> DataFrame:
+    """(h, c): hash and exact count of every word."""
 
     def count(batches: Iterator[pa.RecordBatch]):
         held, size = [], 0
@@ -159,29 +191,89 @@ def vocabulary_of(texts: DataFrame, n_buckets: int, words: int = WORDS) -> np.nd
         order = np.argsort(h, kind="stable")
         starts, _ = packing.groups(h[order])
         h, c = h[order][starts], np.add.reduceat(c[order], starts)
-        top = np.lexsort((h.view(np.int64), -c))[:words]
-        return pa.table({"h": pa.array(h[top].view(np.int64), pa.int64()), "c": pa.array(c[top], pa.int64())})
+        return pa.table({"h": pa.array(h.view(np.int64), pa.int64()), "c": pa.array(c, pa.int64())})
+
+    return texts.mapInArrow(count, packing.BLOB_SCHEMA).groupBy("bucket").applyInArrow(total, "h long, c long")
+
 
-    best = texts.mapInArrow(count, packing.BLOB_SCHEMA).groupBy("bucket").applyInArrow(total, "h long, c long").orderBy(F.desc("c"), "h").limit(words)
+def vocabulary_of(texts: DataFrame, n_buckets: int, words: int = WORDS) -> np.ndarray:
+    """Hashes of the most frequent words, most frequent first (ties by hash)."""
+    best = word_counts(texts, n_buckets).orderBy(F.desc("c"), "h").limit(words)
     return np.array([r["h"] for r in best.collect()], np.int64).view(np.uint64)
 
 
-def train(texts: DataFrame, ranked: np.ndarray, rounds: int = ROUNDS, masked: int = MASKED) -> Network:
+def full_vocabulary(texts: DataFrame, n_buckets: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes and counts of all words of at least ``least_count``, most frequent first (ties by hash), and the tokens of all others."""
+    counts = packing.written(word_counts(texts, n_buckets), "word-counts")
+    tokens = int(counts.agg(F.sum("c")).first()[0] or 0)
+    found = counts.where(F.col("c") >= least_count(tokens)).toArrow()
+    h, c = found.column("h").to_numpy(), found.column("c").to_numpy()
+    top = np.lexsort((h, -c))
+    return h[top].view(np.uint64), c[top], tokens - int(c.sum())
+
+
+def _steps(words: textops.Words, rare: np.ndarray) -> np.ndarray:
+    """Byte pairs of the rare words as numbers, edges included."""
+    first, last = words.start[rare], words.end[rare] - 1
+    inside = np.zeros(len(words.data) + 1, np.int8)
+    inside[first] += 1
+    inside[last] -= 1
+    at = np.flatnonzero(np.cumsum(inside, dtype=np.int8))
+    data = words.data.astype(np.int64)
+    return np.concatenate([EDGE * (EDGE + 1) + data[first], data[at] * (EDGE + 1) + data[at + 1], data[last] * (EDGE + 1) + EDGE])
+
+
+def spelling(texts: DataFrame, ranked: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the next byte (or the end) after a byte (or the start), over all words outside the vocabulary."""
+    held = texts.sparkSession.sparkContext.broadcast(np.sort(ranked))
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        vocabulary, seen = held.value, np.zeros((EDGE + 1) ** 2, np.int64)
+        for batch in batches:
+            for part in textops.pieces(batch, "t"):
+                words = textops.Words(*textops.raw(part.column("t")), textops.ALNUM_WORD)
+                seen += np.bincount(_steps(words, ~np.isin(words.hashes(), vocabulary)), minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["step", "n"])
+
+    got = texts.mapInArrow(count, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros((EDGE + 1) ** 2)
+    seen[got.column("step").to_numpy()] = got.column("n").to_numpy()
+    may = np.r_[textops.ALNUM_WORD, True]
+    seen = np.where(may[:, None] & may[None], seen.reshape(EDGE + 1, EDGE + 1) + 0.5, 0)
+    seen[EDGE, EDGE] = 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(seen > 0, np.log(seen / seen.sum(axis=1, keepdims=True)), 0.0)
+
+
+def spelled(words: textops.Words, table: np.ndarray) -> np.ndarray:
+    """Log-probability of each word's bytes."""
+    if not len(words.start):
+        return np.zeros(0)
+    data = words.data.astype(np.int64)
+    run = np.r_[0.0, np.cumsum(table[data[:-1], data[1:]])]
+    last = words.end - 1
+    return table[EDGE, data[words.start]] + run[last] - run[words.start] + table[data[last], EDGE]
+
+
+def train(texts: DataFrame, ranked: np.ndarray, rounds: int = ROUNDS, masked: int = MASKED, shape: tuple[int, int] = (CLASSES, PER_CLASS), counts: np.ndarray | None = None, rest: int = 0) -> Network:
     """Rounds of local descent on all documents and averaging."""
     order = np.argsort(ranked)
-    net = Network()
+    net = Network(None, *shape)
+    if counts is not None:
+        net.start_from(counts, rest)
     for turn in range(rounds):
         held = texts.sparkSession.sparkContext.broadcast((ranked[order], order, net.flat))
 
         def descend(batches: Iterator[pa.RecordBatch], held=held, turn=turn):
             vocabulary, number, flat = held.value
-            own, seen, steps = Network(flat), 0, 0
+            own, seen, steps = Network(flat, *shape), 0, 0
             wait_a, wait_t, waiting = [], [], 0
             for batch in batches:
                 for part in textops.pieces(batch, "t"):
                     words = textops.Words(*textops.raw(part.column("t")), textops.ALNUM_WORD)
-                    ids = numbers(words, vocabulary, number)
-                    around = surroundings(ids, words.bounds)
+                    ids = numbers(words, vocabulary, number, *shape)
+                    around = surroundings(ids, words.bounds, shape[0] * shape[1])
                     place = np.arange(len(ids), dtype=np.uint64) - words.bounds[:-1].astype(np.uint64).repeat(np.diff(words.bounds))
                     hidden = textops.mix(words.hashes() + place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn + 1)) % np.uint64(masked) == 0
                     wait_a.append(around[:, hidden])
@@ -202,22 +294,22 @@ def train(texts: DataFrame, ranked: np.ndarray, rounds: int = ROUNDS, masked: in
                     own.step(a[:, i : i + BATCH], t[i : i + BATCH], RATE / (1 + steps / 400) / (1 + turn))
                     steps += 1
             if seen:
-                pieces = np.array_split(own.flat, PARTS)
+                pieces = np.array_split(own.flat - flat, PARTS)
                 lane = int(textops.mix(np.array([seen], np.uint64))[0] % np.uint64(LANES))
-                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array([lane] * PARTS, pa.int64()), pa.array([seen] * PARTS, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["part", "lane", "n", "values"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array([lane] * PARTS, pa.int64()), pa.array([seen] * PARTS, pa.int64()), pa.array([packing.pack(p) for p in pieces], pa.binary())], names=["part", "lane", "n", "values"])
 
         def average(table: pa.Table) -> pa.Table:
             n = table.column("n").to_numpy().astype(np.float64)
             total = 0.0
             for w, v in zip(n, table.column("values").to_pylist(), strict=True):
-                total = total + w * np.frombuffer(v, np.float32).astype(np.float64)
+                total = total + w * packing.unpack(v)[0].astype(np.float64)
             mean = (total / n.sum()).astype(np.float32)
-            return pa.table({"part": table.column("part")[:1], "lane": table.column("lane")[:1], "n": pa.array([int(n.sum())], pa.int64()), "values": pa.array([mean.tobytes()], pa.binary())})
+            return pa.table({"part": table.column("part")[:1], "lane": table.column("lane")[:1], "n": pa.array([int(n.sum())], pa.int64()), "values": pa.array([packing.pack(mean)], pa.binary())})
 
         kind = "part long, lane long, n long, values binary"
         done = texts.mapInArrow(descend, kind).groupBy("part", "lane").applyInArrow(average, kind).groupBy("part").applyInArrow(average, kind).orderBy("part").collect()
         if done:
-            net = Network(np.concatenate([np.frombuffer(r["values"], np.float32) for r in done]))
+            net = Network(net.flat + np.concatenate([packing.unpack(r["values"])[0] for r in done]), *shape)
     return net
 
 
@@ -225,22 +317,23 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds:
     """One row per document: its id, n_tokens, score (sum of conditional log-probabilities) and mean_score."""
     texts = docs.select(F.col(text).alias("t"))
     _, size = packing.text_size(texts, "t")
-    ranked = vocabulary_of(texts, packing.bucket_count(size, 32 << 20))
-    net = train(texts, ranked, rounds, masked)
+    ranked, counts, rest = full_vocabulary(texts, packing.bucket_count(size, 32 << 20))
+    shape = shape_for(len(ranked))
+    net = train(texts, ranked, rounds, masked, shape, counts, rest)
     order = np.argsort(ranked)
-    held = docs.sparkSession.sparkContext.broadcast((ranked[order], order, net.flat))
+    held = docs.sparkSession.sparkContext.broadcast((ranked[order], order, net.flat, spelling(texts, ranked)))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        vocabulary, number, flat = held.value
-        own = Network(flat)
+        vocabulary, number, flat, table = held.value
+        own = Network(flat, *shape)
         for batch in batches:
             for part in textops.pieces(batch, "t"):
                 words = textops.Words(*textops.raw(part.column("t")), textops.ALNUM_WORD)
-                ids = numbers(words, vocabulary, number)
-                around = surroundings(ids, words.bounds)
-                log_p = np.zeros(len(ids))
+                ids = numbers(words, vocabulary, number, *shape)
+                around = surroundings(ids, words.bounds, shape[0] * shape[1])
+                log_p, spelt = np.zeros(len(ids)), spelled(words, table)
                 for i in range(0, len(ids), 1 << 14):
-                    log_p[i : i + (1 << 14)] = own.log_probabilities(around[:, i : i + (1 << 14)], ids[i : i + (1 << 14)])
+                    log_p[i : i + (1 << 14)] = own.log_probabilities(around[:, i : i + (1 << 14)], ids[i : i + (1 << 14)], spelt[i : i + (1 << 14)])
                 n = np.diff(words.bounds)
                 total = np.diff(np.r_[0.0, np.cumsum(log_p)][words.bounds])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(total / np.maximum(n, 1), pa.float64())], names=["doc_id", "n_tokens", "score", "mean_score"])

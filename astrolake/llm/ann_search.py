@@ -33,6 +33,8 @@ from astrolake.llm import packing
 
 M, CONFIDENCE, LEAF = 8, 0.99, 64
 BLOCK, CHUNK = 16384, 1024
+#: More than rounding puts between the scores of equal vectors.
+SLACK = 1e-12
 SEED = 5
 
 
@@ -89,29 +91,27 @@ def search(ids, vectors, query_ids, queries, k: int, m: int = M, confidence: flo
     for q in range(len(queries)):
         least = tree.least_squares(pq[q : q + 1])[0]
         order = np.argsort(least, kind="stable")
-        best_s, best_c, step, i = np.zeros(0), np.zeros(0, np.int64), 4, 0
+        best_s, best_c, kth, step, i = np.zeros(0), np.zeros(0, np.int64), -np.inf, 4, 0
         while i < len(order):
-            if len(best_s) >= k:
-                far = max(2 - 2 * best_s[k - 1], 0.0)
-                if least[order[i]] > cut * far:
-                    break
+            if least[order[i]] > cut * (max(2 - 2 * kth, 0.0) + SLACK):
+                break
             rows = np.concatenate([tree.order[slice(*tree.bounds[j])] for j in order[i : i + step]])
             i += step
             rows = rows[ids[rows] != query_ids[q]]
             s = np.r_[best_s, unit[rows] @ uq[q]]
             c = np.r_[best_c, rows]
-            keep = np.lexsort((ids[c], -s))[: k + 4]
+            if len(s) >= k:
+                kth = np.partition(s, len(s) - k)[len(s) - k]
+            keep = s >= kth - SLACK
             best_s, best_c = s[keep], c[keep]
-        found_q.append(np.full(len(best_c), q))
-        found_c.append(best_c)
-    q, c = np.concatenate(found_q), np.concatenate(found_c)
-    a, b = queries[q], vectors[c]
-    found_s = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
-    keep = np.lexsort((ids[c], -found_s, q))
-    q, c, found_s = q[keep], c[keep], found_s[keep]
-    starts, group = packing.groups(q) if len(q) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    top = np.arange(len(q)) - starts[group] < k if len(q) else np.zeros(0, bool)
-    return q[top], c[top], found_s[top]
+        # products of equal rows differ in their last places: the exact cosine decides among all that are as near
+        a, b = queries[q : q + 1], vectors[best_c]
+        s = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+        top = np.lexsort((ids[best_c], -s))[:k]
+        found_q.append(np.full(len(top), q))
+        found_c.append(best_c[top])
+        found_s.append(s[top])
+    return np.concatenate(found_q), np.concatenate(found_c), np.concatenate(found_s)
 
 
 def _blobs(rows: DataFrame, column: str) -> DataFrame:

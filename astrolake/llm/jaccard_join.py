@@ -21,7 +21,8 @@ members of an index entry become candidate pairs: all pairs of a small entry,
 a star of a large one; (4) pairs are verified on the sets themselves; (5) for large
 entries whose members are not yet one component, the pairs across components
 are verified as well, so no link that joins components is lost; (6) components by
-repeated minimum labels.
+repeated minimum labels; (7) all links lie inside components, so where a component has
+pairs that were not verified, all its sets are compared, in blocks, to count each one's links.
 
 Defined cases: null or wordless texts have an empty set, no link and are their own
 component; texts below k words are one shingle; repeated doc_ids and rows each get
@@ -49,6 +50,12 @@ MAX_FREQUENT = 1 << 20
 BUCKET_TOKENS = 1 << 20
 #: Members of a large entry that stand against each other in one group.
 BLOCK = 2048
+#: Members and tokens of a component in one block when links are counted.
+COUNT_BLOCK, COUNT_TOKENS = 1024, 1 << 20
+#: Tokens in more members than this are counted by a matrix product.
+COUNT_DENSE = 16
+#: Nodes up to this many are broadcast (some thirty bytes each); beyond it they are joined by a shuffle.
+BROADCAST_NODES = 1 << 19
 
 _CUT = np.uint64(24)
 
@@ -452,8 +459,97 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, threshold: int = THRESHOLD, bucket_tokens: int = BUCKET_TOKENS, frequent: int = FREQUENT, max_frequent: int = MAX_FREQUENT, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_verified (other texts it was verified similar to; in large entries enough of them to join components)."""
+def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every two sets."""
+    m = len(sets)
+    token, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.lexsort((owner, token))
+    token, owner = token[order], owner[order]
+    starts, group = packing.groups(token)
+    count = np.diff(np.r_[starts, len(token)])
+    out = np.zeros(m * m, np.int64)
+    few = count[group] <= COUNT_DENSE
+    t, o = token[few], owner[few]
+    for step in range(1, COUNT_DENSE):
+        same = np.flatnonzero(t[step:] == t[:-step])
+        if not len(same):
+            break
+        np.add.at(out, o[same] * m + o[same + step], 1)
+    out = out.reshape(m, m)
+    out = out + out.T
+    often = np.flatnonzero(count > COUNT_DENSE)
+    width = max(64, (1 << 22) // m)
+    for i in range(0, len(often), width):
+        part = often[i : i + width]
+        column = np.repeat(np.arange(len(part)), count[part])
+        at = np.concatenate([np.arange(starts[g], starts[g] + count[g]) for g in part])
+        held = np.zeros((m, len(part)), np.float32)
+        held[owner[at], column] = 1
+        out += (held @ held.T).astype(np.int64)
+    return out
+
+
+def count_links(texts: DataFrame, links: DataFrame, linked: DataFrame, nodes: DataFrame, k: int, n_buckets: int, threshold: int, block: int = COUNT_BLOCK, tokens: int = COUNT_TOKENS) -> DataFrame:
+    """(node, n_links): how many other sets each set is similar to.
+
+    A component of more than ``block`` sets or ``tokens`` tokens is cut into blocks, and
+    every two blocks meet in a group of their own."""
+    known = links.join(linked.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.count(F.lit(1)).alias("known"))
+    members = linked.join(nodes.select("node", "n"), "node")
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")).join(known, "component").where("known < m * (m - 1) / 2")
+    sizes = sizes.select("component", F.greatest(F.ceil(F.col("m") / F.lit(block)), F.ceil(F.col("size") / F.lit(tokens))).alias("blocks"))
+    wanted = packing.written(linked.join(sizes, "component").select("node", "component", "blocks"), "uncounted")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("c"))
+    n_wanted = wanted.count()
+    if not n_wanted:
+        return ends.groupBy("node").agg(F.sum("c").alias("n_links"))
+
+    def emit(batches):
+        seen = set()
+        for _, sets in _sets(batches, "t", k):
+            new = {signature(s): s for s in sets if len(s)}
+            new = {v: s for v, s in new.items() if v not in seen}
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([s.tobytes() for s in new.values()], pa.binary())], names=["node", "tokens"])
+
+    few = n_wanted <= BROADCAST_NODES
+    dealt = texts.mapInArrow(emit, "node long, tokens binary").join(F.broadcast(wanted) if few else wanted, "node")
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # small components share a group; two blocks of a large one have theirs
+    dealt = dealt.select(
+        (F.col("blocks") > 1).alias("large"),
+        F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(n_buckets))).alias("part"),
+        F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "component", "node", "tokens",
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        low, high, mine, comp, node = (table.column(c).to_numpy() for c in ("low", "high", "mine", "component", "node"))
+        raw = table.column("tokens")
+        order = np.lexsort((node, comp))
+        keep = np.ones(len(order), bool)
+        keep[1:] = node[order][1:] != node[order][:-1]
+        order = order[keep]
+        starts, _ = packing.groups(comp[order])
+        out_node, out_count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(starts, np.r_[starts[1:], len(order)], strict=True):
+            o = order[a:b]
+            sets = [np.frombuffer(x, np.uint64) for x in raw.take(pa.array(o)).to_pylist()]
+            n, common = np.array([len(s) for s in sets], np.int64), common_tokens(sets)
+            ok = 100 * common >= threshold * (n[:, None] + n[None] - common)
+            np.fill_diagonal(ok, False)
+            if low[o[0]] < high[o[0]]:
+                ok &= mine[o][:, None] != mine[o][None]
+            out_node.append(node[o])
+            out_count.append(ok.sum(axis=1))
+        return pa.table({"node": pa.array(np.concatenate(out_node), pa.int64()), "c": pa.array(np.concatenate(out_count), pa.int64())})
+
+    counted = dealt.groupBy("large", "part", "low", "high").applyInArrow(run, "node long, c long")
+    rest = ends.join(wanted.select("node"), "node", "left_anti")
+    return rest.unionByName(counted).groupBy("node").agg(F.sum("c").alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, threshold: int = THRESHOLD, bucket_tokens: int = BUCKET_TOKENS, frequent: int = FREQUENT, max_frequent: int = MAX_FREQUENT, small: int = SMALL, block: int = BLOCK, counted: bool = True, count_block: int = COUNT_BLOCK) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, n_verified (different other texts it is similar to; null if not ``counted``)."""
     texts = docs.select(F.col(text).alias("t"))
     n_rows, size = packing.text_size(texts, "t")
     n_buckets = packing.bucket_count(size // 6, bucket_tokens)
@@ -474,8 +570,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         if not cross.isEmpty():
             links = links.unionByName(packing.written(verify(cross, texts, k, n_buckets, threshold), "links"))
             linked = components(links)
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    rows = table.select("doc_id", "n", "node").join(linked, "node", "left").join(ends, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    if counted:
+        ends = count_links(texts, links, linked, nodes, k, n_buckets, threshold, count_block)
+    else:
+        ends = linked.select("node", F.lit(None).cast("long").alias("n_links"))
+    rows = table.select("doc_id", "n", "node").join(linked, "node", "left").join(ends, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("component"), (F.coalesce("n_links", F.lit(0)) if counted else F.col("n_links")).alias("n_links"))
     least = rows.where("node <> 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return (
         rows.join(least, "component", "left")
@@ -489,7 +588,7 @@ BROADCAST_IDS = 1 << 20
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Of each component the documents with the smallest id stay; rows with a null id stay."""
-    found = packing.written(jaccard_components(docs, doc_id, text, **options), "components")
+    found = packing.written(jaccard_components(docs, doc_id, text, counted=False, **options).select("doc_id", "component_id"), "components")
     lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
     few = lost.count() <= BROADCAST_IDS
     rows = packing.wrapped(docs, _id=doc_id)

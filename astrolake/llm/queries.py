@@ -72,11 +72,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
-        "doc_id",
-        F.col("_n_bytes").alias("n_bytes"),
-        F.aggregate("_removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
-        F.size("_removed").cast("long").alias("n_spans"),
-        F.sha2("_kept", 256).alias("kept_sha256"),
+        "doc.doc_id",
+        "n_bytes",
+        F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
     )
 
 

@@ -2,29 +2,32 @@
 
 Every byte covered by a ``span``-byte string that also starts in a document with
 a smaller doc_id is removed.  Documents are UTF-8 bytes; matches never cross
-documents; strings are judged on the input.
+documents; strings are judged on the input, and only bytes that were compared are removed.
 
 Sorting every suffix of a corpus would move it many times over.  Suffixes are
-sampled by content instead: of all k-byte tokens inside a ``span``-byte window
+sampled by content instead: of all ``TOKEN``-byte tokens inside a ``span``-byte window
 the one with the least hash is its anchor, so equal windows have equal anchors,
-and about one suffix in fifteen is kept.  Consecutive windows with one anchor
-form a *run* of window starts.
-
-1. A bounded sample of anchors gives splitters; suffixes are range-partitioned by
-   their leading bytes.  Before the exchange a task sorts what it holds; of equal
-   runs only those of the smallest document go on, the others are already known to
-   be repeats (so a passage that millions of documents share arrives once per task).
-2. Each range bucket sorts its suffixes by token, then run, then document (word-wise
-   multikey order on fixed-width keys).  Neighbours with equal runs: all windows of
-   the later document are repeats.  Splitters never separate equal leading bytes, so
-   no group straddles a boundary and neighbours across boundaries differ.
-3. Where one token has several different runs in different documents (the ends of a
-   match), the bytes of those runs are fetched and their windows compared one by one.
-4. Marks are united per document and the remaining bytes are kept.
+and about one suffix in eighteen is kept.  Consecutive windows with one anchor form a *run*.
+
+1. Hashes of anchors are exchanged, to find those that several documents share.  This
+   only leaves out suffixes that can match nothing; what it lets through by chance is
+   compared later.  A token that two documents of one flush share travels once.
+2. A bounded sample of anchors gives splitters.  Shared suffixes, with the bytes of their
+   run, are range-partitioned by their leading token.  Before the exchange a task sorts
+   what it holds; of equal runs only those of the smallest document go on.
+3. Each range bucket sorts its suffixes by multikey quicksort (characters of eight bytes).
+   Suffixes that are neighbours with one leading token, but of different documents, are
+   compared: equal runs by one more sort, and of what is left all windows, sorted alike.
+   Of equal windows those outside the smallest document are repeats.
+4. Splitters are whole tokens, so suffixes on both sides of a boundary differ in their
+   leading token, unless a token is so frequent in the sample that one bucket should not
+   hold it: its suffixes are dealt to all buckets window by window, by the hash of the
+   window, which is how windows on both sides of such boundaries are compared.
+5. Marks are united per document and the remaining bytes are kept.
 
 Defined cases: null text is empty; texts shorter than ``span`` keep all; a null
-doc_id counts as larger than any; rows with one doc_id never remove each other;
-other columns are passed through.
+doc_id counts as 2**63 - 1, the largest; rows with one doc_id never remove each other;
+other columns are passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,27 +41,31 @@ from pyspark.sql import functions as F
 
 from astrolake.llm import packing, textops
 
-SPAN, K = 50, 16
-#: Text bytes behind one bucket.
-BUCKET_BYTES = 12 << 20
-#: Rows whose anchors are sampled for splitters, at most, and anchors taken of each.
-SAMPLE_ROWS, SAMPLE_EACH = 2000, 50
+SPAN, TOKEN = 50, 16
+#: Text bytes behind one bucket of suffixes, and behind one group of rows.
+BUCKET_BYTES, ROW_BYTES = 12 << 20, 4 << 20
+#: Anchors sampled for each range, anchors taken of a row, and ranges at most; more buckets part a range by token.
+SAMPLE, SAMPLE_EACH, MAX_RANGES = 64, 50, 1 << 14
+#: Different runs of one token in the sample from which it is dealt by window.
+HOT = 16
+#: Windows compared at a time.
+WINDOWS = 1 << 18
 
 _NULL_ID = np.iinfo(np.int64).max
 _CUT = np.uint64(24)
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, span: int, k: int):
-    """Runs of windows with one anchor: row, first and last+1 window start, token hash, hash of all bytes covered, leading 8 bytes."""
-    n, width = len(data), span - k + 1
+def runs(data: np.ndarray, offsets: np.ndarray, span: int):
+    """Runs of windows with one anchor: row, first and last+1 window start, place of the anchor, hash of its token."""
+    n, width = len(data), span - TOKEN + 1
     windows = n - span + 1
     none = np.zeros(0, np.int64)
     if windows <= 0:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64)
-    running = textops.prefix_hash(data)
-    m = n - k + 1
-    grams = textops.span_hashes(data, np.arange(m), np.arange(k, n + 1), running)
-    low, step = grams.copy(), 1
+        return none, none, none, none, none.astype(np.uint64)
+    view = textops.eights(data)
+    m = n - TOKEN + 1
+    grams = textops.mix(textops.mix(view[:m] + np.uint64(0x9E3779B97F4A7C15)) + view[8 : m + 8])
+    low, step = grams, 1
     while step * 2 <= width:
         low = np.minimum(low[: len(low) - step], low[step:])
         step *= 2
@@ -71,310 +78,367 @@ def runs(data: np.ndarray, offsets: np.ndarray, span: int, k: int):
     start = np.flatnonzero(new)
     end = np.r_[start[1:], windows]
     start, end = start[inside[start]], end[inside[start]]
-    token = least[start]
-    covered = textops.span_hashes(data, start, end - 1 + span, running)
-    # where the anchor itself stands, for its leading bytes
-    lead = _leading(data, grams, start, token, width)
-    return row[start], start, end, token, covered, lead
-
-
-def _leading(data, grams, start, token, width):
-    """First eight bytes, big-endian, of the suffix at each run's anchor."""
-    at = start.copy()
-    todo = np.arange(len(start))
-    for step in range(width):
-        hit = grams[start[todo] + step] == token[todo]
-        at[todo[hit]] = start[todo[hit]] + step
+    token, at, todo = least[start], start.copy(), np.arange(len(start))
+    for ahead in range(width):
+        hit = grams[start[todo] + ahead] == token[todo]
+        at[todo[hit]] = start[todo[hit]] + ahead
         todo = todo[~hit]
         if not len(todo):
             break
-    out = np.zeros(len(start), np.uint64)
-    for i in range(8):
-        out = (out << np.uint64(8)) | data[at + i].astype(np.uint64)
-    return out
+    return row[start], start, end, at, token
+
+
+def multikey_order(view: np.ndarray, at: np.ndarray, length: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of the strings ``at`` .. ``at + length`` inside each group, with eight bytes as one character.
+
+    Strings of one group are of one length.  Only what is still tied goes into the next
+    round.  Returns the order, and numbers that are equal for equal strings."""
+    order = np.argsort(group, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = group[order][1:] != group[order][:-1]
+    tied, depth = np.arange(len(order)), 0
+    while True:
+        first = new[tied]
+        tied = tied[~first | np.r_[~first[1:], False]] if len(tied) else tied
+        tied = tied[length[order[tied]] > depth]
+        if not len(tied):
+            return order, np.cumsum(new) - 1
+        o = order[tied]
+        left = np.minimum(length[o] - depth, 8)
+        key = view[at[o] + depth].astype(np.uint64) >> (np.uint64(8) * (8 - left).astype(np.uint64))
+        number = np.cumsum(new[tied])
+        by = np.lexsort((key, number))
+        order[tied], key = o[by], key[by]
+        new[tied[1:]] |= key[1:] != key[:-1]
+        depth += 8
+
+
+def repeated_runs(view, at, length, group, doc) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the runs, and which of them equal a run of a smaller document."""
+    order, same = multikey_order(view, at, length, group)
+    starts, _ = packing.groups(same)
+    least = np.minimum.reduceat(doc[order], starts) if len(starts) else doc[:0]
+    return order, doc[order] > least[same]
+
+
+def repeated_windows(view, at, count, group, doc, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, first, last + 1) of consecutive windows that equal a window of a smaller document in the same group."""
+    owner = np.repeat(np.arange(len(at)), count)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    order, same = multikey_order(view, at[owner] + inner, np.full(len(owner), span, np.int64), group[owner])
+    starts, _ = packing.groups(same)
+    d = doc[owner][order]
+    repeat = np.zeros(len(owner), bool)
+    repeat[order] = d > np.minimum.reduceat(d, starts)[same] if len(starts) else False
+    edge = np.ones(len(owner), bool)
+    edge[1:] = owner[1:] != owner[:-1]
+    before = np.r_[False, repeat[:-1]] & ~edge
+    after = np.r_[repeat[1:] & ~edge[1:], False]
+    first, last = np.flatnonzero(repeat & ~before), np.flatnonzero(repeat & ~after)
+    return owner[first], inner[first], inner[last] + 1
 
 
 def _ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
 
 
-def _row_keys(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Identity of a row: its doc_id and text."""
-    h = textops.span_hashes(data, offsets[:-1], offsets[1:]) if len(data) else textops.mix(np.zeros(len(ids), np.uint64))
-    return textops.mix(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + h)
+def _leads(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The tokens at some places, as bytes that sort."""
+    out = np.empty((len(at), 2), ">u8")
+    view = textops.eights(data, ">")
+    out[:, 0], out[:, 1] = view[at], view[at + 8]
+    return out.reshape(-1).view("S16")
 
 
-def splitters(texts: DataFrame, n_rows: int, n_buckets: int, span: int, k: int) -> np.ndarray:
-    """Leading bytes that part the suffixes into about equal ranges, from a bounded sample of rows."""
+class Plan:
+    """Where suffixes go: range splitters, tokens that are dealt by window, and numbers of buckets."""
+
+    def __init__(self, cuts: np.ndarray, hot: np.ndarray, parts: int, buckets: int):
+        self.cuts, self.hot, self.parts, self.buckets = cuts, hot, parts, buckets
+
+    def is_hot(self, leads: np.ndarray) -> np.ndarray:
+        return np.isin(leads, self.hot) if len(self.hot) else np.zeros(len(leads), bool)
+
+    def bucket(self, leads: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.cuts, leads, "right").astype(np.int64) * self.parts
+        if self.parts > 1:
+            two = np.frombuffer(leads.tobytes(), np.uint64).reshape(-1, 2)
+            at += (textops.mix(two[:, 0] + textops.mix(two[:, 1])) % np.uint64(self.parts)).astype(np.int64)
+        return at
+
+
+def plan_of(texts: DataFrame, n_rows: int, size: int, bucket_bytes: int, span: int) -> Plan:
+    """Splitters between about equal ranges of leading tokens, from a bounded sample of rows."""
+    wanted = packing.bucket_count(size, bucket_bytes)
+    ranges = min(wanted, MAX_RANGES)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in textops.pieces(batch, "t"):
-                lead = runs(*textops.raw(part.column("t")), span, k)[5]
-                take = lead[:: max(1, len(lead) // (SAMPLE_EACH * part.num_rows))]
-                yield pa.RecordBatch.from_arrays([pa.array(take.view(np.int64))], names=["lead"])
-
-    share = min(1.0, SAMPLE_ROWS / max(n_rows, 1))
-    got = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int(share * (1 << 20))).mapInArrow(run, "lead long").toArrow()
-    lead = np.sort(got.column("lead").to_numpy().view(np.uint64))
+            for part in textops.pieces(batch, "text"):
+                data, offsets = textops.raw(part.column("text"))
+                _, start, end, at, _ = runs(data, offsets, span)
+                take = slice(None, None, max(1, len(start) // (SAMPLE_EACH * part.num_rows)))
+                covered = textops.span_hashes(data, start[take], end[take] - 1 + span)
+                yield pa.RecordBatch.from_arrays([pa.array(_leads(data, at[take]).tolist(), pa.binary()), pa.array(covered.view(np.int64))], names=["lead", "run"])
+
+    share = min(1.0, max(40, SAMPLE * ranges / SAMPLE_EACH) / max(n_rows, 1))
+    few = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    got = few.mapInArrow(run, "lead binary, run long").distinct().toArrow()
+    lead = np.sort(np.array(got.column("lead").to_pylist(), "S16"))
     if not len(lead):
-        return np.zeros(0, np.uint64)
-    return np.unique(lead[np.linspace(0, len(lead) - 1, n_buckets + 1).astype(np.int64)[1:-1]])
+        return Plan(lead, lead, 1, ranges)
+    names, counts = np.unique(lead, return_counts=True)
+    cuts = np.unique(lead[np.linspace(0, len(lead) - 1, ranges + 1).astype(np.int64)[1:-1]])
+    parts = -(-wanted // ranges)
+    return Plan(cuts, names[counts >= max(HOT, len(lead) / (4 * ranges))], parts, (len(cuts) + 1) * parts)
 
 
-def _local_repeats(token, covered, doc):
-    """Order by (token, run, document), and which entries repeat a run of a smaller document."""
-    order = np.lexsort((doc, covered, token))
-    starts, group = packing.groups(token[order], covered[order])
-    least = doc[order][starts] if len(starts) else doc[:0]
-    return order, doc[order] > least[group]
+def _span_rows(n_groups: int, ids, keys, row, *columns):
+    """Blobs (bucket of rows, rows, and their spans), from spans of rows numbered by ``row``."""
+    used, local = np.unique(row, return_inverse=True)
+    bucket = (keys[used] % n_groups)[local]
+    order = np.lexsort((columns[0], local, bucket))
+    for b, s in packing.by_bucket(bucket[order]):
+        o = order[s]
+        mine, near = np.unique(local[o], return_inverse=True)
+        yield b, packing.pack(ids[used[mine]], keys[used[mine]], near.astype(np.uint32), *[c[o].astype(np.uint32) for c in columns])
 
 
-def suffix_blobs(texts: DataFrame, cuts: np.ndarray, span: int, k: int) -> DataFrame:
-    """Per range bucket: sampled suffixes sorted by token, and repeats found before the exchange."""
-    held_cuts = texts.sparkSession.sparkContext.broadcast(cuts)
+def shared_anchors(texts: DataFrame, n_buckets: int, n_groups: int, span: int) -> DataFrame:
+    """Per group of rows: runs whose anchor token occurs in another document as well (row, start, windows, place of the anchor)."""
 
-    def run(batches):
-        cuts, held, size = held_cuts.value, [], 0
+    def emit(batches):
+        held, size, rows = [], 0, 0
 
         def flush():
-            doc, key = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            base = np.cumsum([0] + [len(h[0]) for h in held[:-1]])
-            row = np.concatenate([h[2] + b for h, b in zip(held, base, strict=True)])
-            start, length, token, covered, lead = (np.concatenate([h[i] for h in held]) for i in (3, 4, 5, 6, 7))
-            bucket = np.searchsorted(cuts, lead, "right")
-            order, repeat = _local_repeats(token, covered, doc[row])
-            order = np.r_[order[~repeat], order[repeat]]
-            repeat = np.arange(len(order)) >= len(order) - int(repeat.sum())
-            by = np.lexsort((repeat, bucket[order]))  # stable: keeps token order inside
-            order, repeat = order[by], repeat[by]
-            for b, s in packing.by_bucket(bucket[order]):
-                o, r = order[s], repeat[s]
-                used, local = np.unique(row[o], return_inverse=True)
-                first = o[~r]
-                yield b, packing.pack(packing.delta(token[first]), covered[first], local.astype(np.uint32), start[o].astype(np.uint32), length[o].astype(np.uint32), doc[used], key[used])
+            ids, keys = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            row, start, count, ahead, token = (np.concatenate([h[i] for h in held]) for i in range(2, 7))
+            order = np.lexsort((row, token))
+            row, start, count, ahead, token = row[order], start[order], count[order], ahead[order], token[order]
+            starts, group = packing.groups(token)
+            doc = ids[row]
+            known = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts))[group] if len(starts) else np.zeros(0, bool)
+            if known.any():
+                yield from ((-1 - b, blob) for b, blob in _span_rows(n_groups, ids, keys, row[known], start[known], count[known], ahead[known]))
+            # a token known to be shared is named once, the others with all that is needed to ask for them
+            bucket = ((token >> np.uint64(8)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+            once = np.zeros(len(token), bool)
+            once[starts] = known[starts] if len(starts) else False
+            for b, s in packing.by_bucket(bucket):
+                n, t = np.flatnonzero(once[s]) + s.start, np.flatnonzero(~known[s]) + s.start
+                used, local = np.unique(row[t], return_inverse=True)
+                yield b, packing.pack(packing.delta(token[n]), packing.delta(token[t]), local.astype(np.uint32), start[t].astype(np.uint32), count[t].astype(np.uint32), ahead[t].astype(np.uint32), ids[used], keys[used])
 
         for batch in batches:
-            for part in textops.pieces(batch, "t"):
-                data, offsets = textops.raw(part.column("t"))
-                ids = _ids(part.column("doc_id"))
-                row, start, end, token, covered, lead = runs(data, offsets, span, k)
-                held.append((ids, _row_keys(ids, data, offsets), row, start - offsets[row], end - start, token >> _CUT, covered >> _CUT, lead))
+            for part in textops.pieces(batch, "text"):
+                data, offsets = textops.raw(part.column("text"))
+                row, start, end, at, token = runs(data, offsets, span)
+                held.append((_ids(part.column("id")), part.column("key").to_numpy(), row + rows, start - offsets[row], end - start, at - start, token >> _CUT))
+                rows += part.num_rows
                 size += len(data)
                 if size >= packing.FLUSH_BYTES:
                     yield packing.blob_batch(flush())
-                    held, size = [], 0
+                    held, size, rows = [], 0, 0
         if held:
             yield packing.blob_batch(flush())
 
-    return texts.mapInArrow(run, packing.BLOB_SCHEMA)
-
-
-def _mark_blobs(n_buckets: int, kind: int, key, a, b, token=None):
-    """Rows (kind, bucket of the row key, blob of marks sorted by row)."""
-    order = np.lexsort((a, key, key % np.uint64(n_buckets)))
-    key, a, b = key[order], a[order], b[order]
-    token = None if token is None else token[order]
-    for j, s in packing.by_bucket((key % np.uint64(n_buckets)).astype(np.int64)):
-        starts, group = packing.groups(key[s])
-        arrays = [key[s][starts], np.bincount(group, minlength=len(starts)).astype(np.uint32), a[s].astype(np.uint32), (b[s] - a[s]).astype(np.uint32)]
-        yield kind, j, packing.pack(*arrays, *([] if token is None else [token[s]]))
-
-
-_MARKS = "kind int, bucket long, blob binary"
-
-
-def _mark_table(rows) -> pa.Table:
-    rows = list(rows)
-    return pa.table({"kind": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int64()), "blob": pa.array([r[2] for r in rows], pa.binary())})
-
-
-def compare_neighbours(blobs: DataFrame, n_buckets: int, span: int) -> DataFrame:
-    """Marks of kind 0 (byte spans known to repeat) and requests of kind 1 (runs to compare window by window)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        token, covered, doc, key, start, length, early = [], [], [], [], [], [], []
-        for blob in table.column("blob").to_pylist():
-            t, c, local, s, n, docs, keys = packing.unpack(blob)
-            m = len(t)
-            token.append(packing.undelta(t))
-            covered.append(c)
-            doc.append(docs[local[:m]])
-            key.append(keys[local[:m]])
-            start.append(s[:m].astype(np.int64))
-            length.append(n[:m].astype(np.int64))
-            early.append((keys[local[m:]], s[m:].astype(np.int64), n[m:].astype(np.int64)))
-        token, covered, doc, key, start, length = map(np.concatenate, (token, covered, doc, key, start, length))
-        order, repeat = _local_repeats(token, covered, doc)
-        done = order[repeat]
-        k0 = np.concatenate([key[done], *(e[0] for e in early)])
-        a0 = np.concatenate([start[done], *(e[1] for e in early)])
-        b0 = np.concatenate([start[done] + length[done] - 1 + span, *(e[1] + e[2] - 1 + span for e in early)])
-        # tokens with several runs, not all of one document
-        order = order[~repeat]
-        t, c, d = token[order], covered[order], doc[order]
-        starts, group = packing.groups(t)
-        if len(starts):
-            several = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
-            several &= np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
-            ask = order[several[group]]
-        else:
-            ask = order
-        rows = list(_mark_blobs(n_buckets, 0, k0, a0, b0)) + list(_mark_blobs(n_buckets, 1, key[ask], start[ask], start[ask] + length[ask], token[ask]))
-        return _mark_table(rows)
-
-    return blobs.groupBy("bucket").applyInArrow(run, _MARKS)
-
-
-def _read_marks(table: pa.Table):
-    """Row keys (sorted), and starts, ends and tokens of marks, from the blobs of a bucket."""
-    key, a, b, token = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-    for blob in table.column("blob").to_pylist():
-        k, count, start, length, *more = packing.unpack(blob)
-        key.append(np.repeat(k, count))
-        a.append(start.astype(np.int64))
-        b.append(start.astype(np.int64) + length)
-        token += more
-    key, a, b = np.concatenate(key), np.concatenate(a), np.concatenate(b)
-    order = np.lexsort((a, key))
-    return key[order], a[order], b[order], np.concatenate(token)[order] if token else None
-
-
-def fetch_runs(packs: DataFrame, asked: DataFrame, n_buckets: int, span: int) -> DataFrame:
-    """Bytes of the requested runs, sent to the bucket of their token."""
+    def meet(table: pa.Table) -> pa.Table:
+        got = [packing.unpack(b) for b in table.column("blob").to_pylist()]
+        if table.column("bucket")[0].as_py() < 0:
+            return table.set_column(0, "bucket", pa.array([-1 - b for b in table.column("bucket").to_pylist()], pa.int64()))
+        base = np.cumsum([0, *(len(g[6]) for g in got)])
+        known = np.unique(np.concatenate([packing.undelta(g[0]) for g in got]))
+        token = np.concatenate([packing.undelta(g[1]) for g in got])
+        row = np.concatenate([g[2] + b for g, b in zip(got, base, strict=False)]).astype(np.int64)
+        start, count, ahead, ids, keys = (np.concatenate([g[i] for g in got]) for i in range(3, 8))
+        order = np.argsort(token, kind="stable")
+        starts, group = packing.groups(token[order])
+        if not len(starts):
+            return pa.Table.from_batches([packing.blob_batch([])])
+        doc = ids[row[order]]
+        several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
+        several |= np.isin(token[order][starts], known, assume_unique=True)
+        ask = order[several[group]]
+        return pa.Table.from_batches([packing.blob_batch(_span_rows(n_groups, ids, keys, row[ask], start[ask], count[ask], ahead[ask]))])
+
+    return texts.mapInArrow(emit, packing.BLOB_SCHEMA).groupBy("bucket").applyInArrow(meet, packing.BLOB_SCHEMA)
+
+
+def _spans(table: pa.Table, columns: int):
+    """Rows (doc_id, key) of span blobs and the spans of each, sorted by row."""
+    got = [packing.unpack(b) for b in table.column("blob").to_pylist()]
+    if not got:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0, np.int64)] * columns
+    ids, keys = np.concatenate([g[0][g[2]] for g in got]), np.concatenate([g[1][g[2]] for g in got])
+    spans = [np.concatenate([g[3 + i] for g in got]).astype(np.int64) for i in range(columns)]
+    order = np.lexsort((spans[0], keys, ids))
+    return ids[order], keys[order], [s[order] for s in spans]
+
+
+def _of_rows(ids, keys, row_ids, row_keys) -> tuple[np.ndarray, np.ndarray]:
+    """From where to where the spans of each row stand in arrays sorted by (id, key)."""
+    starts, _ = packing.groups(ids, keys)
+    bounds = {(i, k): (a, b) for i, k, a, b in zip(ids[starts].tolist(), keys[starts].tolist(), starts.tolist(), np.r_[starts, len(ids)][1:].tolist(), strict=True)}
+    found = np.array([bounds.get(x, (0, 0)) for x in zip(row_ids.tolist(), row_keys.tolist(), strict=True)], np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def fetch_runs(rows: DataFrame, asked: DataFrame, plan: Plan, n_groups: int, span: int) -> DataFrame:
+    """Bytes of the shared runs, sent to the bucket of their leading token; and marks of those already known to repeat (buckets below zero)."""
+    held_plan = rows.sparkSession.sparkContext.broadcast(plan)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        if left.num_rows and right.num_rows:
-            key, a, b, token = _read_marks(right)
-            bucket, doc, rowkey, start, length, data_out = [], [], [], [], [], []
-            sent = set()
-            for blob in left.column("blob").to_pylist():
-                for batch in packing.from_table_bytes(blob).to_batches():
-                    data, offsets = textops.raw(batch.column("_text"))
-                    ids = _ids(batch.column("_id"))
-                    keys = _row_keys(ids, data, offsets)
-                    lo, hi = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
-                    for i in np.flatnonzero(hi > lo):
-                        if int(keys[i]) in sent:
-                            continue
-                        sent.add(int(keys[i]))
-                        for j in range(lo[i], hi[i]):
-                            bucket.append(int(token[j] % np.uint64(n_buckets)))
-                            doc.append(ids[i])
-                            rowkey.append(keys[i])
-                            start.append(a[j])
-                            length.append(b[j] - a[j] - 1 + span)
-                            data_out.append(data[offsets[i] + a[j] : offsets[i] + b[j] - 1 + span])
-            bucket = np.array(bucket, np.int64)
-            order = np.argsort(bucket, kind="stable")
-            doc, rowkey, start, length = np.array(doc, np.int64), np.array(rowkey, np.uint64), np.array(start, np.uint32), np.array(length, np.uint32)
-            for j, s in packing.by_bucket(bucket[order]):
-                o = order[s]
-                rows.append((j, packing.pack(doc[o], rowkey[o], start[o], length[o], np.concatenate([data_out[x] for x in o]))))
-        return pa.Table.from_batches([packing.blob_batch(rows)])
-
-    return packs.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, packing.BLOB_SCHEMA)
-
-
-def compare_windows(fetched: DataFrame, n_buckets: int, span: int) -> DataFrame:
-    """Marks of the windows that also start in a smaller document, from the bytes of runs."""
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_batches([packing.blob_batch([])])
+        plan, out = held_plan.value, []
+        ids, keys, (start, count, ahead) = _spans(right, 3)
+        left = left.combine_chunks()
+        row_ids, row_keys = _ids(left.column("id").combine_chunks()), left.column("key").to_numpy()
+        data, offsets = textops.raw(left.column("text").combine_chunks())
+        low, high = _of_rows(ids, keys, row_ids, row_keys)
+        # equal rows ask once
+        first = np.zeros(len(row_ids), bool)
+        first[np.unique(np.stack([row_ids, row_keys]), axis=1, return_index=True)[1]] = True
+        high = np.where(first, high, low)
+        row = np.repeat(np.arange(len(row_ids)), high - low)
+        which = np.arange(len(row)) + np.repeat(low - np.r_[0, np.cumsum(high - low)[:-1]], high - low)
+        start, count, ahead = start[which], count[which], ahead[which]
+        view = textops.eights(data, ">")
+        leads = _leads(data, offsets[row] + start + ahead)
+        hot = plan.is_hot(leads)
+        if hot.any():
+            # a run of a hot token goes window by window
+            owner = np.repeat(np.arange(len(row)), np.where(hot, count, 1))
+            inner = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            row, start, ahead, leads, hot = row[owner], start[owner] + inner, np.where(hot[owner], np.maximum(ahead[owner] - inner, 0), ahead[owner]), leads[owner], hot[owner]
+            count = np.where(hot, 1, count[owner])
+        at, length = offsets[row] + start, count + span - 1
+        order, repeat = repeated_runs(view, at, length, length, row_ids[row])
+        gone, go = order[repeat], order[~repeat]
+        if len(gone):
+            out += [(-1 - b, blob) for b, blob in _span_rows(n_groups, row_ids, row_keys, row[gone], start[gone], length[gone])]
+        bucket = plan.bucket(leads[go])
+        if hot.any():
+            warm = hot[go]
+            bucket[warm] = (textops.span_hashes(data, at[go][warm], at[go][warm] + span) % np.uint64(plan.buckets)).astype(np.int64)
+        by = np.lexsort((leads[go], bucket))
+        go, bucket = go[by], bucket[by]
+        for b, s in packing.by_bucket(bucket):
+            o = go[s]
+            used, local = np.unique(row[o], return_inverse=True)
+            body = data[np.repeat(at[o] - np.r_[0, np.cumsum(length[o])[:-1]], length[o]) + np.arange(int(length[o].sum()))]
+            out.append((b, packing.pack(row_ids[used], row_keys[used], local.astype(np.uint32), start[o].astype(np.uint32), count[o].astype(np.uint32), ahead[o].astype(np.uint32), body)))
+        return pa.Table.from_batches([packing.blob_batch(out)])
+
+    return rows.groupBy("group").cogroup(asked.groupBy("bucket")).applyInArrow(run, packing.BLOB_SCHEMA)
+
+
+def compare_suffixes(fetched: DataFrame, n_groups: int, span: int, windows: int = WINDOWS) -> DataFrame:
+    """Marks (start and length of bytes that repeat) per group of rows, from the sorted suffixes of each bucket."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            return table.set_column(0, "bucket", pa.array([-1 - b for b in table.column("bucket").to_pylist()], pa.int64()))
         got = [packing.unpack(b) for b in table.column("blob").to_pylist()]
-        doc, key, start, length, data = (np.concatenate([g[i] for g in got]) for i in range(5))
-        length = length.astype(np.int64)
-        offsets = np.r_[0, np.cumsum(length)]
-        count = length - span + 1
-        first = np.r_[0, np.cumsum(count)]
-        owner = np.repeat(np.arange(len(doc)), count)
-        inner = np.arange(first[-1]) - first[owner]
-        at = offsets[owner] + inner
-        h = textops.span_hashes(data, at, at + span)
-        order = np.lexsort((doc[owner], h))
-        starts, group = packing.groups(h[order])
-        d = doc[owner][order]
-        repeat = np.zeros(len(h), bool)
+        ids, keys = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        base = np.cumsum([0, *(len(g[0]) for g in got)])
+        row = np.concatenate([g[2] + b for g, b in zip(got, base, strict=False)]).astype(np.int64)
+        start, count, ahead = (np.concatenate([g[i] for g in got]).astype(np.int64) for i in (3, 4, 5))
+        data = np.concatenate([g[6] for g in got])
+        del got
+        view, length, doc = textops.eights(data, ">"), count + span - 1, ids[row]
+        at = np.cumsum(length) - length
+        # suffixes in order of their leading token; those that no other document shares are done
+        order, token = multikey_order(view, at + ahead, np.full(len(at), TOKEN, np.int64), np.zeros(len(at), np.int64))
+        starts, _ = packing.groups(token)
+        several = np.minimum.reduceat(doc[order], starts) != np.maximum.reduceat(doc[order], starts)
+        order, token = order[several[token]], token[several[token]]
+        # equal runs
+        kind = token * (int(length.max()) + 1) + length[order]
+        by, repeat = repeated_runs(view, at[order], length[order], kind, doc[order])
+        gone = order[by[repeat]]
+        mark_row, mark_start, mark_length = [row[gone]], [start[gone]], [length[gone]]
+        keep = np.sort(by[~repeat])
+        order, token = order[keep], token[keep]
+        # windows of the other runs, some tokens at a time
+        starts, number = packing.groups(token)
         if len(starts):
-            repeat[order] = d > d[starts][group]
-        # runs of repeated windows of one request
-        new = np.flatnonzero(repeat & np.r_[True, (owner[1:] != owner[:-1]) | ~repeat[:-1]]) if len(repeat) else np.zeros(0, np.int64)
-        last = np.flatnonzero(repeat & np.r_[(owner[1:] != owner[:-1]) | ~repeat[1:], True]) if len(repeat) else new
-        o = owner[new]
-        a = start[o].astype(np.int64) + inner[new]
-        b = start[o].astype(np.int64) + inner[last] + span
-        return _mark_table(_mark_blobs(n_buckets, 0, key[o], a, b))
-
-    return fetched.groupBy("bucket").applyInArrow(run, _MARKS)
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, k: int = K, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Rows of ``docs`` with ``_n_bytes``, ``_removed`` (spans of bytes) and ``_kept`` (remaining bytes)."""
-    names = docs.columns
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    n_rows, size = packing.text_size(texts, "t")
-    n_buckets = packing.bucket_count(size, bucket_bytes)
-    cuts = splitters(texts, n_rows, n_buckets, span, k)
-    marks = packing.written(compare_neighbours(suffix_blobs(texts, cuts, span, k), n_buckets, span), "suffix-marks")
-
-    def route(batch):
-        data, offsets = textops.raw(batch.column("_text"))
-        return _row_keys(_ids(batch.column("_id")), data, offsets)
-
-    lean = packing.row_packs(docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")), route, n_buckets)
-    fine = compare_windows(fetch_runs(lean, marks.where("kind = 1").select("bucket", "blob"), n_buckets, span), n_buckets, span)
-    all_marks = marks.where("kind = 0").unionByName(fine).select("bucket", "blob")
-    whole = packing.row_packs(docs.select("*", F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")), route, n_buckets)
-    schema = packing.extended(docs, "_n_bytes long, _removed array<struct<start:int,end:int>>, _kept binary")
+            apart = np.minimum.reduceat(doc[order], starts) != np.maximum.reduceat(doc[order], starts)
+            order, token = order[apart[number]], token[apart[number]]
+            before = np.cumsum(count[order]) - count[order]
+            starts, number = packing.groups(token)
+            block = before[starts][number] // windows if len(starts) else before
+            for a in packing.by_bucket(block):
+                o = order[a[1]]
+                which, first, last = repeated_windows(view, at[o], count[o], token[a[1]], doc[o], span)
+                mark_row.append(row[o][which])
+                mark_start.append(start[o][which] + first)
+                mark_length.append(last - first - 1 + span)
+        rows, begin, n = np.concatenate(mark_row), np.concatenate(mark_start), np.concatenate(mark_length)
+        return pa.Table.from_batches([packing.blob_batch(_span_rows(n_groups, ids, keys, rows, begin, n))])
+
+    return fetched.groupBy("bucket").applyInArrow(run, packing.BLOB_SCHEMA)
+
+
+def _cut(part: pa.RecordBatch, low, high, begin, length) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Bytes of each text, spans of them that go, and the bytes that stay."""
+    data, offsets = textops.raw(part.column("text"))
+    steps = np.zeros(len(data) + 1, np.int32)
+    row = np.repeat(np.arange(part.num_rows), high - low)
+    which = np.arange(len(row)) + np.repeat(low - np.r_[0, np.cumsum(high - low)[:-1]], high - low)
+    np.add.at(steps, offsets[row] + begin[which], 1)
+    np.add.at(steps, offsets[row] + begin[which] + length[which], -1)
+    gone = np.cumsum(steps)[:-1] > 0
+    owner = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+    first = gone & ~np.r_[False, gone[:-1] & (owner[1:] == owner[:-1])] if len(gone) else gone
+    last = gone & ~np.r_[gone[1:] & (owner[1:] == owner[:-1]), False] if len(gone) else gone
+    a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+    base = offsets[:-1][owner[a]]
+    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[a], np.arange(part.num_rows + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(a - base, pa.int32()), pa.array(b - base, pa.int32())], names=["start", "end"]))
+    left = np.r_[0, np.cumsum(~gone)][offsets]
+    kept = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(left.astype(np.int32).tobytes()), pa.py_buffer(data[~gone].tobytes())])
+    return np.diff(offsets), spans, kept
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, bucket_bytes: int = BUCKET_BYTES, row_bytes: int = ROW_BYTES, windows: int = WINDOWS) -> DataFrame:
+    """``doc`` (the other columns of the row as a struct), ``is_null`` (the text is), ``n_bytes``, ``removed`` (spans of bytes) and ``kept`` (remaining bytes)."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    wide = docs.select(F.struct(*others).alias("doc"), F.col(f"`{text}`").isNull().alias("is_null"), F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    wide = wide.withColumn("key", F.xxhash64("id", "text"))
+    texts = wide.select("id", "key", "text")
+    n_rows, size = packing.text_size(texts)
+    n_buckets, n_groups = packing.bucket_count(size, bucket_bytes), packing.bucket_count(size, row_bytes)
+    plan = plan_of(texts, n_rows, size, bucket_bytes, span)
+    asked = packing.written(shared_anchors(texts, n_buckets, n_groups, span), "shared-anchors")
+    rows = wide.withColumn("group", F.pmod("key", F.lit(n_groups)))
+    marks = compare_suffixes(fetch_runs(rows, asked, plan, n_groups, span), n_groups, span, windows)
+    schema = packing.extended(rows.select("doc", "is_null"), "n_bytes long, removed array<struct<start:int,end:int>>, kept binary")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, a, b, _ = _read_marks(right)
+        ids, keys, (begin, length) = _spans(right, 2)
         out = []
-        for blob in left.column("blob").to_pylist():
-            for batch in packing.from_table_bytes(blob).to_batches():
-                data, offsets = textops.raw(batch.column("_text"))
-                keys = _row_keys(_ids(batch.column("_id")), data, offsets)
-                lo, hi = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
-                # marks as steps up and down over the whole slice
-                steps = np.zeros(len(data) + 1, np.int32)
-                counts = hi - lo
-                row = np.repeat(np.arange(len(keys)), counts)
-                which = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]] - lo, counts) if len(row) else row
-                np.add.at(steps, offsets[row] + a[which], 1)
-                np.add.at(steps, offsets[row] + b[which], -1)
-                gone = np.cumsum(steps)[:-1] > 0
-                kept, spans = [], []
-                for i in range(len(keys)):
-                    lost = gone[offsets[i] : offsets[i + 1]]
-                    body = data[offsets[i] : offsets[i + 1]]
-                    if counts[i]:
-                        edge = np.flatnonzero(np.diff(np.r_[0, lost.astype(np.int8), 0]))
-                        spans.append([{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)])
-                        kept.append(body[~lost].tobytes())
-                    else:
-                        spans.append([])
-                        kept.append(body.tobytes())
-                columns = [batch.column(i) for i in range(len(names))]
-                columns += [pa.array(np.diff(offsets), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())]
-                out.append(pa.RecordBatch.from_arrays(columns, names=[*names, "_n_bytes", "_removed", "_kept"]))
+        for batch in left.combine_chunks().to_batches():
+            low, high = _of_rows(ids, keys, _ids(batch.column("id")), batch.column("key").to_numpy())
+            n_bytes, spans, kept = _cut(batch, low, high, begin, length)
+            out.append(pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("is_null"), pa.array(n_bytes, pa.int64()), spans, kept], names=["doc", "is_null", "n_bytes", "removed", "kept"]))
         if not out:
             from pyspark.sql.pandas.types import to_arrow_schema
 
             return to_arrow_schema(schema).empty_table()
         return pa.Table.from_batches(out)
 
-    return whole.groupBy("bucket").cogroup(all_marks.groupBy("bucket")).applyInArrow(finish, schema)
+    return rows.groupBy("group").cogroup(marks.groupBy("bucket")).applyInArrow(finish, schema)
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with repeated spans cut out of the text; characters cut in half are dropped, documents left without text go."""
-    cut = remove_repeats(packing.wrapped(docs, doc_id=doc_id, text=text), **options)
+    cut = remove_repeats(docs, doc_id, text, **options)
 
     def decode(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            texts = [x.decode("utf-8", "ignore") for x in batch.column("_kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string()), batch.column("_n_bytes")], names=["doc", "left", "_n_bytes"])
+            texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("is_null"), batch.column("n_bytes"), pa.array(texts, pa.string())], names=["doc", "is_null", "n_bytes", "left"])
 
-    done = cut.mapInArrow(decode, packing.extended(cut.select("doc"), "left string, _n_bytes long"))
-    done = done.where("left <> '' OR _n_bytes = 0")
-    return done.select(*[(F.when(F.col(f"doc.`{c}`").isNull(), None).otherwise(F.col("left")) if c == text else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    done = cut.select("doc", "is_null", "n_bytes", "kept").mapInArrow(decode, packing.extended(cut.select("doc", "is_null", "n_bytes"), "left string"))
+    done = done.where("left <> '' OR n_bytes = 0")
+    return done.select(*[(F.when(F.col("is_null"), None).otherwise(F.col("left")) if c == text else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -110,10 +110,10 @@ def char_bytes(data: np.ndarray) -> np.ndarray:
     return 1 + (data >= 0xC0).astype(np.int64) + (data >= 0xE0) + (data >= 0xF0)
 
 
-def ends_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, ahead: int, behind: int, running: np.ndarray | None = None) -> np.ndarray:
+def ends_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, ahead: int, behind: int, view: np.ndarray | None = None) -> np.ndarray:
     """Hash of the first ``ahead`` and the last ``behind`` bytes of each span."""
-    running = textops.prefix_hash(data) if running is None else running
-    return textops.mix(textops.span_hashes(data, start, start + ahead, running) * np.uint64(3) + textops.span_hashes(data, end - behind, end, running))
+    view = textops.eights(data) if view is None else view
+    return textops.mix(textops.span_hashes(data, start, start + ahead, view) * np.uint64(3) + textops.span_hashes(data, end - behind, end, view))
 
 
 def word_hash(term: bytes) -> int:
@@ -164,7 +164,7 @@ class Lexicon:
         exact = self._in(h, self.hashes)
         length = end - start
         maybe = np.zeros(len(h), bool)
-        running = textops.prefix_hash(words.data)
+        view = textops.eights(words.data)
         fit = np.flatnonzero(~exact & (length >= SHORTEST - 1) & (length <= LONGEST + 4))
         fit = fit[~self._in(h[fit], self.clean)]
         wide = np.ones(len(h), np.int64)
@@ -174,7 +174,7 @@ class Lexicon:
         for (ahead, behind, whole, slack), known in self.parts.items():
             # one edit changes the length by one character at most
             at = fit[(length[fit] >= max(ahead, behind)) & (np.abs(length[fit] - whole) <= np.maximum(wide[fit], slack))]
-            maybe[at[self._in(ends_hash(words.data, start[at], end[at], ahead, behind, running), known)]] = True
+            maybe[at[self._in(ends_hash(words.data, start[at], end[at], ahead, behind, view), known)]] = True
         weight = np.zeros(len(h))
         slot = np.searchsorted(self.hashes, h[exact])
         weight[exact] = self.weights[slot]

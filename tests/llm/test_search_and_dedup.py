@@ -85,17 +85,51 @@ def brute_removed(rows, span=50):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_bytes": 3000}])
+@pytest.mark.parametrize("options", [{}, {"bucket_bytes": 3000, "row_bytes": 2000}, {"windows": 100}])
 def test_suffix_dedup(docs, rows, options):
     found = suffix_dedup.remove_repeats(docs.select("doc_id", "text"), **options).collect()
-    got = sorted(((r["doc_id"], r["_n_bytes"], sum(s["end"] - s["start"] for s in r["_removed"]), len(r["_removed"]), hashlib.sha256(bytes(r["_kept"])).hexdigest()) for r in found), key=repr)
+    got = sorted(((r["doc"]["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["removed"]), len(r["removed"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in found), key=repr)
     assert got == brute_removed(rows)
 
 
 def test_suffix_dedup_small_flushes(docs, rows, monkeypatch):
     monkeypatch.setattr(packing, "FLUSH_BYTES", 2000)
     found = suffix_dedup.remove_repeats(docs.select("doc_id", "text"), bucket_bytes=5000).collect()
-    assert sorted(((r["doc_id"], hashlib.sha256(bytes(r["_kept"])).hexdigest()) for r in found), key=repr) == sorted(((r[0], r[4]) for r in brute_removed(rows)), key=repr)
+    assert sorted(((r["doc"]["doc_id"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in found), key=repr) == sorted(((r[0], r[4]) for r in brute_removed(rows)), key=repr)
+
+
+@pytest.mark.parametrize("hot", [1, 2])
+def test_suffix_dedup_hot_tokens(docs, rows, monkeypatch, hot):
+    """Tokens that are dealt window by window give the same result, also where ranges are parted by token."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "MAX_RANGES", 5)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1 << 20)
+    found = suffix_dedup.remove_repeats(docs.select("doc_id", "text"), bucket_bytes=4000).collect()
+    assert sorted(((r["doc"]["doc_id"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in found), key=repr) == sorted(((r[0], r[4]) for r in brute_removed(rows)), key=repr)
+
+
+def test_suffix_dedup_compares_bytes(spark, monkeypatch):
+    """Nothing unique goes, however badly tokens are hashed for the first exchange."""
+    monkeypatch.setattr(suffix_dedup, "_CUT", np.uint64(61))
+    thue = lambda n: [bin(i).count("1") & 1 for i in range(n)]
+    a, b = ("".join("ab"[x] for x in t) for t in (thue(1024), [1 - x for x in thue(1024)]))
+    rng = np.random.default_rng(3)
+    token = "one token of all"
+    texts = [a, b] + [token + "".join(chr(97 + x) for x in rng.integers(0, 26, 34)) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r["doc"]["doc_id"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in found)) == [(r[0], r[4]) for r in sorted(brute_removed(rows))]
+
+
+def test_multikey_order():
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    at, length = rng.integers(0, 3900, 700), np.full(700, 50)
+    group = rng.integers(0, 3, 700)
+    order, same = suffix_dedup.multikey_order(textops.eights(data, ">"), at, length, group)
+    strings = [(int(group[i]), data[at[i] : at[i] + 50].tobytes()) for i in order]
+    assert strings == sorted(strings)
+    assert [bool(x) for x in np.diff(same)] == [x != y for x, y in zip(strings[1:], strings[:-1], strict=True)]
 
 
 def test_suffix_stage_keeps_columns(docs, nothing):

@@ -85,7 +85,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, span: int):
         todo = todo[~hit]
         if not len(todo):
             break
-    return row[start], start, end, at, token
+    return row[start], start, end, at, textops.mix(token)  # least hashes are small ones: spread again
 
 
 def multikey_order(view: np.ndarray, at: np.ndarray, length: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,20 +121,42 @@ def repeated_runs(view, at, length, group, doc) -> tuple[np.ndarray, np.ndarray]
     return order, doc[order] > least[same]
 
 
-def repeated_windows(view, at, count, group, doc, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(run, first, last + 1) of consecutive windows that equal a window of a smaller document in the same group."""
-    owner = np.repeat(np.arange(len(at)), count)
-    inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    order, same = multikey_order(view, at[owner] + inner, np.full(len(owner), span, np.int64), group[owner])
-    starts, _ = packing.groups(same)
-    d = doc[owner][order]
-    repeat = np.zeros(len(owner), bool)
-    repeat[order] = d > np.minimum.reduceat(d, starts)[same] if len(starts) else False
-    edge = np.ones(len(owner), bool)
-    edge[1:] = owner[1:] != owner[:-1]
-    before = np.r_[False, repeat[:-1]] & ~edge
-    after = np.r_[repeat[1:] & ~edge[1:], False]
-    first, last = np.flatnonzero(repeat & ~before), np.flatnonzero(repeat & ~after)
+def repeated_windows(view, at, count, group, doc, span: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(run, window) of all windows that equal a window of a smaller document in the same group.
+
+    More than ``most`` windows are parted by their bytes, and one part is sorted at a time."""
+    parts = -(-int(count.sum()) // most)
+    edges = np.r_[0, np.flatnonzero(np.diff(np.cumsum(count) // most)) + 1, len(at)] if parts > 1 else np.array([0, len(at)])
+    for part in range(parts):
+        owner, inner = [], []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            o = np.repeat(np.arange(a, b), count[a:b])
+            i = np.arange(len(o)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b])
+            if parts > 1:
+                h = np.zeros(len(o), np.uint64)
+                for depth in range(0, span - 7, 8):
+                    h = textops.mix(h ^ view[at[o] + i + depth].astype(np.uint64))
+                mine = h % np.uint64(parts) == part
+                o, i = o[mine], i[mine]
+            owner.append(o)
+            inner.append(i)
+        owner, inner = np.concatenate(owner), np.concatenate(inner)
+        order, same = multikey_order(view, at[owner] + inner, np.full(len(owner), span, np.int64), group[owner])
+        starts, _ = packing.groups(same)
+        if len(starts):
+            d = doc[owner][order]
+            found = order[d > np.minimum.reduceat(d, starts)[same]]
+            yield owner[found], inner[found]
+
+
+def joined(owner: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, first, last + 1) of consecutive windows."""
+    order = np.lexsort((inner, owner))
+    owner, inner = owner[order], inner[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (inner[1:] != inner[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(owner)] - 1 if len(first) else first
     return owner[first], inner[first], inner[last] + 1
 
 
@@ -370,10 +392,12 @@ def compare_suffixes(fetched: DataFrame, n_groups: int, span: int, windows: int
             block = before[starts][number] // windows if len(starts) else before
             for a in packing.by_bucket(block):
                 o = order[a[1]]
-                which, first, last = repeated_windows(view, at[o], count[o], token[a[1]], doc[o], span)
-                mark_row.append(row[o][which])
-                mark_start.append(start[o][which] + first)
-                mark_length.append(last - first - 1 + span)
+                found = list(repeated_windows(view, at[o], count[o], token[a[1]], doc[o], span, windows))
+                if found:
+                    which, first, last = joined(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+                    mark_row.append(row[o][which])
+                    mark_start.append(start[o][which] + first)
+                    mark_length.append(last - first - 1 + span)
         rows, begin, n = np.concatenate(mark_row), np.concatenate(mark_start), np.concatenate(mark_length)
         return pa.Table.from_batches([packing.blob_batch(_span_rows(n_groups, ids, keys, rows, begin, n))])
 

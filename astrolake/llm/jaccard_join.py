@@ -18,11 +18,15 @@ Steps: (1) equal sets become one node; (2) exact corpus counts name the frequent
 tokens, a list bounded by ``MAX_FREQUENT``: the least count of a frequent token is
 raised until the list fits; (3) prefixes are exchanged as packed blobs, and
 members of an index entry become candidate pairs: all pairs of a small entry,
-a star of a large one; (4) pairs are verified on the sets themselves; (5) for large
-entries whose members are not yet one component, the pairs across components
-are verified as well, so no link that joins components is lost; (6) components by
-repeated minimum labels; (7) all links lie inside components, so where a component has
-pairs that were not verified, all its sets are compared, in blocks, to count each one's links.
+a star of a large one; (4) sketches, upper bounds of intersections, rule out what cannot
+be similar; (5) for large entries whose members are not yet one component of candidate
+pairs, the pairs across components that sketches allow become candidates as well, so
+every link lies inside a component of candidates; (6) the sets of these components, and no
+others, meet once, in blocks, where exact intersections give each set's number of links
+and what is connected; (7) components by repeated minimum labels.
+
+Sets are compared token by token, by 64-bit hashes of words and shingles; equal sets are
+found by a 64-bit hash of the set.
 
 Defined cases: null or wordless texts have an empty set, no link and are their own
 component; texts below k words are one shingle; repeated doc_ids and rows each get
@@ -54,7 +58,7 @@ BLOCK = 2048
 COUNT_BLOCK, COUNT_TOKENS = 1024, 1 << 20
 #: Tokens in more members than this are counted by a matrix product.
 COUNT_DENSE = 16
-#: Nodes up to this many are broadcast (some thirty bytes each); beyond it they are joined by a shuffle.
+#: Rows of nodes up to this many are broadcast (some thirty bytes each); beyond it they are joined by a shuffle.
 BROADCAST_NODES = 1 << 19
 
 _CUT = np.uint64(24)
@@ -74,7 +78,7 @@ def signature(tokens: np.ndarray) -> int:
     if not len(tokens):
         return 0
     a = textops.mix(tokens + np.uint64(len(tokens)))
-    h = textops.mix(np.array([a.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(textops.mix(tokens))], np.uint64))[0]
+    h = textops.mix(textops.mix(a.sum(dtype=np.uint64, keepdims=True)) + np.bitwise_xor.reduce(a))[0]
     return int(np.int64(np.uint64(h).view(np.int64))) or 1
 
 
@@ -86,8 +90,8 @@ def _sets(batches: Iterator[pa.RecordBatch], text: str, k: int) -> Iterator[tupl
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Token counts by hash in about |set| cells: an upper bound of any intersection.  Empty if a cell overflows."""
-    cells = 1 << min(14, max(5, len(tokens).bit_length()))
+    """Token counts by hash in |set| / 2 to |set| cells: an upper bound of any intersection.  Empty if a cell overflows."""
+    cells = 1 << min(14, max(5, len(tokens).bit_length() - 1))
     counts = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
     return b"" if counts.max(initial=0) > 255 else counts.astype(np.uint8).tobytes()
 
@@ -103,16 +107,16 @@ def bound(a: bytes, b: bytes) -> int | None:
 
 
 def node_table(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """One row per document: doc_id, n (set size), node (signature; 0: empty set), sketch."""
+    """One row per document: doc_id, key (of its text), n (set size), node (signature; 0: empty set), sketch."""
 
     def run(batches):
         for part, sets in _sets(batches, "t", k):
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())],
-                names=["doc_id", "n", "node", "sketch"],
+                [part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())],
+                names=["doc_id", "key", "n", "node", "sketch"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n long, node long, sketch binary")
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t")).withColumn("key", F.xxhash64("t")).mapInArrow(run, "doc_id long, key long, n long, node long, sketch binary")
 
 
 def frequent_tokens(texts: DataFrame, k: int, n_buckets: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -287,74 +291,20 @@ def candidates(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int
     return texts.mapInArrow(emit, packing.BLOB_SCHEMA).groupBy("bucket").applyInArrow(meet, "kind int, a long, b long")
 
 
-def _route_node(n_buckets: int):
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            bucket = (textops.mix(a.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            yield packing.blob_batch((k, packing.pack(a[order][s], b[order][s])) for k, s in packing.by_bucket(bucket[order]))
-
-    return run
-
-
-def verify(pairs: DataFrame, texts: DataFrame, k: int, n_buckets: int, threshold: int) -> DataFrame:
-    """The pairs of nodes that are similar: sets of a travel to where b's text is."""
-
-    def route(batch):
-        return textops.mix(np.array([signature(s) for _, sets in _sets([batch], "t", k) for s in sets], np.int64).view(np.uint64))
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if it has few rows."""
+    return F.broadcast(df) if rows <= BROADCAST_NODES else df
 
-    packs = packing.row_packs(texts, route, n_buckets)
 
-    def fetch(table: pa.Table, wanted: set) -> dict[int, np.ndarray]:
-        found: dict[int, np.ndarray] = {}
-        for blob in table.column("blob").to_pylist():
-            for _, sets in _sets(packing.from_table_bytes(blob).to_batches(), "t", k):
-                for s in sets:
-                    node = signature(s)
-                    if node in wanted:
-                        found[node] = s
-        return found
-
-    def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if right.num_rows and left.num_rows:
-            got = [packing.unpack(x) for x in right.column("blob").to_pylist()]
-            a, b = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-            sets = fetch(left, set(a.tolist()))
-            bucket = (textops.mix(b.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.lexsort((a, bucket))
-            a, b, bucket = a[order], b[order], bucket[order]
-            for j, s in packing.by_bucket(bucket):
-                names = np.unique(a[s])
-                names = names[[int(x) in sets for x in names]]
-                parts = [sets[int(x)] for x in names]
-                out.append((j, packing.pack(a[s], b[s], names, np.array([len(p) for p in parts], np.int64), np.concatenate([packing.delta(p) for p in parts]) if parts else np.zeros(0, np.uint64))))
-        return pa.Table.from_batches([packing.blob_batch(out)])
-
-    def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        good = []
-        if right.num_rows and left.num_rows:
-            got = [packing.unpack(x) for x in right.column("blob").to_pylist()]
-            sets = fetch(left, set(np.concatenate([g[1] for g in got]).tolist()))
-            for a, b, names, sizes, tokens in got:
-                ends = np.cumsum(sizes)
-                mine = {int(x): packing.undelta(tokens[e - z : e]) for x, z, e in zip(names, sizes, ends, strict=True)}
-                for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                    if x in mine and y in sets:
-                        s, t = mine[x], sets[y]
-                        if similar(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), threshold):
-                            good.append((x, y))
-        g = np.array(good, np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(g[:, 0], pa.int64()), "b": pa.array(g[:, 1], pa.int64())})
-
-    asked = pairs.select("a", "b").mapInArrow(_route_node(n_buckets), packing.BLOB_SCHEMA)
-    sent = packs.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(send, packing.BLOB_SCHEMA)
-    return packs.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(check, "a long, b long")
+def sketches_of(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, n, sketch) of the wanted nodes."""
+    wanted = packing.written(wanted, "wanted-nodes")
+    rows = table.join(small(wanted, wanted.count()), "node", "left_semi")
+    return packing.written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs whose sketches do not rule the link out."""
+    """Pairs whose sketches do not rule the link out.  Of ``nodes`` only those in pairs are moved."""
 
     def run(batches):
         for batch in batches:
@@ -364,6 +314,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
                 keep.append(most is None or similar(most, na, nb, threshold))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    nodes = sketches_of(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     sa = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     sb = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     return pairs.join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -489,36 +440,43 @@ def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def count_links(texts: DataFrame, links: DataFrame, linked: DataFrame, nodes: DataFrame, k: int, n_buckets: int, threshold: int, block: int = COUNT_BLOCK, tokens: int = COUNT_TOKENS) -> DataFrame:
-    """(node, n_links): how many other sets each set is similar to.
+def connected(ok: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the first row that it is connected to."""
+    out = np.full(len(ok), -1, np.int64)
+    for i in range(len(ok)):
+        if out[i] < 0:
+            out[i], edge = i, np.array([i])
+            while len(edge):
+                edge = np.flatnonzero(ok[edge].any(axis=0) & (out < 0))
+                out[edge] = i
+    return out
+
+
+def exact_links(texts: DataFrame, table: DataFrame, groups: DataFrame, k: int, n_buckets: int, threshold: int, block: int = COUNT_BLOCK, tokens: int = COUNT_TOKENS) -> DataFrame:
+    """(node, other, n_links) from (node, component) of candidates and the ``table`` of nodes: sets found similar to others of their component.
 
     A component of more than ``block`` sets or ``tokens`` tokens is cut into blocks, and
-    every two blocks meet in a group of their own."""
-    known = links.join(linked.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.count(F.lit(1)).alias("known"))
-    members = linked.join(nodes.select("node", "n"), "node")
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")).join(known, "component").where("known < m * (m - 1) / 2")
-    sizes = sizes.select("component", F.greatest(F.ceil(F.col("m") / F.lit(block)), F.ceil(F.col("size") / F.lit(tokens))).alias("blocks"))
-    wanted = packing.written(linked.join(sizes, "component").select("node", "component", "blocks"), "uncounted")
-    ends = links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("c"))
-    n_wanted = wanted.count()
-    if not n_wanted:
-        return ends.groupBy("node").agg(F.sum("c").alias("n_links"))
+    every two blocks meet in a group of their own; each group returns, for each of its sets
+    with links, how many and one set that it is connected to."""
+    groups = packing.written(groups, "candidate-groups")
+    wide = table.select("node", "n", "key").join(small(groups, groups.count()), "node").groupBy("node", "component").agg(F.first("n").alias("n"), F.min("key").alias("key"))
+    wide = packing.written(wide, "candidate-sets")
+    sizes = wide.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n") / F.lit(tokens))).alias("blocks"))
+    wanted = packing.written(wide.join(sizes, "component").select("key", "component", "blocks"), "candidate-keys")
 
     def emit(batches):
         seen = set()
-        for _, sets in _sets(batches, "t", k):
-            new = {signature(s): s for s in sets if len(s)}
-            new = {v: s for v, s in new.items() if v not in seen}
-            seen.update(new)
-            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([s.tobytes() for s in new.values()], pa.binary())], names=["node", "tokens"])
-
-    few = n_wanted <= BROADCAST_NODES
-    dealt = texts.mapInArrow(emit, "node long, tokens binary").join(F.broadcast(wanted) if few else wanted, "node")
+        for part, sets in _sets(batches, "t", k):
+            names = [signature(s) for s in sets]
+            new = [i for i, v in enumerate(names) if v not in seen and not seen.add(v)]
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in new], pa.int64()), pa.array([packing.pack(packing.delta(sets[i])) for i in new], pa.binary()), *(part.column(c).take(pa.array(new, pa.int64())) for c in ("component", "blocks"))], names=["node", "tokens", "component", "blocks"])
+
+    dealt = texts.join(small(wanted, wanted.count()), "key").select("t", "component", "blocks").mapInArrow(emit, "node long, tokens binary, component long, blocks long")
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     # small components share a group; two blocks of a large one have theirs
     dealt = dealt.select(
         (F.col("blocks") > 1).alias("large"),
-        F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(n_buckets))).alias("part"),
+        F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(4 * n_buckets))).alias("part"),
         F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "component", "node", "tokens",
     )
 
@@ -530,51 +488,46 @@ def count_links(texts: DataFrame, links: DataFrame, linked: DataFrame, nodes: Da
         keep[1:] = node[order][1:] != node[order][:-1]
         order = order[keep]
         starts, _ = packing.groups(comp[order])
-        out_node, out_count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        out = [[np.zeros(0, np.int64)] for _ in range(3)]
         for a, b in zip(starts, np.r_[starts[1:], len(order)], strict=True):
             o = order[a:b]
-            sets = [np.frombuffer(x, np.uint64) for x in raw.take(pa.array(o)).to_pylist()]
+            sets = [packing.undelta(packing.unpack(x)[0]) for x in raw.take(pa.array(o)).to_pylist()]
             n, common = np.array([len(s) for s in sets], np.int64), common_tokens(sets)
             ok = 100 * common >= threshold * (n[:, None] + n[None] - common)
             np.fill_diagonal(ok, False)
             if low[o[0]] < high[o[0]]:
                 ok &= mine[o][:, None] != mine[o][None]
-            out_node.append(node[o])
-            out_count.append(ok.sum(axis=1))
-        return pa.table({"node": pa.array(np.concatenate(out_node), pa.int64()), "c": pa.array(np.concatenate(out_count), pa.int64())})
+            count = ok.sum(axis=1)
+            for held, found in zip(out, (node[o], node[o][connected(ok)], count), strict=True):
+                held.append(found[count > 0])
+        return pa.table(dict(zip(("node", "other", "n_links"), (pa.array(np.concatenate(x), pa.int64()) for x in out), strict=True)))
 
-    counted = dealt.groupBy("large", "part", "low", "high").applyInArrow(run, "node long, c long")
-    rest = ends.join(wanted.select("node"), "node", "left_anti")
-    return rest.unionByName(counted).groupBy("node").agg(F.sum("c").alias("n_links"))
+    return packing.written(dealt.groupBy("large", "part", "low", "high").applyInArrow(run, "node long, other long, n_links long"), "links")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, threshold: int = THRESHOLD, bucket_tokens: int = BUCKET_TOKENS, frequent: int = FREQUENT, max_frequent: int = MAX_FREQUENT, small: int = SMALL, block: int = BLOCK, counted: bool = True, count_block: int = COUNT_BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_verified (different other texts it is similar to; null if not ``counted``)."""
-    texts = docs.select(F.col(text).alias("t"))
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, threshold: int = THRESHOLD, bucket_tokens: int = BUCKET_TOKENS, frequent: int = FREQUENT, max_frequent: int = MAX_FREQUENT, small: int = SMALL, block: int = BLOCK, count_block: int = COUNT_BLOCK) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, n_verified (different other texts it is similar to)."""
+    texts = docs.select(F.col(f"`{text}`").alias("t")).withColumn("key", F.xxhash64("t"))
     n_rows, size = packing.text_size(texts, "t")
     n_buckets = packing.bucket_count(size // 6, bucket_tokens)
     table = packing.written(node_table(docs, doc_id, text, k), "nodes")
-    nodes = table.where("node <> 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     often = frequent_tokens(texts, k, n_buckets, frequent, max_frequent)
     found = packing.written(candidates(texts, often, k, n_buckets, threshold, small), "candidates")
-    first = packing.written(plausible(found.where("kind = 0").select("a", "b").distinct(), nodes, threshold), "pairs")
-    links = packing.written(verify(first, texts, k, n_buckets, threshold), "links")
-    linked = components(links)
-    # large entries that are not yet one component: verify pairs across components
+    pairs = packing.written(plausible(found.where("kind = 0").select("a", "b").distinct(), table, threshold), "pairs")
+    groups = components(pairs)
+    # large entries that are not yet one component: pairs across components that may be similar
     members = found.where("kind = 1").select(F.col("b").alias("entry"), F.col("a").alias("node")).distinct()
-    members = members.join(linked, "node", "left").select("entry", "node", F.coalesce("component", "node").alias("component"))
+    members = members.join(groups, "node", "left").select("entry", "node", F.coalesce("component", "node").alias("component"))
     split = members.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("entry")
     open_members = packing.written(members.join(split, "entry"), "open-entries")
     if not open_members.isEmpty():
-        cross = packing.written(across(open_members.join(nodes, "node"), n_buckets, threshold, block).distinct(), "cross")
+        cross = packing.written(across(open_members.join(sketches_of(table, open_members.select("node").distinct()), "node"), n_buckets, threshold, block).distinct(), "cross")
         if not cross.isEmpty():
-            links = links.unionByName(packing.written(verify(cross, texts, k, n_buckets, threshold), "links"))
-            linked = components(links)
-    if counted:
-        ends = count_links(texts, links, linked, nodes, k, n_buckets, threshold, count_block)
-    else:
-        ends = linked.select("node", F.lit(None).cast("long").alias("n_links"))
-    rows = table.select("doc_id", "n", "node").join(linked, "node", "left").join(ends, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("component"), (F.coalesce("n_links", F.lit(0)) if counted else F.col("n_links")).alias("n_links"))
+            groups = components(pairs.unionByName(cross))
+    links = exact_links(texts, table, groups, k, n_buckets, threshold, count_block)
+    linked = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    ends = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    rows = table.select("doc_id", "n", "node").join(linked, "node", "left").join(ends, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = rows.where("node <> 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return (
         rows.join(least, "component", "left")
@@ -588,7 +541,7 @@ BROADCAST_IDS = 1 << 20
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Of each component the documents with the smallest id stay; rows with a null id stay."""
-    found = packing.written(jaccard_components(docs, doc_id, text, counted=False, **options).select("doc_id", "component_id"), "components")
+    found = packing.written(jaccard_components(docs, doc_id, text, **options).select("doc_id", "component_id"), "components")
     lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
     few = lost.count() <= BROADCAST_IDS
     rows = packing.wrapped(docs, _id=doc_id)

@@ -86,51 +86,6 @@ def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def table_bytes(batch: pa.RecordBatch) -> bytes:
-    """A batch with all its columns as a compressed Arrow stream."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))) as w:
-        w.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def from_table_bytes(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
-
-
-def row_packs(df: DataFrame, route, n_buckets: int) -> DataFrame:
-    """Rows of ``df`` packed whole, one blob per task, flush and bucket.
-
-    ``route(batch)`` gives every row a uint64 hash; its bucket is that modulo
-    ``n_buckets``.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
-            batch = table.to_batches()[0]
-            bucket = (route(batch) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            return blob_batch((k, table_bytes(batch.take(pa.array(order[s])))) for k, s in by_bucket(bucket[order]))
-
-        held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            step = max(1, batch.num_rows * FLUSH_BYTES // max(batch.nbytes, 1))
-            for i in range(0, batch.num_rows, step):
-                part = batch.slice(i, step)
-                held.append(part)
-                size += part.nbytes
-                if size >= FLUSH_BYTES:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
-
-    return df.mapInArrow(run, BLOB_SCHEMA)
-
-
 def text_size(df: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows, and bytes of a string column."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(column))).alias("b")).first()

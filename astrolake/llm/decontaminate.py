@@ -12,11 +12,11 @@ then extended word by word in both directions, and counts if the shared run
 reaches ``span`` words.  Items shorter than ``span`` words are looked up by
 their whole-item hash, as their own length says.
 
-The benchmark side is an index of its fingerprints.  It is shipped to the tasks
-in groups of at most ``group_bytes`` of item text; a benchmark of any size is
-worked off group by group, and the hits of a document are united, so what is
-broadcast at once is bounded.  Documents are never shuffled while there is one
-group, and only hit documents' spans are when there are more.
+A benchmark of at most ``group_bytes`` of text is broadcast as an index of its
+fingerprints and words; documents are winnowed and joined with it in one pass and never
+shuffled.  A larger one is joined by a shuffle: fingerprints of both sides meet by their
+hash, the pairs of document and item that share one are made distinct, and each pair is
+extended on its own texts; only such documents' texts are moved.
 
 Defined cases: null and empty texts have no words and are not contaminated;
 items without words occur nowhere; repeated rows are each judged alike; a null
@@ -35,9 +35,12 @@ from pyspark.sql import functions as F
 from astrolake.llm import packing, textops
 
 SPAN, K = 10, 5
+#: A benchmark of at most so many bytes of text is broadcast.
 GROUP_BYTES = 16 << 20
 
-HITS = "_hit_words long, _n_words long, _items array<string>, _spans array<struct<start:int,end:int>>"
+HITS = ("n_words", "hit_words", "items", "spans")
+_HITS = "n_words long, hit_words long, items array<string>, spans array<struct<start:int,end:int>>"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def winnow(grams: np.ndarray, width: int) -> np.ndarray:
@@ -51,6 +54,22 @@ def winnow(grams: np.ndarray, width: int) -> np.ndarray:
     return np.unique(n - 1 - at)
 
 
+def winnowed(grams: np.ndarray, bounds: np.ndarray, span: int, k: int) -> np.ndarray:
+    """Positions kept in all rows of a slice that have ``span`` words or more; ``bounds`` of their words."""
+    n = int(bounds[-1]) - span + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    at, best = np.zeros(n, np.int8), grams[:n].copy()
+    for j in range(1, span - k + 1):
+        now = grams[j : j + n]
+        less = now <= best
+        at[less] = j
+        np.minimum(best, now, out=best)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[:n]
+    first = np.arange(n)
+    return np.unique((first + at)[first + span <= bounds[row + 1]])
+
+
 class Index:
     """Fingerprints of one group of items, and the items' word hashes to extend hits with."""
 
@@ -94,13 +113,15 @@ class Index:
 
         grams = textops.gram_hashes(hashes, self.k)
         if len(self.prints) and len(grams):
-            # every position whose hash is an item's fingerprint; a superset of the document's own kept ones that match
-            slot = np.searchsorted(self.prints, grams)
+            # fingerprints of the rows that are fingerprints of items as well
+            at = winnowed(grams, bounds, self.span, self.k)
+            slot = np.searchsorted(self.prints, grams[at])
             slot[slot == len(self.prints)] = 0
-            at = np.flatnonzero(self.prints[slot] == grams)
+            hit = self.prints[slot] == grams[at]
+            at, slot = at[hit], slot[hit]
             rows = np.searchsorted(bounds, at, "right") - 1
             done: dict[tuple[int, int], int] = {}
-            for p, row, s in zip(at.tolist(), rows.tolist(), slot[at].tolist(), strict=True):
+            for p, row, s in zip(at.tolist(), rows.tolist(), slot.tolist(), strict=True):
                 low, high = int(bounds[row]), int(bounds[row + 1])
                 if p + self.k > high:
                     continue
@@ -141,17 +162,18 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _mark(docs: DataFrame, index: Index, text: str) -> DataFrame:
-    """``docs`` with the columns of HITS, for one group of items."""
-    held = docs.sparkSession.sparkContext.broadcast(index)
-    names = docs.columns
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _mark(rows: DataFrame, index: Index) -> DataFrame:
+    """(doc, n_words, hit_words, items, spans) from (doc, text), by a broadcast index."""
+    held = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = held.value
         for batch in batches:
-            for part in textops.pieces(batch, text):
-                data, offsets = textops.raw(part.column(text))
-                words = textops.Words(data, offsets, textops.ALNUM_WORD)
+            for part in textops.pieces(batch, "text"):
+                words = textops.Words(*textops.raw(part.column("text")), textops.ALNUM_WORD)
                 found = ix.search(words)
                 items, spans, hit = [], [], []
                 for row in range(part.num_rows):
@@ -160,42 +182,75 @@ def _mark(docs: DataFrame, index: Index, text: str) -> DataFrame:
                     items.append(sorted({ix.ids[r[2]] for r in runs}))
                     spans.append([{"start": a, "end": b} for a, b in merged])
                     hit.append(sum(b - a for a, b in merged))
-                more = [pa.array(hit, pa.int64()), pa.array(np.diff(words.bounds), pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*names, "_hit_words", "_n_words", "_items", "_spans"])
-
-    return docs.mapInArrow(run, packing.extended(docs, HITS))
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(np.diff(words.bounds), pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS)], names=["doc", *HITS])
+
+    return rows.select("doc", "text").mapInArrow(run, packing.extended(rows.select("doc"), _HITS))
+
+
+def _joined(rows: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
+    """The same by a shuffle join of fingerprints, for a benchmark of any size."""
+    texts = rows.select(F.coalesce("text", F.lit("")).alias("t")).select(F.xxhash64("t").alias("key"), F.xxhash64(F.lit(1), "t").alias("key2"), "t")
+
+    def prints_of(words: textops.Words, lengths: set[int], keep_whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows and fingerprints; items below ``span`` words, and all runs of documents as long, by their whole hash."""
+        hashes, bounds = words.hashes(), words.bounds
+        grams = textops.gram_hashes(hashes, k)
+        at = winnowed(grams, bounds, span, k)
+        yield np.searchsorted(bounds, at, "right") - 1, grams[at]
+        for n in lengths:
+            whole = textops.gram_hashes(hashes, n)
+            at = bounds[:-1][np.diff(bounds) == n] if keep_whole else np.arange(len(whole))
+            row = np.searchsorted(bounds, at, "right") - 1
+            inside = at + n <= bounds[row + 1]
+            yield row[inside], textops.mix(whole[at[inside]] + np.uint64(n))
+
+    def fingerprints(df: DataFrame, names: list[str], lengths: set[int], keep_whole: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                for part in textops.pieces(batch, "t"):
+                    found = list(prints_of(textops.Words(*textops.raw(part.column("t")), textops.ALNUM_WORD), lengths, keep_whole))
+                    row, value = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), *(part.column(c).take(pa.array(row)) for c in names)], names=["print", *names])
+
+        return df.mapInArrow(run, ", ".join(f"{c} long" for c in ["print", *names])).distinct()
+
+    def lengths_of(batches):
+        for batch in batches:
+            n = {int(x) for part in textops.pieces(batch, "t") for x in np.diff(textops.Words(*textops.raw(part.column("t")), textops.ALNUM_WORD).bounds)}
+            yield pa.RecordBatch.from_arrays([pa.array([x for x in n if 0 < x < span], pa.int32())], names=["n"])
 
+    short = {r["n"] for r in items.select("t").mapInArrow(lengths_of, "n int").distinct().collect()}
+    pairs = fingerprints(texts, ["key", "key2"], short, False).join(fingerprints(items.select("t", "item"), ["item"], short, True), "print").select("key", "key2", "item").distinct()
+    pairs = packing.written(pairs, "fingerprint-pairs")
+    wide = texts.dropDuplicates(["key", "key2"]).join(pairs, ["key", "key2"]).join(items.select("item", "id", F.col("t").alias("item_text")), "item").select("key", "key2", "t", "id", "item_text")
 
-def item_groups(benchmark: DataFrame, item_id: str, text: str, group_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """Items, a bounded number of bytes at a time."""
-    group, size = [], 0
-    for row in benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t")).toLocalIterator():
-        group.append((row["i"], row["t"] or ""))
-        size += len(row["t"] or "")
-        if size >= group_bytes:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+    def extend(batches):
+        for batch in batches:
+            spans = []
+            for i, (name, said) in enumerate(zip(batch.column("id").to_pylist(), batch.column("item_text").to_pylist(), strict=True)):
+                found = Index([(name, said)], span, k).search(textops.Words(*textops.raw(batch.column("t").slice(i, 1)), textops.ALNUM_WORD))
+                spans.append([{"start": a, "end": b} for a, b in united([r[:2] for r in found.get(0, ())])])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "key2", "id")), pa.array(spans, _SPANS)], names=["key", "key2", "id", "spans"])
+
+    hits = wide.mapInArrow(extend, "key long, key2 long, id string, spans array<struct<start:int,end:int>>").where(F.size("spans") > 0)
+    hits = hits.groupBy("key", "key2").agg(F.array_sort(F.collect_set("id")).alias("items"), _union_spans(F.flatten(F.collect_list("spans"))).alias("spans"))
+    hits = hits.withColumn("hit_words", F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"]))
+    said = F.coalesce(F.col("text"), F.lit(""))
+    keyed = rows.withColumn("k1", F.xxhash64(said)).withColumn("k2", F.xxhash64(F.lit(1), said))
+    n_words = F.regexp_count(F.translate(said, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(_WORD)).cast("long")
+    done = keyed.join(hits, (F.col("k1") == F.col("key")) & (F.col("k2") == F.col("key2")), "left")
+    none = F.expr("cast(array() as array<string>)"), F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    return done.select("doc", n_words.alias("n_words"), F.coalesce("hit_words", F.lit(0)).cast("long").alias("hit_words"), F.coalesce("items", none[0]).alias("items"), F.coalesce("spans", none[1]).alias("spans"))
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Rows of ``docs`` with ``_n_words``, ``_hit_words``, ``_items`` (ids as strings, sorted) and ``_spans`` (hit words)."""
-    out = None
-    for group in item_groups(benchmark, item_id, item_text, group_bytes):
-        index = Index(group, span, k)
-        if out is None:
-            out = _mark(docs, index, text)
-            continue
-        # a further group reads the same rows and unites its spans and items with those found so far
-        out = _mark(out.withColumnsRenamed({c: f"{c}_before" for c in ("_hit_words", "_n_words", "_items", "_spans")}), index, text)
-        out = (
-            out.withColumn("_items", F.array_sort(F.array_union("_items", "_items_before")))
-            .withColumn("_spans", _union_spans(F.concat("_spans", "_spans_before")))
-            .withColumn("_hit_words", F.aggregate("_spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"]))
-            .drop("_items_before", "_spans_before", "_hit_words_before", "_n_words_before")
-        )
-    return out if out is not None else _mark(docs, Index([]), text)
+    """``doc`` (the row of ``docs`` as a struct), ``n_words``, ``hit_words``, ``items`` (ids as strings, sorted) and ``spans`` (hit words)."""
+    rows = packing.wrapped(docs, text=text)
+    items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("t")).distinct().withColumn("item", F.xxhash64("id", "t"))
+    _, size = packing.text_size(items, "t")
+    if size > group_bytes:
+        return _joined(rows, items, span, k)
+    return _mark(rows, Index([(r["id"], r["t"]) for r in items.select("id", "t").orderBy("id", "t").collect()], span, k))
 
 
 def _union_spans(spans):
@@ -213,4 +268,4 @@ def _union_spans(spans):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    return contaminated_words(packing.wrapped(docs, text=text), benchmark, **options).where("_hit_words = 0").select("doc.*")
+    return contaminated_words(docs, benchmark, text, **options).where("hit_words = 0").select("doc.*")

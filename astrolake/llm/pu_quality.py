@@ -6,19 +6,22 @@ non-negative unbiased PU risk
 
     pi * R+(positives)  +  max(0, R-(unlabelled) - pi * R-(positives)),
 
-with trusted positives (documents labelled good, learning folds only), unlabelled
-web text (any documents of the learning folds, labels unused), and a class prior
-pi that is estimated: the rate of the label among the labelled documents of the
-learning folds.  Where the bracket is negative the gradient is turned, which keeps
-the risk from going below zero by memorising positives.
+with trusted positives (documents labelled good, learning folds only) and unlabelled
+web text (any documents of the learning folds, labels unused).  Where the bracket is
+negative the gradient is turned, which keeps the risk from going below zero by
+memorising positives.  Documents labelled poor are never used as such.
 
-Training takes a bounded sample (``MAX_POSITIVE`` and ``MAX_UNLABELLED`` rows, the
-least hashes first); scoring is one pass over all rows without a shuffle.  The
-score is the network's output, moved on the logit scale so that the cut lies where
-it parts the sampled learning rows best.
+The class prior pi is estimated from positives and unlabelled text alone: a network that
+tells the two apart ranks held-out rows of both; the share of unlabelled rows above a
+threshold over that of positives is at least pi, and the threshold where the upper
+confidence bound of this ratio is least gives the estimate (best bin).  The cut is put where the
+non-negative PU risk of the zero-one loss on held-out rows is least.
+
+Training takes a bounded sample (``MAX_POSITIVE`` and ``MAX_UNLABELLED`` rows, by
+hash); scoring is one pass over all rows without a shuffle.
 
 Defined cases: null and empty texts have the features of an empty text and get a
-score; without positives every score is the prior; repeated rows score alike;
+score; with fewer than eight positives or rows every score is one half; repeated rows score alike;
 other columns are passed through.
 """
 
@@ -33,9 +36,11 @@ from pyspark.sql import functions as F
 
 from astrolake.llm import packing, textops
 
-MAX_POSITIVE, MAX_UNLABELLED, MAX_LABELLED = 8000, 8000, 8000
+MAX_POSITIVE, MAX_UNLABELLED = 8000, 8000
 HIDDEN, EPOCHS, RATE, BATCH, SEED = 16, 60, 0.01, 256, 7
 MIN_STEPS = 800
+#: Every HELD-th sampled row is kept from training, for the prior and the cut.
+HELD = 4
 CUT = 0.7
 
 #: Characters whose shares are features, each string one class.
@@ -93,14 +98,14 @@ def features(part: pa.RecordBatch, column: str) -> np.ndarray:
 
 
 class Network:
-    """One hidden layer, trained on the non-negative PU risk with the logistic loss."""
+    """One hidden layer, trained on the non-negative PU risk with the logistic loss; without a prior, to tell positives from unlabelled rows."""
 
-    def __init__(self, x_pos: np.ndarray, x_unl: np.ndarray, prior: float, hidden: int = HIDDEN, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED):
+    def __init__(self, x_pos: np.ndarray, x_unl: np.ndarray, prior: float | None, hidden: int = HIDDEN, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED):
         rng = np.random.default_rng(seed)
         both = np.vstack([x_pos, x_unl])
         self.mean, self.scale = both.mean(axis=0), both.std(axis=0) + 1e-6
         d = both.shape[1]
-        self.p = [rng.normal(0, d**-0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.array(np.log(prior / (1 - prior)))]
+        self.p = [rng.normal(0, d**-0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.array(0.0 if prior is None else np.log(prior / (1 - prior)))]
         self.shift = 0.0
         xp, xu = self._scaled(x_pos), self._scaled(x_unl)
         moment, square, t = [np.zeros_like(v) for v in self.p], [np.zeros_like(v) for v in self.p], 0
@@ -131,6 +136,8 @@ class Network:
     def _gradient(self, bp, bu, prior):
         hp, zp = self._forward(bp)
         hu, zu = self._forward(bu)
+        if prior is None:
+            return [u + v for u, v in zip(self._backward(bp, hp, (1 / (1 + np.exp(-zp)) - 1) / len(bp)), self._backward(bu, hu, 1 / (1 + np.exp(-zu)) / len(bu)), strict=True)]
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
         # loss l(z, +1) = log(1 + e^-z), l(z, -1) = log(1 + e^z)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
@@ -146,17 +153,26 @@ class Network:
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logit(x), -30, 30)))
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, cut: float) -> None:
-        """Move logits so that the cut falls where balanced accuracy on labelled learning rows is best."""
-        if len(y) and 0 < y.sum() < len(y):
-            z = self.logit(x)
-            order = np.argsort(z)
-            good = np.r_[0, np.cumsum(y[order])] / y.sum()
-            poor = np.r_[0, np.cumsum(1 - y[order])] / (len(y) - y.sum())
-            gain = poor - good
-            best = np.flatnonzero(gain >= gain.max() - 1e-12)
-            edge = np.r_[z[order][0] - 1, (z[order][1:] + z[order][:-1]) / 2, z[order][-1] + 1]
-            self.shift += np.log(cut / (1 - cut)) - float(edge[best[len(best) // 2]])
+    def calibrate(self, x_pos: np.ndarray, x_unl: np.ndarray, prior: float, cut: float) -> None:
+        """Move logits so that the cut falls in the middle of where the PU risk of the zero-one loss is least."""
+        zp, zu = np.sort(self.logit(x_pos)), np.sort(self.logit(x_unl))
+        edge = np.unique(np.r_[zp, zu])
+        edge = np.r_[edge[0] - 1, (edge[1:] + edge[:-1]) / 2, edge[-1] + 1]
+        missed = np.searchsorted(zp, edge) / len(zp)
+        taken = 1 - np.searchsorted(zu, edge) / len(zu)
+        risk = prior * missed + np.maximum(0, taken - prior * (1 - missed))
+        near = np.flatnonzero(risk <= risk.min() + 0.5 / len(zu))
+        self.shift += np.log(cut / (1 - cut)) - float(edge[near[0]] + edge[near[-1]]) / 2
+
+
+def class_prior(z_pos: np.ndarray, z_unl: np.ndarray, doubt: float = 0.1) -> float:
+    """Share of positives among unlabelled rows, from held-out scores of both: best bin estimation."""
+    zp, zu = np.sort(z_pos), np.sort(z_unl)
+    at = np.unique(zp)
+    q_pos, q_unl = 1 - np.searchsorted(zp, at) / len(zp), 1 - np.searchsorted(zu, at) / len(zu)
+    slack = np.sqrt(np.log(4 / doubt) / 2) * (len(zp) ** -0.5 + len(zu) ** -0.5)
+    best = int(np.argmin((q_unl + 1.01 * slack) / q_pos))
+    return float(min(max(q_unl[best] / q_pos[best], 0.02), 0.98))
 
 
 def _sampled(df: DataFrame, most: int, rows: int) -> DataFrame:
@@ -165,49 +181,51 @@ def _sampled(df: DataFrame, most: int, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def _collect_features(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _collect_features(df: DataFrame) -> np.ndarray:
+    """Features of a bounded sample, in an order of their own, so that no row order of the input matters."""
+
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in textops.pieces(batch, "_text"):
-                x = features(part, "_text")
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column("_y")], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(features(part, "_text")), pa.list_(pa.float64()))], names=["x"])
 
-    got = df.mapInArrow(run, "x array<double>, y int").toArrow()
+    got = df.select("_text").mapInArrow(run, "x array<double>").toArrow()
     x = np.array(got.column("x").combine_chunks().flatten().to_numpy()).reshape(-1, N_FEATURES)
-    return x, got.column("y").to_numpy()
+    return np.random.default_rng(SEED).permutation(x[np.lexsort(x.T)])
 
 
 def train(docs: DataFrame, labels: DataFrame, learning, doc_id: str = "doc_id", text: str = "text", label: str = "quality", cut: float = CUT) -> Network | float:
     """The network, or a constant score where there are no positives.  ``learning``: condition on ``_id`` for rows to learn from."""
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(learning)
-    marks = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where(learning & F.col("_y").isNotNull()).dropDuplicates(["_id"])
-    tally = {r["_y"]: r["c"] for r in marks.groupBy("_y").agg(F.count(F.lit(1)).alias("c")).collect()}
-    n_pos, n_all = tally.get(1, 0), sum(tally.values())
-    prior = min(max((n_pos + 1) / (n_all + 2), 0.05), 0.95)
-    n_rows = rows.count()
-    x_unl, _ = _collect_features(_sampled(rows, MAX_UNLABELLED, n_rows).withColumn("_y", F.lit(-1)))
-    small = F.broadcast(_sampled(marks, MAX_LABELLED, n_all))
-    x_lab, y_lab = _collect_features(rows.join(small, "_id").select("_text", "_y"))
-    x_pos = x_lab[y_lab == 1][:MAX_POSITIVE]
-    if not len(x_pos) or not len(x_unl):
-        return prior
-    net = Network(x_pos, x_unl, prior)
-    net.calibrate(x_lab, y_lab, cut)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).where(learning)
+    good = labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_y")).where(learning & (F.col("_y") == 1)).select("_id").distinct()
+    n_rows, n_good = rows.count(), good.count()
+    x_pos = _collect_features(rows.join(F.broadcast(_sampled(good, MAX_POSITIVE, n_good)), "_id"))
+    x_unl = _collect_features(_sampled(rows, MAX_UNLABELLED, n_rows))
+    if len(x_pos) < 2 * HELD or len(x_unl) < 2 * HELD:
+        return 0.5
+    held_pos, held_unl = np.arange(len(x_pos)) % HELD == 0, np.arange(len(x_unl)) % HELD == 0
+    apart = Network(x_pos[~held_pos], x_unl[~held_unl], None)
+    prior = class_prior(apart.logit(x_pos[held_pos]), apart.logit(x_unl[held_unl]))
+    net = Network(x_pos[~held_pos], x_unl[~held_unl], prior)
+    net.calibrate(x_pos[held_pos], x_unl[held_unl], prior, cut)
+    net.prior = prior
     return net
 
 
 def scored(docs: DataFrame, model: Network | float, text: str = "text", name: str = "_score") -> DataFrame:
-    """``docs`` with the score."""
-    held, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    """``docs`` with the score in the column ``name``, which replaces one of that name."""
+    rows = packing.wrapped(docs, text=text)
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]):
         net = held.value
         for batch in batches:
-            for part in textops.pieces(batch, text):
-                s = np.full(part.num_rows, net) if isinstance(net, float) else net.score(features(part, text))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*names, name])
+            for part in textops.pieces(batch, "text"):
+                s = np.full(part.num_rows, net) if isinstance(net, float) else net.score(features(part, "text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(s, pa.float64())], names=["doc", "score"])
 
-    return docs.mapInArrow(run, packing.extended(docs, f"{name} double"))
+    done = rows.mapInArrow(run, packing.extended(rows.select("doc"), "score double"))
+    return done.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c != name], F.col("score").alias(name))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, learning, doc_id: str = "doc_id", text: str = "text", cut: float = CUT) -> DataFrame:

@@ -86,12 +86,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = contaminated_words(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id",
-        F.col("_n_words").alias("n_words"),
-        F.col("_hit_words").alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.col("_hit_words") > 0).alias("contaminated"),
+        "doc.doc_id",
+        "n_words",
+        F.col("hit_words").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("hit_words") > 0).alias("contaminated"),
     )
 
 

@@ -167,7 +167,7 @@ def test_decontamination(spark, docs, rows, nothing, group_bytes):
     source = [r[1] for r in rows if r[1] and len(words(r[1])) >= 60]
     items = [(1, " ".join(source[0].split()[5:20])), (2, "ONE, two"), (3, None), (4, ""), (10, source[1].replace(" ", " - ")[:200]), (11, source[1][:200]), (5, "ab " * 30)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(((r["doc_id"], r["_n_words"], r["_hit_words"], tuple(r["_items"])) for r in decontaminate.contaminated_words(docs.select("doc_id", "text"), bench, group_bytes=group_bytes).collect()), key=repr)
+    got = sorted(((r["doc"]["doc_id"], r["n_words"], r["hit_words"], tuple(r["items"])) for r in decontaminate.contaminated_words(docs.select("doc_id", "text"), bench, group_bytes=group_bytes).collect()), key=repr)
     assert got == brute_hits(rows, items)
     kept = decontaminate.decontaminate(docs, bench, group_bytes=group_bytes)
     assert kept.columns == docs.columns and kept.count() == sum(1 for r in got if not r[2])

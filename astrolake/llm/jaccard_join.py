@@ -149,7 +149,8 @@ def frequent_tokens(texts: DataFrame, k: int, n_buckets: int, least: int, most:
         keep = sums >= least
         return pa.table({"token": pa.array(t[order][starts][keep].view(np.int64), pa.int64()), "df": pa.array(sums[keep], pa.int64())})
 
-    counted = packing.written(texts.mapInArrow(count, packing.BLOB_SCHEMA).groupBy("bucket").applyInArrow(total, "token long, df long"), "token-counts")
+    made: list[str] = []
+    counted = packing.written(texts.mapInArrow(count, packing.BLOB_SCHEMA).groupBy("bucket").applyInArrow(total, "token long, df long"), "token-counts", made)
     # the least count that lets the list fit, from a histogram by powers of two
     bins = {int(r["b"]): int(r["c"]) for r in counted.groupBy(F.floor(F.log2("df")).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()}
     cut, fit = least, sum(bins.values())
@@ -159,6 +160,7 @@ def frequent_tokens(texts: DataFrame, k: int, n_buckets: int, least: int, most:
         fit -= bins[b]
         cut = 2 ** (b + 1)
     found = counted.where(F.col("df") >= cut).select("token", F.floor(F.log2("df") * 4).cast("short").alias("bin")).toArrow()
+    packing.drop(texts.sparkSession, made)
     tokens = found.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], found.column("bin").to_numpy()[order].astype(np.uint8)
@@ -296,15 +298,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_NODES else df
 
 
-def sketches_of(table: DataFrame, wanted: DataFrame) -> DataFrame:
+def sketches_of(table: DataFrame, wanted: DataFrame, made: list[str]) -> DataFrame:
     """(node, n, sketch) of the wanted nodes."""
-    wanted = packing.written(wanted, "wanted-nodes")
+    wanted = packing.written(wanted, "wanted-nodes", made)
     rows = table.join(small(wanted, wanted.count()), "node", "left_semi")
-    return packing.written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+    return packing.written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches", made)
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs whose sketches do not rule the link out.  Of ``nodes`` only those in pairs are moved."""
+def plausible(pairs: DataFrame, table: DataFrame, threshold: int, made: list[str]) -> DataFrame:
+    """Pairs whose sketches do not rule the link out.  Only the sketches of nodes in pairs are moved."""
 
     def run(batches):
         for batch in batches:
@@ -314,7 +316,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
                 keep.append(most is None or similar(most, na, nb, threshold))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    nodes = sketches_of(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    nodes = sketches_of(table, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), made)
     sa = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     sb = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     return pairs.join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -391,9 +393,10 @@ def across(members: DataFrame, n_buckets: int, threshold: int, block: int = BLOC
     return dealt.withColumn("_part", F.pmod(F.xxhash64("entry", "low", "high"), F.lit(n_buckets))).groupBy("_part").applyInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, made: list[str], name: str = "components") -> DataFrame:
     """(node, component) of every node of the edges (a, b): minimum labels by alternating large and small stars."""
-    edges = packing.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    spark, before = edges.sparkSession, []
+    edges = packing.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name, before)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -401,12 +404,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: smaller neighbours and the node itself point to the minimum
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        after = packing.written(small, name)
+        star = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        now = []
+        after = packing.written(star, name, now)
+        packing.drop(spark, before)
         # done when every node has one parent and no parent has a parent
         bad = after.groupBy("u").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("u").unionByName(after.select("u").join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi"))
-        edges = after
+        edges, before = after, now
         if bad.isEmpty():
+            made += now
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -452,17 +458,17 @@ def connected(ok: np.ndarray) -> np.ndarray:
     return out
 
 
-def exact_links(texts: DataFrame, table: DataFrame, groups: DataFrame, k: int, n_buckets: int, threshold: int, block: int = COUNT_BLOCK, tokens: int = COUNT_TOKENS) -> DataFrame:
+def exact_links(texts: DataFrame, table: DataFrame, groups: DataFrame, made: list[str], k: int, n_buckets: int, threshold: int, block: int = COUNT_BLOCK, tokens: int = COUNT_TOKENS) -> DataFrame:
     """(node, other, n_links) from (node, component) of candidates and the ``table`` of nodes: sets found similar to others of their component.
 
     A component of more than ``block`` sets or ``tokens`` tokens is cut into blocks, and
     every two blocks meet in a group of their own; each group returns, for each of its sets
     with links, how many and one set that it is connected to."""
-    groups = packing.written(groups, "candidate-groups")
+    groups = packing.written(groups, "candidate-groups", made)
     wide = table.select("node", "n", "key").join(small(groups, groups.count()), "node").groupBy("node", "component").agg(F.first("n").alias("n"), F.min("key").alias("key"))
-    wide = packing.written(wide, "candidate-sets")
+    wide = packing.written(wide, "candidate-sets", made)
     sizes = wide.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n") / F.lit(tokens))).alias("blocks"))
-    wanted = packing.written(wide.join(sizes, "component").select("key", "component", "blocks"), "candidate-keys")
+    wanted = packing.written(wide.join(sizes, "component").select("key", "component", "blocks"), "candidate-keys", made)
 
     def emit(batches):
         seen = set()
@@ -512,20 +518,22 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     n_buckets = packing.bucket_count(size // 6, bucket_tokens)
     table = packing.written(node_table(docs, doc_id, text, k), "nodes")
     often = frequent_tokens(texts, k, n_buckets, frequent, max_frequent)
-    found = packing.written(candidates(texts, often, k, n_buckets, threshold, small), "candidates")
-    pairs = packing.written(plausible(found.where("kind = 0").select("a", "b").distinct(), table, threshold), "pairs")
-    groups = components(pairs)
+    made: list[str] = []
+    found = packing.written(candidates(texts, often, k, n_buckets, threshold, small), "candidates", made)
+    pairs = packing.written(plausible(found.where("kind = 0").select("a", "b").distinct(), table, threshold, made), "pairs", made)
+    groups = components(pairs, made)
     # large entries that are not yet one component: pairs across components that may be similar
     members = found.where("kind = 1").select(F.col("b").alias("entry"), F.col("a").alias("node")).distinct()
     members = members.join(groups, "node", "left").select("entry", "node", F.coalesce("component", "node").alias("component"))
     split = members.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("entry")
-    open_members = packing.written(members.join(split, "entry"), "open-entries")
+    open_members = packing.written(members.join(split, "entry"), "open-entries", made)
     if not open_members.isEmpty():
-        cross = packing.written(across(open_members.join(sketches_of(table, open_members.select("node").distinct()), "node"), n_buckets, threshold, block).distinct(), "cross")
+        cross = packing.written(across(open_members.join(sketches_of(table, open_members.select("node").distinct(), made), "node"), n_buckets, threshold, block).distinct(), "cross", made)
         if not cross.isEmpty():
-            groups = components(pairs.unionByName(cross))
-    links = exact_links(texts, table, groups, k, n_buckets, threshold, count_block)
-    linked = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
+            groups = components(pairs.unionByName(cross), made)
+    links = exact_links(texts, table, groups, made, k, n_buckets, threshold, count_block)
+    packing.drop(docs.sparkSession, made)
+    linked = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")), made)
     ends = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     rows = table.select("doc_id", "n", "node").join(linked, "node", "left").join(ends, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = rows.where("node <> 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -134,8 +134,9 @@ def frequent_tokens(texts: DataFrame, k: int, n_buckets: int, least: int, most:
             held += sets
             size += part.nbytes
             if size >= packing.FLUSH_BYTES:
-                yield flush(held)
+                made = flush(held)
                 held, size = [], 0
+                yield packing.released(made)
         if held:
             yield flush(held)
 
@@ -241,8 +242,9 @@ def candidates(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int
                     shares.append(int(rare * 65535))
             size += part.nbytes
             if size >= packing.FLUSH_BYTES and keys:
-                yield packing.blob_batch(flush())
+                made = packing.blob_batch(flush())
                 keys, owners, nodes, sizes, shares, seen, size = [], [], [], [], [], set(), 0
+                yield packing.released(made)
         if keys:
             yield packing.blob_batch(flush())
 
@@ -288,7 +290,7 @@ def candidates(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int
         p = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
         m, e = np.concatenate(member), np.concatenate(entry)
         kind = np.r_[np.zeros(len(p), np.int32), np.ones(len(m), np.int32)]
-        return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(np.r_[p[:, 0], m], pa.int64()), "b": pa.array(np.r_[p[:, 1], e], pa.int64())})
+        return packing.released(pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(np.r_[p[:, 0], m], pa.int64()), "b": pa.array(np.r_[p[:, 1], e], pa.int64())}))
 
     return texts.mapInArrow(emit, packing.BLOB_SCHEMA).groupBy("bucket").applyInArrow(meet, "kind int, a long, b long")
 
@@ -506,12 +508,12 @@ def exact_links(texts: DataFrame, table: DataFrame, groups: DataFrame, made: lis
             count = ok.sum(axis=1)
             for held, found in zip(out, (node[o], node[o][connected(ok)], count), strict=True):
                 held.append(found[count > 0])
-        return pa.table(dict(zip(("node", "other", "n_links"), (pa.array(np.concatenate(x), pa.int64()) for x in out), strict=True)))
+        return packing.released(pa.table(dict(zip(("node", "other", "n_links"), (pa.array(np.concatenate(x), pa.int64()) for x in out), strict=True))))
 
     return packing.written(dealt.groupBy("large", "part", "low", "high").applyInArrow(run, "node long, other long, n_links long"), "links")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, threshold: int = THRESHOLD, bucket_tokens: int = BUCKET_TOKENS, frequent: int = FREQUENT, max_frequent: int = MAX_FREQUENT, small: int = SMALL, block: int = BLOCK, count_block: int = COUNT_BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, threshold: int = THRESHOLD, bucket_tokens: int = BUCKET_TOKENS, frequent: int = FREQUENT, max_frequent: int = MAX_FREQUENT, all_pairs: int = SMALL, block: int = BLOCK, count_block: int = COUNT_BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_verified (different other texts it is similar to)."""
     texts = docs.select(F.col(f"`{text}`").alias("t")).withColumn("key", F.xxhash64("t"))
     n_rows, size = packing.text_size(texts, "t")
@@ -519,7 +521,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     table = packing.written(node_table(docs, doc_id, text, k), "nodes")
     often = frequent_tokens(texts, k, n_buckets, frequent, max_frequent)
     made: list[str] = []
-    found = packing.written(candidates(texts, often, k, n_buckets, threshold, small), "candidates", made)
+    found = packing.written(candidates(texts, often, k, n_buckets, threshold, all_pairs), "candidates", made)
     pairs = packing.written(plausible(found.where("kind = 0").select("a", "b").distinct(), table, threshold, made), "pairs", made)
     groups = components(pairs, made)
     # large entries that are not yet one component: pairs across components that may be similar
@@ -534,12 +536,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = exact_links(texts, table, groups, made, k, n_buckets, threshold, count_block)
     packing.drop(docs.sparkSession, made)
     linked = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")), made)
+    # what is not a document of its own: nodes with copies or links; all else needs no join on a key that many rows share
+    per_node = table.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     ends = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    rows = table.select("doc_id", "n", "node").join(linked, "node", "left").join(ends, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    least = rows.where("node <> 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return (
-        rows.join(least, "component", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("n_links").cast("long").alias("n_verified"))
+    special = per_node.join(linked, "node", "left").join(ends, "node", "left").where("copies > 1 OR component IS NOT NULL")
+    special = packing.written(special.select("node", F.coalesce("component", "node").alias("component"), "least_id", "n_links"), "grouped-nodes")
+    few = special.count()
+    least = special.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = special.join(small(least, few), "component").select("node", "component_id", "n_links")
+    return table.join(small(named, few), "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_verified")
     )
 
 

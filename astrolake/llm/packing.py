@@ -9,6 +9,7 @@ side handles a bounded amount whatever the size of the corpus.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -87,6 +88,20 @@ def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # other C libraries give memory back by themselves
+    _trim = None
+
+
+def released(made):
+    """``made``, after memory that a worker no longer needs has gone back to the system: workers live long and share executors."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+    return made
+
+
 def text_size(df: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows, and bytes of a string column."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(column))).alias("b")).first()

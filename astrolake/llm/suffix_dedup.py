@@ -259,8 +259,9 @@ def shared_anchors(texts: DataFrame, n_buckets: int, n_groups: int, span: int) -
                 rows += part.num_rows
                 size += len(data)
                 if size >= packing.FLUSH_BYTES:
-                    yield packing.blob_batch(flush())
+                    made = packing.blob_batch(flush())
                     held, size, rows = [], 0, 0
+                    yield packing.released(made)
         if held:
             yield packing.blob_batch(flush())
 
@@ -281,7 +282,7 @@ def shared_anchors(texts: DataFrame, n_buckets: int, n_groups: int, span: int) -
         several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
         several |= np.isin(token[order][starts], known, assume_unique=True)
         ask = order[several[group]]
-        return pa.Table.from_batches([packing.blob_batch(_span_rows(n_groups, ids, keys, row[ask], start[ask], count[ask], ahead[ask]))])
+        return packing.released(pa.Table.from_batches([packing.blob_batch(_span_rows(n_groups, ids, keys, row[ask], start[ask], count[ask], ahead[ask]))]))
 
     return texts.mapInArrow(emit, packing.BLOB_SCHEMA).groupBy("bucket").applyInArrow(meet, packing.BLOB_SCHEMA)
 
@@ -350,7 +351,7 @@ def fetch_runs(rows: DataFrame, asked: DataFrame, plan: Plan, n_groups: int, spa
             used, local = np.unique(row[o], return_inverse=True)
             body = data[np.repeat(at[o] - np.r_[0, np.cumsum(length[o])[:-1]], length[o]) + np.arange(int(length[o].sum()))]
             out.append((b, packing.pack(row_ids[used], row_keys[used], local.astype(np.uint32), start[o].astype(np.uint32), count[o].astype(np.uint32), ahead[o].astype(np.uint32), body)))
-        return pa.Table.from_batches([packing.blob_batch(out)])
+        return packing.released(pa.Table.from_batches([packing.blob_batch(out)]))
 
     return rows.groupBy("group").cogroup(asked.groupBy("bucket")).applyInArrow(run, packing.BLOB_SCHEMA)
 
@@ -399,7 +400,7 @@ def compare_suffixes(fetched: DataFrame, n_groups: int, span: int, windows: int
                     mark_start.append(start[o][which] + first)
                     mark_length.append(last - first - 1 + span)
         rows, begin, n = np.concatenate(mark_row), np.concatenate(mark_start), np.concatenate(mark_length)
-        return pa.Table.from_batches([packing.blob_batch(_span_rows(n_groups, ids, keys, rows, begin, n))])
+        return packing.released(pa.Table.from_batches([packing.blob_batch(_span_rows(n_groups, ids, keys, rows, begin, n))]))
 
     return fetched.groupBy("bucket").applyInArrow(run, packing.BLOB_SCHEMA)
 
@@ -424,8 +425,8 @@ def _cut(part: pa.RecordBatch, low, high, begin, length) -> tuple[np.ndarray, pa
     return np.diff(offsets), spans, kept
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, bucket_bytes: int = BUCKET_BYTES, row_bytes: int = ROW_BYTES, windows: int = WINDOWS) -> DataFrame:
-    """``doc`` (the other columns of the row as a struct), ``is_null`` (the text is), ``n_bytes``, ``removed`` (spans of bytes) and ``kept`` (remaining bytes)."""
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, bucket_bytes: int = BUCKET_BYTES, row_bytes: int = ROW_BYTES, windows: int = WINDOWS, as_text: bool = False) -> DataFrame:
+    """``doc`` (the other columns of the row as a struct), ``is_null`` (the text is), ``n_bytes``, ``removed`` (spans of bytes) and ``kept`` (remaining bytes; ``as_text``: without characters cut in half)."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
     wide = docs.select(F.struct(*others).alias("doc"), F.col(f"`{text}`").isNull().alias("is_null"), F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     wide = wide.withColumn("key", F.xxhash64("id", "text"))
@@ -436,7 +437,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     asked = packing.written(shared_anchors(texts, n_buckets, n_groups, span), "shared-anchors")
     rows = wide.withColumn("group", F.pmod("key", F.lit(n_groups)))
     marks = compare_suffixes(fetch_runs(rows, asked, plan, n_groups, span), n_groups, span, windows)
-    schema = packing.extended(rows.select("doc", "is_null"), "n_bytes long, removed array<struct<start:int,end:int>>, kept binary")
+    schema = packing.extended(rows.select("doc", "is_null"), "n_bytes long, removed array<struct<start:int,end:int>>, kept " + ("string" if as_text else "binary"))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, keys, (begin, length) = _spans(right, 2)
@@ -444,25 +445,19 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for batch in left.combine_chunks().to_batches():
             low, high = _of_rows(ids, keys, _ids(batch.column("id")), batch.column("key").to_numpy())
             n_bytes, spans, kept = _cut(batch, low, high, begin, length)
+            if as_text:
+                kept = pa.array([x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
             out.append(pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("is_null"), pa.array(n_bytes, pa.int64()), spans, kept], names=["doc", "is_null", "n_bytes", "removed", "kept"]))
         if not out:
             from pyspark.sql.pandas.types import to_arrow_schema
 
             return to_arrow_schema(schema).empty_table()
-        return pa.Table.from_batches(out)
+        return packing.released(pa.Table.from_batches(out))
 
     return rows.groupBy("group").cogroup(marks.groupBy("bucket")).applyInArrow(finish, schema)
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with repeated spans cut out of the text; characters cut in half are dropped, documents left without text go."""
-    cut = remove_repeats(docs, doc_id, text, **options)
-
-    def decode(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("is_null"), batch.column("n_bytes"), pa.array(texts, pa.string())], names=["doc", "is_null", "n_bytes", "left"])
-
-    done = cut.select("doc", "is_null", "n_bytes", "kept").mapInArrow(decode, packing.extended(cut.select("doc", "is_null", "n_bytes"), "left string"))
-    done = done.where("left <> '' OR n_bytes = 0")
-    return done.select(*[(F.when(F.col("is_null"), None).otherwise(F.col("left")) if c == text else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    done = remove_repeats(docs, doc_id, text, as_text=True, **options).where("kept <> '' OR n_bytes = 0")
+    return done.select(*[(F.when(F.col("is_null"), None).otherwise(F.col("kept")) if c == text else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

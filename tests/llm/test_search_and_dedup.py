@@ -42,7 +42,7 @@ def brute_components(rows):
     return sorted(((r[0], len(s), min(least[root(i)]) if least[root(i)] else None) for i, (r, s) in enumerate(zip(rows, sets, strict=True))), key=repr)
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_tokens": 500, "frequent": 2, "small": 2}, {"frequent": 2, "max_frequent": 3, "small": 3}])
+@pytest.mark.parametrize("options", [{}, {"bucket_tokens": 500, "frequent": 2, "all_pairs": 2}, {"frequent": 2, "max_frequent": 3, "all_pairs": 3}])
 def test_jaccard_components(docs, rows, options):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, **options).collect()), key=repr)
     assert got == brute_components(rows)

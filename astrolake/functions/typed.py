@@ -38,6 +38,27 @@ def parse(text: str, kind: T.DataType) -> Column:
     return F.lit(text).try_cast(kind)
 
 
+def to_text(value: Column) -> Column:
+    """A number as text with six significant digits, the way C prints it by default (%g)."""
+    said = F.format_string("%.5e", F.abs(value.cast("double")))
+    power = F.substring_index(said, "e", -1).cast("int")
+    digits = F.replace(F.substring_index(said, "e", 1), F.lit("."), F.lit(""))
+    large = F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    plain = F.when(power >= 0, large).otherwise(small)
+    split = F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))
+    short = lambda c: F.regexp_replace(c, r"\.0*$|(\.[0-9]*[1-9])0+$", "$1")
+    raised = F.concat(short(split), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    shown = F.when((power >= -4) & (power < 6), short(plain)).otherwise(raised)
+    return F.when(value.isNull(), None).otherwise(F.concat(F.when(value.cast("double").cast("string").startswith("-"), "-").otherwise(""), shown))
+
+
+def file_info(df: DataFrame, rank: str = "_rank", boxes: list[str] | None = None) -> DataFrame:
+    """Totals of a table: rows, ranks, columns, the largest rank, and the extent of the given columns."""
+    sizes = df.groupBy(rank).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{c}") for c in boxes or [] for k, f in (("min", F.min), ("max", F.max))])
+    return sizes.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_ranks"), F.max("n").alias("max_rank_rows"), F.lit(len(df.columns)).alias("n_columns"), *[f(f"{k}_{c}").alias(f"{k}_{c}") for c in boxes or [] for k, f in (("min", F.min), ("max", F.max))])
+
+
 def flatten_vector(df: DataFrame, column: str, length: int) -> DataFrame:
     """A vector column as scalar columns name.x .y .z .w .w1 ..."""
     names = [".x", ".y", ".z", ".w"][:length] + [f".w{i}" for i in range(1, length - 3)]

@@ -24,9 +24,12 @@ def row_counts(a: DataFrame, b: DataFrame, rank: str = "_rank") -> DataFrame:
 
 
 def digest(df: DataFrame, rank: str = "_rank") -> DataFrame:
-    """Order-free digest of each rank's rows, to verify a copy against: count, sum and xor of row hashes."""
-    h = F.xxhash64(*df.columns)
-    return df.groupBy(rank).agg(F.count(F.lit(1)).alias("n_rows"), F.sum((h % 1000003).cast("decimal(38,0)")).alias("sum_hash"), F.bit_xor(h).alias("xor_hash"))
+    """Order-free digest of each rank's rows, to verify a copy against: count, sum and xor of row hashes.
+
+    A row's hash takes each column with its place and whether it is null, in order of names."""
+    parts = [c for i, name in enumerate(sorted(df.columns)) for c in (F.lit(i), F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))]
+    h = F.xxhash64(*parts)
+    return df.groupBy(rank).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h.cast("decimal(38,0)")).alias("sum_hash"), F.bit_xor(h).alias("xor_hash"))
 
 
 def verify(expected: DataFrame, found: DataFrame, rank: str = "_rank") -> DataFrame:

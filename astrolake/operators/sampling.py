@@ -6,22 +6,42 @@ any run, on any cluster, and in any engine.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LINEAR, CUBE = 1, 3
+#: Leading hexadecimal digits of the shuffled order that make a cell.
+CELL_DIGITS = 3
 
 
 def shuffle_key(key: str, seed: int = 0) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
 
 
+def first_shuffled(df: DataFrame, by: list[str], key: str, take, seed: int = 0) -> DataFrame:
+    """The first ``take(n)`` rows of every group in shuffled order, n being its rows.
+
+    Rows are counted per group and leading digits of their hash; running sums find the cell
+    that holds the last row taken.  Cells before it are taken whole, and only that one is sorted."""
+    names = [f"_by{i}" for i in range(len(by))]
+    rows = df.withColumn("_shuffle", shuffle_key(key, seed)).withColumn("_cell", F.substring("_shuffle", 1, CELL_DIGITS))
+    cells = rows.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("_cell").alias("_edge")).agg(F.count(F.lit(1)).alias("_count"))
+    whole = Window.partitionBy(*names)
+    cells = cells.withColumn("_upto", F.sum("_count").over(whole.orderBy("_edge"))).withColumn("_take", take(F.sum("_count").over(whole)).cast("long"))
+    edges = cells.where((F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_count") < F.col("_take"))).withColumn("_left", F.col("_take") - F.col("_upto") + F.col("_count"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)])
+    joined = rows.join(edges.select(*names, "_edge", "_left"), same)
+    order = Window.partitionBy(*by).orderBy("_shuffle", key)
+    last = joined.where("_cell = _edge").withColumn("_k", F.row_number().over(order)).where("_k <= _left")
+    return joined.where("_cell < _edge").select(*df.columns).unionByName(last.select(*df.columns))
+
+
 def sample(df: DataFrame, share: float, key: str, rank: str = "_rank", power: int = CUBE, seed: int = 0) -> DataFrame:
     """Exactly round(n * share**power) rows of every rank, without replacement."""
-    counts = df.groupBy(rank).agg(F.round(F.count(F.lit(1)) * F.lit(float(share) ** power)).cast("long").alias("_take"))
-    order = Window.partitionBy(rank).orderBy("_shuffle", key)
-    rows = df.withColumn("_shuffle", shuffle_key(key, seed)).withColumn("_k", F.row_number().over(order))
-    return rows.join(counts, rank).where(F.col("_k") <= F.col("_take")).drop("_k", "_take", "_shuffle")
+    return first_shuffled(df, [rank], key, lambda n: F.round(n * F.lit(float(share) ** power)), seed)
 
 
 def sample_then(df: DataFrame, share: float, key: str, condition: Column, **options) -> DataFrame:
@@ -31,6 +51,4 @@ def sample_then(df: DataFrame, share: float, key: str, condition: Column, **opti
 
 def leaf_prefix(df: DataFrame, share: float, key: str, leaf: list[str], seed: int = 0) -> DataFrame:
     """First trunc(n * share) rows of every leaf, whose rows stand in shuffled order."""
-    part = Window.partitionBy(*leaf)
-    rows = df.withColumn("_pos", F.row_number().over(part.orderBy(shuffle_key(key, seed), F.col(key))) - 1).withColumn("_n", F.count(F.lit(1)).over(part))
-    return rows.where(F.col("_pos") < F.floor(F.col("_n") * F.lit(float(share)))).drop("_pos", "_n")
+    return first_shuffled(df, leaf, key, lambda n: F.floor(n * F.lit(float(share))), seed)

@@ -6,14 +6,17 @@ a box of 256, and the rank of a 2 x 2 x 2 split.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolake.functions import typed
 from astrolake.model import Dataset, percent_slice
 from astrolake.operators import compare, octree, redistribute, sampling
+from astrolake.sources import ranked
+from astrolake.sources.shared import shared_folder
 from astrolake.operators.selection import AT_LEAST, AT_MOST, BETWEEN, IS, Selection, in_box, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,14 +33,15 @@ def axes():
     return [F.col(a) for a in AXES]
 
 
-def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, x, y, z, _cx, _cy, _cz, _rank."""
+def particles(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """id, x, y, z, further columns of orders, _cx, _cy, _cz, _rank."""
     o = table(spark, sf_dir, "orders")
     p = o.select(
         F.col("o_orderkey").alias("id"),
         (F.pmod(F.col("o_orderkey") * 7919, F.lit(25600)).cast("double") / 100.0).alias("x"),
         (F.pmod(F.col("o_custkey") * 104729, F.lit(25600)).cast("double") / 100.0).alias("y"),
         (F.pmod(F.floor("o_totalprice").cast("long"), F.lit(25600)).cast("double") / 100.0).alias("z"),
+        *more,
     )
     return octree.rank_grid(p, axes())
 
@@ -232,7 +236,7 @@ def leaf_assign(spark, d):
 @query(f"""WITH {PARTICLES}, c AS (SELECT id, _rank, floor((x - _cx * 128) / 32)::int AS a, floor((y - _cy * 128) / 32)::int AS b, floor((z - _cz * 128) / 32)::int AS c FROM particles)
 SELECT id, (_rank * 64 + (a // 2) * 32 + (b // 2) * 16 + (c // 2) * 8 + (a % 2) * 4 + (b % 2) * 2 + c % 2)::int AS _leaf_id FROM c""")
 def leaf_assign_three_levels(spark, d):
-    return octree.assign_leaf(particles(spark, d).where("x > 0 AND y > 0 AND z > 0"), axes(), 3).select("id", "_leaf_id").unionByName(octree.assign_leaf(particles(spark, d).where("NOT (x > 0 AND y > 0 AND z > 0)"), axes(), 3).select("id", "_leaf_id"))
+    return octree.assign_leaf(particles(spark, d), axes(), 3).select("id", "_leaf_id")
 
 
 @query(f"WITH {LEAVES} SELECT _leaf_id, count(*) AS n_rows FROM leaves GROUP BY _leaf_id")
@@ -278,19 +282,23 @@ def leaf_rows(spark, d):
 
 @query(f"WITH {PARTICLES} SELECT id, o_totalprice AS mass, x, y, z FROM particles JOIN orders ON id = o_orderkey WHERE x BETWEEN 64 AND 128 AND y BETWEEN 0 AND 63.5 AND z BETWEEN 190 AND 256 AND o_totalprice > 100000")
 def region_halo_extract(spark, d):
-    inside = octree.region_rows(particles(spark, d), axes(), REGION)
-    return inside.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("mass")), "id").where("mass > 100000").select("id", "mass", "x", "y", "z")
+    halos = particles(spark, d, F.col("o_totalprice").alias("mass")).where("mass > 100000")
+    return octree.region_rows(halos, axes(), REGION).select("id", "mass", "x", "y", "z")
 
 
-@query("SELECT n::double AS x, low::double AS low, CASE WHEN n = 0 AND low = 128 THEN 256 WHEN n = 256 AND low = 0 THEN 0 ELSE n END::double AS wrapped FROM (VALUES (0), (64), (256)) t(n), (VALUES (0), (128)) u(low)")
+@query(f"""WITH {PARTICLES}, p AS (SELECT id, round(x / 64) * 64 AS x, (id % 2) * 128.0::double AS low FROM particles)
+SELECT id, x, low, CASE WHEN x = 0 AND low = 128 THEN 256 WHEN x = 256 AND low = 0 THEN 0 ELSE x END::double AS wrapped FROM p""")
 def periodic_wrap(spark, d):
-    points = spark.createDataFrame([(x, low) for x in (0.0, 64.0, 256.0) for low in (0.0, 128.0)], "x double, low double")
+    points = particles(spark, d).select("id", (F.round(F.col("x") / 64) * 64).alias("x"), (F.pmod("id", F.lit(2)) * 128).cast("double").alias("low"))
     return points.withColumn("wrapped", octree.wrap(F.col("x"), F.col("low"), F.col("low") + 128, 0.0, 256.0))
 
 
-@query("SELECT 0::bigint AS n_violations")
+@query(f"""WITH {LEAVES}, moved AS (SELECT *, CASE WHEN id % 100 = 7 THEN (_leaf + 1) % 8 ELSE _leaf END AS wrong FROM leaves),
+boxes AS (SELECT *, _cx * 128 + (wrong // 4) * 64 AS ax, _cy * 128 + (wrong // 2 % 2) * 64 AS ay, _cz * 128 + (wrong % 2) * 64 AS az FROM moved)
+SELECT id FROM boxes WHERE x < ax OR x > ax + 64 OR y < ay OR y > ay + 64 OR z < az OR z > az + 64""")
 def verify_octree_violations(spark, d):
-    return octree.violations(leaves(spark, d), axes(), 2).agg(F.count(F.lit(1)).alias("n_violations"))
+    moved = leaves(spark, d).withColumn("_leaf", F.when(F.pmod("id", F.lit(100)) == 7, F.pmod(F.col("_leaf") + 1, F.lit(8))).otherwise(F.col("_leaf")).cast("int"))
+    return octree.violations(moved, axes(), 2).select("id")
 
 
 @query(LEAF_TABLE + "SELECT _rank, count(*) AS n_leaves, min(row_offset) AS first_row, (sum(n_rows))::bigint AS n_rows FROM leaf_table GROUP BY _rank")
@@ -329,19 +337,19 @@ def sample_leaf_prefix(spark, d):
 # exchange
 
 
-@query("SELECT r::int AS _rank, CASE WHEN r < 2 THEN r // 2 ELSE 1 + (r - 2) // 3 END::int AS reader FROM range(8) t(r)")
+@query(f"WITH {EVENTS} SELECT _rank, (CASE WHEN _rank < 2 THEN _rank // 2 ELSE 1 + (_rank - 2) // 3 END)::int AS reader FROM ranked GROUP BY _rank")
 def redistribute_blocks_tail(spark, d):
-    return spark.range(8).select(F.col("id").cast("int").alias("_rank"), redistribute.blocks_tail(F.col("id"), 8, 3).alias("reader"))
+    return events(spark, d).df.select("_rank").distinct().withColumn("reader", redistribute.blocks_tail(F.col("_rank"), 8, 3))
 
 
-@query("SELECT r::int AS _rank, CASE WHEN r < 6 THEN r // 3 ELSE 2 + (r - 6) // 2 END::int AS reader FROM range(8) t(r)")
+@query(f"WITH {EVENTS} SELECT _rank, (CASE WHEN _rank < 6 THEN _rank // 3 ELSE 2 + (_rank - 6) // 2 END)::int AS reader FROM ranked GROUP BY _rank")
 def redistribute_blocks_head(spark, d):
-    return spark.range(8).select(F.col("id").cast("int").alias("_rank"), redistribute.blocks_head(F.col("id"), 8, 3).alias("reader"))
+    return events(spark, d).df.select("_rank").distinct().withColumn("reader", redistribute.blocks_head(F.col("_rank"), 8, 3))
 
 
-@query("SELECT r::int AS _rank, least(r // 2, 2)::int AS reader FROM range(8) t(r)")
+@query(f"WITH {EVENTS} SELECT _rank, (least(_rank // 2, 2))::int AS reader FROM ranked GROUP BY _rank")
 def redistribute_blocks_last(spark, d):
-    return spark.range(8).select(F.col("id").cast("int").alias("_rank"), redistribute.blocks_last(F.col("id"), 8, 3).alias("reader"))
+    return events(spark, d).df.select("_rank").distinct().withColumn("reader", redistribute.blocks_last(F.col("_rank"), 8, 3))
 
 
 @query(f"WITH {PARTICLES} SELECT DISTINCT _rank, _cx * 128.0::double AS min_x, (_cx + 1) * 128.0::double AS max_x, _cy * 128.0::double AS min_y, (_cy + 1) * 128.0::double AS max_y, _cz * 128.0::double AS min_z, (_cz + 1) * 128.0::double AS max_z FROM particles")
@@ -394,9 +402,10 @@ def vector_field_count(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.size("embedding").alias("n_fields"))
 
 
-@query()
+@query("""SELECT * FROM (VALUES (0, 'l_orderkey', 'i64'), (1, 'l_partkey', 'i64'), (2, 'l_suppkey', 'i64'), (3, 'l_linenumber', 'i32'), (4, 'l_quantity', 'f64'), (5, 'l_extendedprice', 'f64'), (6, 'l_discount', 'f64'),
+  (7, 'l_tax', 'f64'), (8, 'l_returnflag', 'string'), (9, 'l_linestatus', 'string'), (10, 'l_shipdate', 'timestamp_ntz')) t("position", name, label)""")
 def type_label_table(spark, d):
-    return typed.schema_table(table(spark, d, "lineitem"))
+    return typed.schema_table(table(spark, d, "lineitem")).drop("role")
 
 
 @query()
@@ -418,12 +427,105 @@ def print_rows(spark, d):
     return table_lines(e).select(F.split("value", "\t")[0].cast("long").alias("event_id"), F.col("value").alias("line"))
 
 
+@query(f"WITH {PARTICLES} SELECT id, printf('%g', x) AS x_text, printf('%g', x * 12345.678::double) AS large, printf('%g', -x / 1e7::double) AS small FROM particles WHERE id % 7 = 0")
+def value_text(spark, d):
+    p = particles(spark, d).where("id % 7 = 0")
+    return p.select("id", typed.to_text(F.col("x")).alias("x_text"), typed.to_text(F.col("x") * 12345.678).alias("large"), typed.to_text(-F.col("x") / 1e7).alias("small"))
+
+
+@query(f"WITH {PARTICLES}, r AS (SELECT _rank, count(*) AS n, min(x) AS a, max(x) AS b FROM particles GROUP BY _rank) SELECT sum(n)::bigint AS n_rows, count(*) AS n_ranks, max(n) AS max_rank_rows, 8::int AS n_columns, min(a) AS min_x, max(b) AS max_x FROM r")
+def file_info(spark, d):
+    return typed.file_info(particles(spark, d), boxes=["x"])
+
+
+@query(f"WITH {PARTICLES} SELECT id, x::float AS px, y::float AS py, z::float AS pz FROM particles")
+def point_assembly(spark, d):
+    return Dataset(particles(spark, d)).points("id").select("id", F.col("point.x").alias("px"), F.col("point.y").alias("py"), F.col("point.z").alias("pz"))
+
+
+@query(f"WITH {EVENTS} SELECT _rank, floor(count(*) * 0.1::double)::bigint AS n_shown FROM ranked GROUP BY _rank")
+def rows_to_show(spark, d):
+    return events(spark, d).rows_to_show(0.1)
+
+
+@query("SELECT string_agg(n_name, ',' ORDER BY n_name) AS names, n_regionkey FROM nation GROUP BY n_regionkey")
+def group_concat(spark, d):
+    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("names"))
+
+
+@query("SELECT o_orderstatus, round(avg(o_totalprice), 2) AS mean, round(coalesce(sum(CASE WHEN o_totalprice > 1e9 THEN o_totalprice END), 0.0::double), 2)::double AS total FROM orders GROUP BY o_orderstatus")
+def avg_and_total(spark, d):
+    huge = F.sum(F.when(F.col("o_totalprice") > 1e9, F.col("o_totalprice")))
+    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.round(F.avg("o_totalprice"), 2).alias("mean"), F.round(F.coalesce(huge, F.lit(0.0)), 2).alias("total"))
+
+
+# stored tables: written, then read back with what the layout allows to skip
+
+
+def stored_octree(spark: SparkSession, d: str) -> str:
+    path = f"{shared_folder(spark)}/octree-{uuid.uuid4().hex}"
+    ranked.write(Dataset(leaves(spark, d)), path, leaf_key="id")
+    return path
+
+
+@query(f"WITH {PARTICLES} SELECT id, x, y, z FROM particles WHERE x BETWEEN 64 AND 128 AND y BETWEEN 0 AND 63.5 AND z BETWEEN 190 AND 256")
+def stored_region_rows(spark, d):
+    return ranked.region(spark, stored_octree(spark, d), REGION).select("id", "x", "y", "z")
+
+
+@query(f"WITH {LEAVES} SELECT id, x, y, z FROM leaves WHERE _leaf_id = 13")
+def stored_leaf_read(spark, d):
+    return ranked.leaf(spark, stored_octree(spark, d), 13).select("id", "x", "y", "z")
+
+
+STORED = f"""WITH {LEAVES}, stored AS (SELECT *, row_number() OVER (PARTITION BY _rank ORDER BY _leaf_id, md5('0:' || id::varchar), id) - 1 AS k, count(*) OVER (PARTITION BY _rank) AS n FROM leaves)"""
+
+
+@query(STORED + " SELECT id, k::bigint AS _row_in_rank FROM stored WHERE _rank = 2 AND k BETWEEN 40 AND 89")
+def stored_row_range(spark, d):
+    return ranked.row_range(ranked.read(spark, stored_octree(spark, d)).df, 2, 40, 50).select("id", "_row_in_rank")
+
+
+@query(STORED + " SELECT id, k / n::double AS _percent FROM stored WHERE k / n::double < 0.1")
+def stored_percent(spark, d):
+    return percent_slice(ranked.read(spark, stored_octree(spark, d)).df, high=0.1).select("id", "_percent")
+
+
+@query(STORED + " SELECT _rank, _leaf_id, min(k)::bigint AS row_offset, count(*) AS n_rows, min(x) AS min_x, max(x) AS max_x FROM stored GROUP BY _rank, _leaf_id")
+def stored_leaf_table(spark, d):
+    return ranked.leaves(spark, stored_octree(spark, d)).select("_rank", "_leaf_id", "row_offset", "n_rows", "min_x", "max_x")
+
+
+def stored_partitions(spark: SparkSession, d: str) -> str:
+    path = f"{shared_folder(spark)}/partitioned-{uuid.uuid4().hex}"
+    ranked.write_partitioned(events(spark, d).df, path, redistribute.blocks_head(F.col("_rank"), 8, 3))
+    return path
+
+
+@query(f"WITH {EVENTS} SELECT _rank, CASE WHEN _rank < 6 THEN _rank // 3 ELSE 2 + (_rank - 6) // 2 END::int AS _partition, count(*) AS n_rows FROM ranked GROUP BY _rank")
+def stored_rank_map(spark, d):
+    return ranked.rank_map(spark, stored_partitions(spark, d))
+
+
+@query(f"WITH {EVENTS} SELECT event_id, _rank FROM ranked WHERE _rank = 4")
+def stored_rank_read(spark, d):
+    return ranked.read_rank(spark, stored_partitions(spark, d), 4).select("event_id", "_rank")
+
+
+@query(f"WITH {EXTENDED} SELECT event_id, _rowid FROM percents WHERE _percent < 0.2 AND _rank = 1")
+def stored_view_sql(spark, d):
+    path = f"{shared_folder(spark)}/view-{uuid.uuid4().hex}"
+    ranked.write(events(spark, d), path)
+    ranked.register(ranked.read(spark, path), "stored_events")
+    return spark.sql("SELECT event_id, _rowid FROM stored_events_extended WHERE _percent < 0.2 AND _rank = 1")
+
+
 # order
 
 
-@query(f"WITH {EXTENDED} SELECT event_id, _rank, _rowid FROM percents ORDER BY _rank, _rowid LIMIT 500")
+@query(f"WITH {EXTENDED} SELECT event_id, _rank, _rowid FROM percents ORDER BY _rank, _rowid")
 def order_by_rank_rowid(spark, d):
-    return events(spark, d).extended().select("event_id", "_rank", "_rowid").orderBy("_rank", "_rowid").limit(500)
+    return events(spark, d).extended().select("event_id", "_rank", "_rowid").orderBy("_rank", "_rowid")
 
 
 @query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 25")
@@ -445,7 +547,7 @@ SHARED_SQL = {
     "sql_left_join": "SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000 GROUP BY c_custkey",
     "sql_cross_join": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "sql_semi": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
-    "sql_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "sql_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)",
     "sql_in_subquery": "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)",
     "sql_group_having": "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY o_custkey HAVING count(*) > 15",
     "sql_distinct_count": "SELECT o_orderstatus, count(DISTINCT o_custkey) AS n_customers FROM orders GROUP BY o_orderstatus",
@@ -457,7 +559,7 @@ SHARED_SQL = {
     "sql_union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier",
     "sql_intersect": "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey AS k FROM supplier",
     "sql_except": "SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0",
-    "sql_cte_subquery": "WITH m AS (SELECT avg(o_totalprice) AS a FROM orders) SELECT o_orderkey, o_totalprice FROM orders, m WHERE o_totalprice > 2 * a",
+    "sql_cte_subquery": "WITH m AS (SELECT avg(o_totalprice) AS a FROM orders) SELECT o_orderkey, o_totalprice FROM orders, m WHERE o_totalprice > 1.5 * a",
     "sql_scalar_subquery": "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice = (SELECT max(p_retailprice) FROM part)",
     "sql_self_join": "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "sql_case_like": "SELECT p_partkey, CASE WHEN p_type LIKE '%BRASS%' THEN 'brass' WHEN p_size BETWEEN 1 AND 10 THEN 'small' ELSE 'other' END AS kind FROM part WHERE p_name IS NOT NULL",

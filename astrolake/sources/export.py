@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from astrolake.functions.typed import type_label
+from astrolake.model import numbered
 
 #: Fields of a row-major particle record, in order.
 ROW_MAJOR = (("x", "<f4"), ("vx", "<f4"), ("y", "<f4"), ("vy", "<f4"), ("z", "<f4"), ("vz", "<f4"), ("phi", "<f4"), ("id", "<i8"))
 
+BLOCK_ROWS = 1 << 16
+
 
 def header_lines(df: DataFrame) -> list[str]:
     """Two comment lines: names, and types."""
@@ -36,18 +37,22 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", "true").csv(path)
 
 
-def row_major(df: DataFrame, rank: str = "_rank") -> DataFrame:
-    """Packed records of each rank: (rank, block, n_rows, data), blocks of one Arrow batch."""
+def row_major(df: DataFrame, rank: str = "_rank", order: tuple[str, ...] = ("id",), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Packed records of each rank in order: (_rank, block, n_rows, data); blocks count from 0 in every rank."""
     kind = np.dtype([(n, t) for n, t in ROW_MAJOR])
-    rows = df.select(F.col(rank).cast("int").alias("_rank"), *[F.col(n).cast("bigint" if t == "<i8" else "float") for n, t in ROW_MAJOR])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, batch in enumerate(batches):
-            packed = np.zeros(batch.num_rows, kind)
-            for n, _ in ROW_MAJOR:
-                packed[n] = batch.column(n).to_numpy(zero_copy_only=False)
-            ranks = batch.column("_rank").to_numpy()
-            parts = [(int(r), block, int((ranks == r).sum()), packed[ranks == r].tobytes()) for r in np.unique(ranks)]
-            yield pa.RecordBatch.from_pylist([{"_rank": r, "block": b, "n_rows": n, "data": d} for r, b, n, d in parts], schema=pa.schema([("_rank", pa.int32()), ("block", pa.int32()), ("n_rows", pa.int64()), ("data", pa.binary())]))
-
-    return rows.mapInArrow(run, "_rank int, block int, n_rows long, data binary")
+    rows = numbered(df, [rank], order, "_position", "_rank_rows")
+    rows = rows.select(F.col(rank).cast("int").alias("_rank"), F.floor(F.col("_position") / block_rows).cast("int").alias("block"), "_position", *[F.col(n).cast("bigint" if t == "<i8" else "float") for n, t in ROW_MAJOR])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_position")
+        packed = np.zeros(table.num_rows, kind)
+        for n, _ in ROW_MAJOR:
+            packed[n] = table.column(n).to_numpy()
+        return pa.table({"_rank": table.column("_rank")[:1], "block": table.column("block")[:1], "n_rows": pa.array([table.num_rows], pa.int64()), "data": pa.array([packed.tobytes()], pa.binary())})
+
+    return rows.groupBy("_rank", "block").applyInArrow(run, "_rank int, block int, n_rows long, data binary")
+
+
+def write_row_major(df: DataFrame, path: str, **options) -> None:
+    """The records as a table with a directory per rank, blocks in order."""
+    row_major(df, **options).repartition("_rank").sortWithinPartitions("_rank", "block").write.partitionBy("_rank").parquet(path)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolake.model import Dataset
@@ -13,21 +16,28 @@ from astrolake.model import Dataset
 def write(data: Dataset, path: str, compression: str = "zstd", leaf_key: str | None = None, files_per_rank: int = 1) -> None:
     """Store a table with its positions, so that rank, row range and percent filters are plain scan filters.
 
-    With ``leaf_key`` rows are also put in order of leaf, shuffled inside a leaf.  Pages
-    carry checksums, which readers verify.
-    """
-    rows = data.extended()
-    order = ["_row_in_rank"]
+    With ``leaf_key`` the order of rows is that of leaves, shuffled inside a leaf: positions,
+    percents and row ids follow it, and a table of leaves (rank, first row, rows, extent) is
+    stored beside the rows.  Pages carry checksums, which readers verify."""
     if leaf_key is not None:
         from astrolake.operators.sampling import shuffle_key
 
-        rows, order = rows.withColumn("_shuffle", shuffle_key(leaf_key)), ["_leaf_id", "_shuffle"]
-    spread = F.floor(F.col(order[0]) / F.greatest(F.col("_rank_rows") / files_per_rank, F.lit(1))) if leaf_key is None else F.pmod(F.xxhash64("_leaf_id"), F.lit(files_per_rank))
+        if not set(data.roles) >= set("xyz") or "_leaf_id" not in data.df.columns:
+            raise ValueError("an octree needs the roles x, y, z and assigned leaves")
+        data = replace(data, df=data.df.withColumn("_shuffle", shuffle_key(leaf_key)), order=("_leaf_id", "_shuffle", leaf_key))
+    rows = data.extended().drop("_shuffle")
     rows = rows.withColumnRenamed(data.rank, "_rank") if data.rank != "_rank" else rows
-    rows = rows.withColumn("_spread", spread).repartition("_rank", "_spread").drop("_spread").sortWithinPartitions("_rank", *order).drop("_shuffle")
+    spread = F.floor(F.col("_row_in_rank") * files_per_rank / F.col("_rank_rows"))
+    rows = rows.withColumn("_spread", spread).repartition("_rank", "_spread").drop("_spread").sortWithinPartitions("_rank", "_row_in_rank")
     rows.write.partitionBy("_rank").option("compression", compression).option("parquet.page.write-checksum.enabled", "true").parquet(path)
-    sidecar = json.dumps({"roles": data.roles, "order": list(data.order), "origin": list(data.origin), "scale": list(data.scale)})
-    data.df.sparkSession.createDataFrame([(sidecar,)], "value string").coalesce(1).write.text(f"{path}/_table")
+    spark = data.df.sparkSession
+    if leaf_key is not None:
+        extent = [f(F.col(f"`{data.roles[a]}`").cast("double")).alias(f"{n}_{a}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))]
+        stored = spark.read.parquet(path)
+        stored.groupBy("_rank", "_leaf_id").agg(F.min("_row_in_rank").alias("row_offset"), F.count(F.lit(1)).alias("n_rows"), *extent).coalesce(1).write.parquet(f"{path}/_leaves")
+    order = [c for c in data.order if c != "_shuffle"]
+    sidecar = json.dumps({"roles": data.roles, "order": order, "origin": list(data.origin), "scale": list(data.scale)})
+    spark.createDataFrame([(sidecar,)], "value string").coalesce(1).write.text(f"{path}/_table")
 
 
 def read(spark: SparkSession, path: str) -> Dataset:
@@ -42,13 +52,58 @@ def row_range(df: DataFrame, rank: int, offset: int, count: int) -> DataFrame:
     return df.where((F.col("_rank") == rank) & F.col("_row_in_rank").between(offset, offset + count - 1))
 
 
+def leaves(spark: SparkSession, path: str) -> DataFrame:
+    """The stored table of leaves: _rank, _leaf_id, row_offset, n_rows, min_x .. max_z (of the rows in it)."""
+    return spark.read.parquet(f"{path}/_leaves")
+
+
+def leaf(spark: SparkSession, path: str, leaf_id: int) -> DataFrame:
+    """Rows of one leaf: its rank, first row and rows come from the table of leaves."""
+    df = read(spark, path).df
+    found = leaves(spark, path).where(F.col("_leaf_id") == leaf_id).first()
+    return df.where(F.lit(False)) if found is None else row_range(df, found["_rank"], found["row_offset"], found["n_rows"])
+
+
+def region(spark: SparkSession, path: str, box: tuple[float, float, float, float, float, float], listed: int = 4096) -> DataFrame:
+    """Rows in the closed box (x0, x1, y0, y1, z0, z1).
+
+    Leaves whose extent meets it are looked up first.  Up to ``listed`` become filters on
+    rank (directories) and leaf (row groups), more of them a join; the rows themselves are
+    tested in any case."""
+    data = read(spark, path)
+    bounds = list(zip("xyz", box[::2], box[1::2], strict=True))
+    touched = leaves(spark, path).where(reduce(and_, [(F.col(f"max_{a}") >= float(lo)) & (F.col(f"min_{a}") <= float(hi)) for a, lo, hi in bounds])).select("_rank", "_leaf_id")
+    few = touched.limit(listed + 1).collect()
+    if len(few) <= listed:
+        df = data.df.where(F.col("_rank").isin(sorted({r["_rank"] for r in few})) & F.col("_leaf_id").isin(sorted({r["_leaf_id"] for r in few})))
+    else:
+        df = data.df.join(touched, ["_rank", "_leaf_id"], "left_semi")
+    return df.where(reduce(and_, [F.col(f"`{data.roles[a]}`").between(float(lo), float(hi)) for a, lo, hi in bounds]))
+
+
+def write_partitioned(df: DataFrame, path: str, partition: Column, rank: str = "_rank") -> None:
+    """A directory per partition of ranks, and the map from rank to partition beside them."""
+    rows = df.withColumn("_partition", partition.cast("int"))
+    rows.repartition("_partition", rank).write.partitionBy("_partition").parquet(path)
+    spark = df.sparkSession
+    spark.read.parquet(path).groupBy(F.col(rank).alias("_rank"), "_partition").agg(F.count(F.lit(1)).alias("n_rows")).coalesce(1).write.parquet(f"{path}/_ranks")
+
+
+def rank_map(spark: SparkSession, path: str) -> DataFrame:
+    """_rank, _partition, n_rows of a partitioned table."""
+    return spark.read.parquet(f"{path}/_ranks")
+
+
+def read_rank(spark: SparkSession, path: str, rank: int, column: str = "_rank") -> DataFrame:
+    """Rows of one rank: only the partition that the map names is read."""
+    held = [r["_partition"] for r in rank_map(spark, path).where(F.col("_rank") == rank).select("_partition").distinct().collect()]
+    return spark.read.parquet(path).where(F.col("_partition").isin(held) & (F.col(column) == rank))
+
+
 def partitioned(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One table over several paths, with ``_partition`` telling which."""
     parts = [spark.read.parquet(p).withColumn("_partition", F.lit(i)) for i, p in enumerate(paths)]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    return reduce(DataFrame.unionByName, parts)
 
 
 def series(spark: SparkSession, pattern: str, step: str = r"(\d+)(?:\.\w+)?/?[^/]*$") -> DataFrame:

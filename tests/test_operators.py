@@ -146,9 +146,56 @@ def test_stored_tables(spark, box, tmp_path):
 
 def test_leaf_layout_prunes(spark, box, tmp_path):
     df = octree.assign_leaf(octree.rank_grid(box.df.drop("_rank"), AXES), AXES, 2)
-    ranked.write(box.with_df(df), f"{tmp_path}/o", leaf_key="id")
-    back = ranked.read(spark, f"{tmp_path}/o")
+    path = f"{tmp_path}/o"
+    ranked.write(box.with_df(df), path, leaf_key="id")
+    back = ranked.read(spark, path)
     assert compare.identical(back.df.select(*df.columns), df)
+    # positions follow the stored leaves
+    assert ranked.leaves(spark, path).count() == df.select("_leaf_id").distinct().count()
+    for r in ranked.leaves(spark, path).orderBy("_leaf_id").collect()[::20]:
+        got = ranked.row_range(back.df, r["_rank"], r["row_offset"], r["n_rows"]).select("_leaf_id").collect()
+        assert {x[0] for x in got} == {r["_leaf_id"]} and len(got) == r["n_rows"]
+        assert compare.identical(ranked.leaf(spark, path, r["_leaf_id"]).select("id"), df.where(F.col("_leaf_id") == r["_leaf_id"]).select("id"))
+    region = (10.0, 100.0, 0.0, 50.0, 100.0, 200.0)
+    for listed in (4096, 0):
+        assert compare.identical(ranked.region(spark, path, region, listed).select("id"), octree.region_rows(df, AXES, region).select("id"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
+    plan = ranked.region(spark, path, region)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "PartitionFilters: [_rank" in plan and "In(_leaf_id" in plan and "GreaterThanOrEqual(x,10.0)" in plan
+    with pytest.raises(ValueError):
+        ranked.write(Dataset(box.df.select("id", "_rank")), f"{tmp_path}/none", leaf_key="id")
+
+
+def test_partitioned_and_rank_map(spark, box, tmp_path):
+    ranked.write_partitioned(box.df, f"{tmp_path}/p", F.col("_rank") % 3)
+    assert {(r["_rank"], r["_partition"], r["n_rows"]) for r in ranked.rank_map(spark, f"{tmp_path}/p").collect()} == {(r, r % 3, 200) for r in range(8)}
+    one = ranked.read_rank(spark, f"{tmp_path}/p", 4)
+    assert compare.identical(one.select("id"), box.df.where("_rank = 4").select("id")) and len(one.inputFiles()) >= 1
+    assert ranked.read_rank(spark, f"{tmp_path}/p", 99).isEmpty()
+
+
+@pytest.mark.parametrize("cell_rows", [7, 300])
+def test_positions_of_large_groups(box, cell_rows):
+    """Ranges and running sums give what a window gives."""
+    from astrolake.model import numbered
+
+    rows = box.df.withColumn("_rank", F.when(F.col("_rank") > 5, None).otherwise(F.col("_rank")))
+    small, large = (numbered(rows, ["_rank"], ("x", "id"), "p", "n", most, cell_rows).select("id", "_rank", "p", "n") for most in (1 << 20, 10))
+    assert compare.identical(small, large) and small.agg(F.max("n")).first()[0] == 400
+
+
+def test_digest_tells_nulls_apart(spark):
+    a = spark.createDataFrame([(1, None, 0), (None, 2, 0)], "u int, v int, _rank int")
+    b = spark.createDataFrame([(None, 1, 0), (2, None, 0)], "u int, v int, _rank int")
+    assert compare.verify(compare.digest(a), compare.digest(b)).count() == 1
+    assert compare.verify(compare.digest(a), compare.digest(a.select("v", "_rank", "u"))).count() == 0
+
+
+def test_values_as_text(spark):
+    values = [0.0, 1.0, -2.5, 123456.0, 1234567.0, 0.0001, 0.00001234, 999999.5, 1e300, -1e-300, 3.14159265, 100000.0, 1e15]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").select("v", typed.to_text(F.col("v")).alias("t")).collect()
+    assert [r["t"] for r in rows] == ["%g" % v for v in values] + [None]
 
 
 def test_exports(spark, box, tmp_path):
@@ -157,8 +204,12 @@ def test_exports(spark, box, tmp_path):
     export.write_table(box.df.select("id", "x"), f"{tmp_path}/tsv")
     assert spark.read.text(f"{tmp_path}/tsv/rows").count() == 1600
     assert spark.read.text(f"{tmp_path}/tsv/_header").first()[0].startswith("# id\tx")
-    blocks = export.row_major(box.df).collect()
-    assert sum(b["n_rows"] for b in blocks) == 1600
+    blocks = export.row_major(box.df, block_rows=70).collect()
+    assert sum(b["n_rows"] for b in blocks) == 1600 and len({(b["_rank"], b["block"]) for b in blocks}) == len(blocks) == 24
+    whole = b"".join(bytes(b["data"]) for b in sorted(blocks, key=lambda b: (b["_rank"], b["block"])))
+    assert np.frombuffer(whole, np.dtype(list(export.ROW_MAJOR)))["id"].tolist() == list(range(1600))
+    export.write_row_major(box.df, f"{tmp_path}/records")
+    assert spark.read.parquet(f"{tmp_path}/records").agg(F.sum("n_rows")).first()[0] == 1600
     first = np.frombuffer(bytes(blocks[0]["data"]), np.dtype(list(export.ROW_MAJOR)))
     want = {r["id"]: r["x"] for r in box.df.select("id", "x").collect()}
     assert all(want[int(i)] == x for i, x in zip(first["id"], first["x"], strict=True))

@@ -4,10 +4,11 @@ Vectors are scaled to length one, so nearness by cosine is nearness by distance,
 projected onto ``M`` Gaussian directions.  The projected distance squared over the true
 distance squared follows a chi-square law with M degrees of freedom.  The projected
 points of a block stand in a kd-tree; a query takes its leaves in order of their least
-projected distance, verifies the points in them by their exact cosine, and stops once a
-point as near as its k-th best so far would, with probability ``CONFIDENCE``, have been met
-already: when the next projected distance squared exceeds the chi-square quantile times
-the k-th best distance squared.
+projected distance, and verifies points of them by their exact cosine while the stopping
+test allows: a point as near as the k-th best so far would, with probability
+``CONFIDENCE``, stand within the chi-square quantile times the k-th best distance squared,
+so points beyond that projected distance are passed over, and the search ends at the first
+leaf that lies beyond it.
 
 All vectors are indexed, in blocks of about ``BLOCK`` rows dealt by hash; queries come in
 chunks of about ``CHUNK``.  Each pair of block and chunk is one group: a stated query set
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from astrolake.llm import packing
 
-M, CONFIDENCE, LEAF = 8, 0.99, 64
+M, CONFIDENCE, LEAF = 8, 0.95, 64
+#: Leaves looked at before the stopping test is made again.
+STEP = 4
 BLOCK, CHUNK = 16384, 1024
 #: More than rounding puts between the scores of equal vectors.
 SLACK = 1e-12
@@ -80,30 +83,48 @@ class KdTree:
         return (gap * gap).sum(axis=2)
 
 
-def search(ids, vectors, query_ids, queries, k: int, m: int = M, confidence: float = CONFIDENCE, leaf: int = LEAF):
-    """Per query the k best of the block as arrays (query number, candidate number, cosine)."""
+def search(ids, vectors, query_ids, queries, k: int, m: int = M, confidence: float = CONFIDENCE, leaf: int = LEAF, tally: list | None = None):
+    """Per query the k best of the block as arrays (query number, candidate number, cosine); ``tally`` receives the share of points verified."""
     unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
     uq = queries / np.sqrt((queries * queries).sum(axis=1))[:, None]
     d = directions(vectors.shape[1], m)
     tree, pq = KdTree(unit @ d, leaf), uq @ d
     cut = chi_square_quantile(confidence, m)
     found_q, found_c, found_s = [], [], []
+    points = unit @ d
     for q in range(len(queries)):
         least = tree.least_squares(pq[q : q + 1])[0]
         order = np.argsort(least, kind="stable")
-        best_s, best_c, kth, step, i = np.zeros(0), np.zeros(0, np.int64), -np.inf, 4, 0
-        while i < len(order):
-            if least[order[i]] > cut * (max(2 - 2 * kth, 0.0) + SLACK):
-                break
-            rows = np.concatenate([tree.order[slice(*tree.bounds[j])] for j in order[i : i + step]])
-            i += step
-            rows = rows[ids[rows] != query_ids[q]]
-            s = np.r_[best_s, unit[rows] @ uq[q]]
-            c = np.r_[best_c, rows]
+        best_s, best_c, kth, i = np.zeros(0), np.zeros(0, np.int64), -np.inf, 0
+        best_p, verified = np.zeros(0), np.zeros(len(ids), bool)
+
+        def verify(rows, q=q, verified=verified):
+            """Exact cosines of the rows; the best so far, with all that are as near as the k-th."""
+            nonlocal best_s, best_c, best_p, kth
+            verified[rows] = True
+            s, c, p = np.r_[best_s, unit[rows] @ uq[q]], np.r_[best_c, rows], np.r_[best_p, ((points[rows] - pq[q]) ** 2).sum(axis=1)]
             if len(s) >= k:
                 kth = np.partition(s, len(s) - k)[len(s) - k]
             keep = s >= kth - SLACK
-            best_s, best_c = s[keep], c[keep]
+            best_s, best_c, best_p = s[keep], c[keep], p[keep]
+
+        def within(leaves, far, q=q, verified=verified):
+            """Rows of the leaves whose projected distance is at most ``far``."""
+            rows = np.concatenate([tree.order[slice(*tree.bounds[j])] for j in leaves])
+            rows = rows[(ids[rows] != query_ids[q]) & ~verified[rows]]
+            return rows[((points[rows] - pq[q]) ** 2).sum(axis=1) <= far]
+
+        while i < len(order):
+            far = cut * (max(2 - 2 * kth, 0.0) + SLACK)
+            if least[order[i]] > far:
+                break
+            verify(within(order[i : i + STEP], far))
+            i += STEP
+        # copies stand at one projected distance: none is left out because its leaf came later
+        reach = best_p.max(initial=0.0) * (1 + 1e-9) + SLACK
+        verify(within(order[: max(1, int(np.searchsorted(least[order], reach, "right")))], reach))
+        if tally is not None:
+            tally.append(verified.mean())
         # products of equal rows differ in their last places: the exact cosine decides among all that are as near
         a, b = queries[q : q + 1], vectors[best_c]
         s = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))

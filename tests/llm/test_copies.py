@@ -16,3 +16,31 @@ def test_copies_of_one_vector():
         _, c, s = ann_search.search(ids, vectors[dealt], np.array([-1, -2]), np.stack([near, one]), 5)
         assert ids[c].tolist() == sorted(ids[dealt >= 903].tolist())[:5] * 2
         assert len(set(s[:5])) == len(set(s[5:])) == 1
+
+
+def test_the_stopping_test_ends_the_search():
+    """Clustered vectors: most points are never verified, and nearly all neighbours are found."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 64))
+    v = (centres[:, None] + 0.3 * rng.normal(size=(40, 100, 64))).reshape(-1, 64)
+    ids, asked, shares = np.arange(len(v)), np.arange(0, len(v), 97), []
+    q, c, _ = ann_search.search(ids, v, asked, v[asked], 5, tally=shares)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    s = u[asked] @ u.T
+    s[np.arange(len(asked)), asked] = -9
+    best = np.argsort(-s, axis=1)[:, :5]
+    hits = np.mean([len(set(best[i]) & set(c[q == i])) / 5 for i in range(len(asked))])
+    assert np.mean(shares) < 0.25 and hits >= 0.9
+
+
+def test_a_thousand_copies():
+    """The smallest ids win, whatever leaves the copies fall into."""
+    rng = np.random.default_rng(6)
+    one = rng.normal(size=64)
+    vectors = np.concatenate([np.repeat(one[None], 1000, axis=0), rng.normal(size=(500, 64))])
+    dealt = rng.permutation(len(vectors))
+    ids = np.empty(len(vectors), np.int64)
+    ids[dealt] = np.arange(len(vectors))
+    copies = sorted(ids[:1000].tolist())
+    _, c, _ = ann_search.search(ids, vectors, np.array(copies[:1]), one[None], 5)
+    assert ids[c].tolist() == copies[1:6]

@@ -7,11 +7,12 @@
    (one edit) is intersected with the trie of all terms, so one walk covers the whole
    lexicon.  Words of clean learning rows are never misspellings.  Only words that share
    three quarters with some term reach the automaton (one edit leaves these intact).
-3. Each occurrence has a context window of ``WINDOW`` words either side.  Quotation marks
-   there make it a quotation, counted apart from abuse; terms close together weigh more.
+3. An occurrence between an opening and a closing quotation mark, however far apart, is a
+   quotation and counted apart from abuse; terms within ``WINDOW`` words weigh more.
 4. A logistic model over these sums, fitted on learning rows that did not teach terms,
    gives the score, moved so that 0.5 parts its learning rows best.
 
+Only one edit counts (a swap of two letters is two), in terms of ``SHORTEST`` letters or more.
 Learning uses a bounded sample of labelled rows (``MAX_LABELLED``); scoring is one pass
 over all rows, whole texts, without a shuffle.
 
@@ -36,13 +37,14 @@ MAX_LABELLED, MAX_TERMS = 30000, 4096
 MIN_ODDS, MIN_RATIO, MIN_DOCS = 3.0, 16.0, 3
 WINDOW = 8
 SEED = 11
-SHORTEST, LONGEST = 5, 24
+#: Letters a term has at least to be found misspelled.
+SHORTEST = 5
 N_FEATURES = 8
 
 _QUOTES = np.zeros(256, bool)
 _QUOTES[np.frombuffer(b'"', np.uint8)] = True
-#: UTF-8 of opening and closing quotation marks: 201C-201F, 00AB, 00BB.
-_QUOTE_BYTES = [b"\xe2\x80\x9c", b"\xe2\x80\x9d", b"\xe2\x80\x9e", b"\xe2\x80\x9f", b"\xc2\xab", b"\xc2\xbb"]
+#: UTF-8 of quotation marks that open (201C, 201E, 201F, 00AB) and close (201D, 00BB).
+_QUOTE_BYTES = {b"\xe2\x80\x9c": 1, b"\xe2\x80\x9e": 1, b"\xe2\x80\x9f": 1, b"\xc2\xab": 1, b"\xe2\x80\x9d": -1, b"\xc2\xbb": -1}
 
 
 class Trie:
@@ -134,7 +136,7 @@ class Lexicon:
         self.clean = np.sort(np.array([word_hash(c.encode()) for c in clean], np.uint64)) if clean else np.zeros(0, np.uint64)
         parts = defaultdict(set)
         for t in terms:
-            if SHORTEST <= len(t) and len(t.encode()) <= LONGEST:
+            if SHORTEST <= len(t):
                 raw, slack, half = t.encode(), int(char_bytes(np.frombuffer(t.encode(), np.uint8)).max()), len(t) // 2
                 # an edit leaves one half whole, and of the other half its first or its last part
                 for ahead, behind in ((half + (len(t) - half) // 2, 0), (half, len(t) - half - (len(t) - half) // 2), (0, len(t) - half // 2), (half // 2, len(t) - half)):
@@ -165,7 +167,7 @@ class Lexicon:
         length = end - start
         maybe = np.zeros(len(h), bool)
         view = textops.eights(words.data)
-        fit = np.flatnonzero(~exact & (length >= SHORTEST - 1) & (length <= LONGEST + 4))
+        fit = np.flatnonzero(~exact & (length >= SHORTEST - 1))
         fit = fit[~self._in(h[fit], self.clean)]
         wide = np.ones(len(h), np.int64)
         for least in (2, 3, 4):
@@ -190,42 +192,62 @@ class Lexicon:
         return at, weight[each[at]], ~exact[each[at]]
 
 
-def quotation_marks(data: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Lengths in bytes of the kinds of quotation marks, and where they stand."""
-    found = [(1, np.flatnonzero(_QUOTES[data]))]
-    for mark in _QUOTE_BYTES:
+def quotation_marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the quotation marks in order, their bytes, and kinds: 1 opens, -1 closes, 0 is straight and does either."""
+    at, size, kind = [np.flatnonzero(_QUOTES[data])], [1], [0]
+    for mark, what in _QUOTE_BYTES.items():
         m = np.frombuffer(mark, np.uint8)
         if len(data) >= len(m):
             hit = np.ones(len(data) - len(m) + 1, bool)
             for j, b in enumerate(m):
                 hit &= data[j : j + len(hit)] == b
-            found.append((len(m), np.flatnonzero(hit)))
-    return found
-
-
-def words_of(part: pa.RecordBatch, column: str) -> tuple[textops.Words, np.ndarray]:
-    """Words of a slice, which quotation marks end as blanks do, and the positions of these marks."""
+            at.append(np.flatnonzero(hit))
+            size.append(len(m))
+            kind.append(what)
+    n = [len(x) for x in at]
+    at, size, kind = np.concatenate(at), np.repeat(size, n), np.repeat(kind, n)
+    order = np.argsort(at, kind="stable")
+    return at[order], size[order], kind[order]
+
+
+def paired(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quotations as (opening, closing) places: marks that follow each other, the first opening, the second closing.
+
+    Straight marks open and close in turn, from the start of each text and line."""
+    line = np.searchsorted(np.flatnonzero(data == 0x0A), at)
+    row = np.searchsorted(offsets, at, "right")
+    straight = np.flatnonzero(kind == 0)
+    starts, group = packing.groups(row[straight], line[straight])
+    turn = kind.copy()
+    turn[straight] = np.where((np.arange(len(straight)) - starts[group] if len(starts) else straight) % 2 == 0, 1, -1)
+    both = np.flatnonzero((turn[:-1] == 1) & (turn[1:] == -1) & (row[:-1] == row[1:]))
+    return at[both], at[both + 1]
+
+
+def words_of(part: pa.RecordBatch, column: str) -> tuple[textops.Words, tuple[np.ndarray, np.ndarray]]:
+    """Words of a slice, which quotation marks end as blanks do, and the quotations in it."""
     data, offsets = textops.raw(part.column(column))
-    marks, plain = quotation_marks(data), data.copy()
-    for size, at in marks:
-        for j in range(size):
-            plain[at + j] = 0x20
-    return textops.Words(plain, offsets, textops.ALNUM_WORD), np.sort(np.concatenate([at for _, at in marks]))
+    at, size, kind = quotation_marks(data)
+    plain = data.copy()
+    for j in range(3):
+        plain[at[size > j] + j] = 0x20
+    return textops.Words(plain, offsets, textops.ALNUM_WORD), paired(data, offsets, at, kind)
 
 
 def features(part: pa.RecordBatch, column: str, lexicon: Lexicon) -> np.ndarray:
     """One row of features per text of the slice."""
     words, marks = words_of(part, column)
-    offsets, n = words.offsets, part.num_rows
+    n = part.num_rows
     out = np.zeros((n, N_FEATURES))
     at, weight, wrong = lexicon.lookup(words)
     if not len(at):
         return out
     row = np.searchsorted(words.bounds, at, "right") - 1
     low, high = np.maximum(at - WINDOW, words.bounds[row]), np.minimum(at + WINDOW + 1, words.bounds[row + 1])
-    before = np.searchsorted(marks, words.start[at]) - np.searchsorted(marks, np.where(low == words.bounds[row], offsets[row], words.start[low]))
-    after = np.searchsorted(marks, np.where(high == words.bounds[row + 1], offsets[row + 1], words.end[high - 1])) - np.searchsorted(marks, words.end[at])
-    quoted = (before > 0) & (after > 0)
+    # inside a quotation: the last one that opens before the word closes after it
+    opening, closing = marks
+    last = np.searchsorted(opening, words.start[at]) - 1
+    quoted = (last >= 0) & (np.r_[closing, 0][last] > words.start[at])
     near = np.searchsorted(at, high) - np.searchsorted(at, low)
     h = words.hashes()[at]
     order = np.lexsort((h, row))
@@ -317,7 +339,7 @@ def train(docs: DataFrame, labels: DataFrame, learning, doc_id: str = "doc_id",
     share = min(1.0, MAX_LABELLED / max(n, 1))
     few = marks.where(F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(few), "_id")
-    rows = packing.written(rows.dropDuplicates(["_text", "_y"]), "toxicity-rows")  # copies of a text teach once
+    rows = packing.written(rows.groupBy("_text", "_y").agg(F.min("_id").alias("_id")), "toxicity-rows")  # copies of a text teach once
     teach = F.pmod(F.xxhash64("_id", F.lit(SEED + 1)), F.lit(3)) > 0
     tally = {(r["t"], r["_y"]): r["c"] for r in rows.groupBy(teach.alias("t"), "_y").agg(F.count(F.lit(1)).alias("c")).collect()}
     n_toxic, n_clean = tally.get((True, 1), 0), tally.get((True, 0), 0)

@@ -70,6 +70,9 @@ def test_quotation_is_told_from_abuse():
     x = toxicity.features(batch, "t", lexicon)
     assert x[0, 6] > 0 and x[0, 1] == 0 and x[1, 1] > 0 and x[1, 6] == 0 and x[2, 6] > 0
     assert not x[3:].any()
+    said = ['he said "hello" you horrid man she said "bye"', '"' + "word " * 30 + 'horrid"', 'one " mark horrid', 'it is "fine"\nhorrid "thing"', "« horrid » horrid", "“horrid"]
+    x = toxicity.features(pa.RecordBatch.from_arrays([pa.array(said)], names=["t"]), "t", lexicon)
+    assert [(bool(r[1]), bool(r[6])) for r in x] == [(True, False), (False, True), (True, False), (True, False), (True, True), (True, False)]
 
 
 @pytest.fixture(scope="module")

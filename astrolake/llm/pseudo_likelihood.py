@@ -12,9 +12,10 @@ own, and for given surroundings these sum to at most one (the chain also spells
 have a number).  The score of a document is the sum of log p(token | both sides) over all
 its tokens.
 
-Training covers all documents: in each round every task starts from the shared
-parameters, runs minibatch descent over a share of masked positions of its own
-documents (masks are fixed by hash, so reruns agree), and the results are averaged by
+Training covers all tokens of all documents: in each round every task starts from the
+shared parameters, runs minibatch descent over the masked positions of its own documents
+(fixed by hash; the rounds mask different ones, so over ``MASKED`` rounds each position is
+a target once), and the results are averaged by
 the number of tokens, part by part, in two steps.  What is gathered grows with the input;
 what reaches the driver is one set of parameters.
 
@@ -40,8 +41,10 @@ CLASSES, PER_CLASS, OTHERS = 16, 32, 32
 SIZE = CLASSES * PER_CLASS
 WORDS = SIZE - OTHERS
 DIM, SIDE = 16, 2
-ROUNDS, MASKED, BATCH, RATE, SEED = 2, 8, 1024, 0.5, 3
-PARTS, LANES = 8, 8
+ROUNDS, MASKED, BATCH, SEED = 2, 2, 4096, 3
+#: Positions of the smallest batch, and the first step length.
+LEAST_BATCH, RATE = 256, 2.5
+PARTS = 8
 #: The byte that stands before and after a word's own.
 EDGE = 256
 
@@ -88,7 +91,7 @@ class Network:
 
     @staticmethod
     def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z = z - z.max(axis=1, keepdims=True)
+        z -= z.max(axis=1, keepdims=True)
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return z
 
@@ -132,8 +135,12 @@ class Network:
         self.cls_b -= scale * d_cls_b
         gh *= 1 - h * h
         self.bias -= scale * gh.sum(axis=0)
+        gh *= scale
         for j in range(2 * SIDE):
-            np.subtract.at(self.emb[j], around[j], scale * gh)
+            # gradients of equal numbers are summed before they are taken off
+            order = np.argsort(around[j], kind="stable")
+            starts, _ = packing.groups(around[j][order])
+            self.emb[j][around[j][order[starts]]] -= np.add.reduceat(gh[order], starts, axis=0)
 
 
 def numbers(words: textops.Words, vocabulary: np.ndarray, number: np.ndarray, classes: int = CLASSES, per_class: int = PER_CLASS) -> np.ndarray:
@@ -223,22 +230,18 @@ def _steps(words: textops.Words, rare: np.ndarray) -> np.ndarray:
     return np.concatenate([EDGE * (EDGE + 1) + data[first], data[at] * (EDGE + 1) + data[at + 1], data[last] * (EDGE + 1) + EDGE])
 
 
-def spelling(texts: DataFrame, ranked: np.ndarray) -> np.ndarray:
-    """Log-probabilities of the next byte (or the end) after a byte (or the start), over all words outside the vocabulary."""
-    held = texts.sparkSession.sparkContext.broadcast(np.sort(ranked))
+def _without_number(words: textops.Words, vocabulary: np.ndarray) -> np.ndarray:
+    """Which words are not in the sorted vocabulary."""
+    h = words.hashes()
+    if not len(vocabulary):
+        return np.ones(len(h), bool)
+    slot = np.searchsorted(vocabulary, h)
+    slot[slot == len(vocabulary)] = 0
+    return vocabulary[slot] != h
 
-    def count(batches: Iterator[pa.RecordBatch]):
-        vocabulary, seen = held.value, np.zeros((EDGE + 1) ** 2, np.int64)
-        for batch in batches:
-            for part in textops.pieces(batch, "t"):
-                words = textops.Words(*textops.raw(part.column("t")), textops.ALNUM_WORD)
-                seen += np.bincount(_steps(words, ~np.isin(words.hashes(), vocabulary)), minlength=len(seen))
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["step", "n"])
 
-    got = texts.mapInArrow(count, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toArrow()
-    seen = np.zeros((EDGE + 1) ** 2)
-    seen[got.column("step").to_numpy()] = got.column("n").to_numpy()
+def spelling_of(seen: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the next byte (or the end) after a byte (or the start), from counts of byte pairs."""
     may = np.r_[textops.ALNUM_WORD, True]
     seen = np.where(may[:, None] & may[None], seen.reshape(EDGE + 1, EDGE + 1) + 0.5, 0)
     seen[EDGE, EDGE] = 0
@@ -246,6 +249,11 @@ def spelling(texts: DataFrame, ranked: np.ndarray) -> np.ndarray:
         return np.where(seen > 0, np.log(seen / seen.sum(axis=1, keepdims=True)), 0.0)
 
 
+def spelling(texts: DataFrame, ranked: np.ndarray) -> np.ndarray:
+    """The spelling of all words outside the vocabulary."""
+    return train(texts, ranked, rounds=1)[1]
+
+
 def spelled(words: textops.Words, table: np.ndarray) -> np.ndarray:
     """Log-probability of each word's bytes."""
     if not len(words.start):
@@ -256,61 +264,76 @@ def spelled(words: textops.Words, table: np.ndarray) -> np.ndarray:
     return table[EDGE, data[words.start]] + run[last] - run[words.start] + table[data[last], EDGE]
 
 
-def train(texts: DataFrame, ranked: np.ndarray, rounds: int = ROUNDS, masked: int = MASKED, shape: tuple[int, int] = (CLASSES, PER_CLASS), counts: np.ndarray | None = None, rest: int = 0) -> Network:
-    """Rounds of local descent on all documents and averaging."""
+def train(texts: DataFrame, ranked: np.ndarray, rounds: int = ROUNDS, masked: int = MASKED, shape: tuple[int, int] = (CLASSES, PER_CLASS), counts: np.ndarray | None = None, rest: int = 0) -> tuple[Network, np.ndarray]:
+    """Rounds of local descent on all documents and averaging; and the spelling of words without a number, counted in the first round."""
     order = np.argsort(ranked)
-    net = Network(None, *shape)
+    net, pairs = Network(None, *shape), np.zeros((EDGE + 1) ** 2)
     if counts is not None:
         net.start_from(counts, rest)
+    # results of the tasks are averaged in two steps, so that no group has more than about the root of their number
+    lanes = max(1, math.isqrt(texts.rdd.getNumPartitions()))
     for turn in range(rounds):
         held = texts.sparkSession.sparkContext.broadcast((ranked[order], order, net.flat))
 
         def descend(batches: Iterator[pa.RecordBatch], held=held, turn=turn):
             vocabulary, number, flat = held.value
-            own, seen, steps = Network(flat, *shape), 0, 0
+            own, seen, steps, pairs = Network(flat, *shape), 0, 0, np.zeros((EDGE + 1) ** 2, np.int64)
+            around, target = np.zeros((2 * SIDE, 0), np.int64), np.zeros(0, np.int64)
             wait_a, wait_t, waiting = [], [], 0
+
+            def learn(last: bool):
+                """Full batches of what waits, in mixed order; the rest goes on to the next call, or is learned if it is the ``last``."""
+                nonlocal around, target, steps, wait_a, wait_t, waiting
+                a, t = np.concatenate([around, *wait_a], axis=1), np.concatenate([target, *wait_t])
+                mixed = np.random.default_rng(steps).permutation(len(t))
+                size = min(BATCH, max(LEAST_BATCH, len(t) // 128)) if last else BATCH
+                end = len(t) if last else len(t) // size * size
+                for i in range(0, end, size):
+                    b = mixed[i : min(i + size, end)]
+                    own.step(a[:, b], t[b], RATE * min(1.0, len(b) / LEAST_BATCH) / (1 + steps / 400) / math.sqrt(1 + turn))
+                    steps += 1
+                around, target, wait_a, wait_t, waiting = a[:, mixed[end:]], t[mixed[end:]], [], [], 0
+
             for batch in batches:
                 for part in textops.pieces(batch, "t"):
                     words = textops.Words(*textops.raw(part.column("t")), textops.ALNUM_WORD)
                     ids = numbers(words, vocabulary, number, *shape)
-                    around = surroundings(ids, words.bounds, shape[0] * shape[1])
+                    near = surroundings(ids, words.bounds, shape[0] * shape[1])
+                    if turn == 0:
+                        pairs += np.bincount(_steps(words, _without_number(words, vocabulary)), minlength=len(pairs))
+                    # each round hides other positions
                     place = np.arange(len(ids), dtype=np.uint64) - words.bounds[:-1].astype(np.uint64).repeat(np.diff(words.bounds))
-                    hidden = textops.mix(words.hashes() + place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn + 1)) % np.uint64(masked) == 0
-                    wait_a.append(around[:, hidden])
+                    hidden = textops.mix(words.hashes() + place * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(masked) == turn % masked
+                    wait_a.append(near[:, hidden])
                     wait_t.append(ids[hidden])
                     waiting += int(hidden.sum())
                     seen += len(ids)
                     if waiting >= 16 * BATCH:
-                        a, t = np.concatenate(wait_a, axis=1), np.concatenate(wait_t)
-                        mixed = np.random.default_rng(steps).permutation(len(t))
-                        for i in range(0, len(t) - BATCH + 1, BATCH):
-                            b = mixed[i : i + BATCH]
-                            own.step(a[:, b], t[b], RATE / (1 + steps / 400) / (1 + turn))
-                            steps += 1
-                        wait_a, wait_t, waiting = [], [], 0
-            if waiting:
-                a, t = np.concatenate(wait_a, axis=1), np.concatenate(wait_t)
-                for i in range(0, len(t), BATCH):
-                    own.step(a[:, i : i + BATCH], t[i : i + BATCH], RATE / (1 + steps / 400) / (1 + turn))
-                    steps += 1
+                        learn(False)
+            if waiting or len(target):
+                learn(True)
             if seen:
-                pieces = np.array_split(own.flat - flat, PARTS)
-                lane = int(textops.mix(np.array([seen], np.uint64))[0] % np.uint64(LANES))
-                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array([lane] * PARTS, pa.int64()), pa.array([seen] * PARTS, pa.int64()), pa.array([packing.pack(p) for p in pieces], pa.binary())], names=["part", "lane", "n", "values"])
+                pieces = [packing.pack(p) for p in np.array_split(own.flat - flat, PARTS)] + ([packing.pack(pairs)] if turn == 0 else [])
+                lane = int(textops.mix(np.array([seen], np.uint64))[0] % np.uint64(lanes))
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int64()), pa.array([lane] * len(pieces), pa.int64()), pa.array([seen] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], names=["part", "lane", "n", "values"])
 
         def average(table: pa.Table) -> pa.Table:
-            n = table.column("n").to_numpy().astype(np.float64)
-            total = 0.0
-            for w, v in zip(n, table.column("values").to_pylist(), strict=True):
-                total = total + w * packing.unpack(v)[0].astype(np.float64)
-            mean = (total / n.sum()).astype(np.float32)
-            return pa.table({"part": table.column("part")[:1], "lane": table.column("lane")[:1], "n": pa.array([int(n.sum())], pa.int64()), "values": pa.array([packing.pack(mean)], pa.binary())})
+            """Weighted mean of parameters; the sum of counts (the part after the last)."""
+            sums = table.column("part")[0].as_py() == PARTS
+            table = table.sort_by([("n", "ascending"), ("values", "ascending")])
+            n, total = table.column("n").to_numpy().astype(np.float64), 0.0
+            for w, v in zip(n, table.column("values"), strict=True):
+                found = packing.unpack(v.as_py())[0]
+                total = total + (found if sums else w * found.astype(np.float64))
+            made = total if sums else (total / n.sum()).astype(np.float32)
+            return pa.table({"part": table.column("part")[:1], "lane": table.column("lane")[:1], "n": pa.array([int(n.sum())], pa.int64()), "values": pa.array([packing.pack(made)], pa.binary())})
 
         kind = "part long, lane long, n long, values binary"
         done = texts.mapInArrow(descend, kind).groupBy("part", "lane").applyInArrow(average, kind).groupBy("part").applyInArrow(average, kind).orderBy("part").collect()
         if done:
-            net = Network(net.flat + np.concatenate([packing.unpack(r["values"])[0] for r in done]), *shape)
-    return net
+            net = Network(net.flat + np.concatenate([packing.unpack(r["values"])[0] for r in done[:PARTS]]), *shape)
+            pairs = packing.unpack(done[PARTS]["values"])[0] if turn == 0 else pairs
+    return net, spelling_of(pairs)
 
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, masked: int = MASKED) -> DataFrame:
@@ -319,9 +342,9 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds:
     _, size = packing.text_size(texts, "t")
     ranked, counts, rest = full_vocabulary(texts, packing.bucket_count(size, 32 << 20))
     shape = shape_for(len(ranked))
-    net = train(texts, ranked, rounds, masked, shape, counts, rest)
+    net, table = train(texts, ranked, rounds, masked, shape, counts, rest)
     order = np.argsort(ranked)
-    held = docs.sparkSession.sparkContext.broadcast((ranked[order], order, net.flat, spelling(texts, ranked)))
+    held = docs.sparkSession.sparkContext.broadcast((ranked[order], order, net.flat, table))
 
     def run(batches: Iterator[pa.RecordBatch]):
         vocabulary, number, flat, table = held.value

@@ -40,3 +40,37 @@ def test_words_sum_to_one():
     target = np.arange(last + 1)
     p = net.log_probabilities(np.repeat(rng.integers(0, last, (4, 1)), len(target), axis=1), target, np.zeros(len(target)))
     assert per * per > 900 and last >= 900 and abs(np.exp(p).sum() - 1) < 1e-3
+
+
+def test_natural_order_beats_shuffled_and_gibberish(spark):
+    """Sentences of a small grammar score above the same words shuffled, and these above random letters."""
+    rng = random.Random(11)
+    parts = [[f"{kind}{i}" for i in range(40)] for kind in ("the", "adj", "noun", "verb", "adv")]
+    natural = [" ".join(rng.choice(p) for _ in range(80) for p in parts) for _ in range(120)]
+    shuffled = [" ".join(rng.sample(t.split(), 400)) for t in natural[:20]]
+    noise = [" ".join("".join(rng.choice("qwxzkjvb") for _ in range(rng.randrange(3, 9))) for _ in range(400)) for _ in range(20)]
+    docs = [(i, t) for i, t in enumerate([*natural, *shuffled, *noise])]
+    found = {r["doc_id"]: r["mean_score"] for r in pseudo_likelihood.scored(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), rounds=6).collect()}
+    means = [np.mean([found[i] for i in range(*ab)]) for ab in ((0, 120), (120, 140), (140, 160))]
+    assert means[0] > means[1] + 0.2 and means[1] > means[2] + 1
+
+
+def test_every_position_is_a_target_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pseudo_likelihood.Network, "step", lambda self, around, target, rate: seen.append(target.copy()))
+    monkeypatch.setattr(pseudo_likelihood, "BATCH", 64)
+    texts = pa.array([" ".join(f"w{i % 97}" for i in range(1000)), "a b c", None])
+
+    class Rows:
+        """Stands for a table of one task."""
+
+        rdd = type("Rdd", (), {"getNumPartitions": lambda self: 1})()
+        sparkSession = spark
+
+        def mapInArrow(self, f, kind):
+            batch = pa.RecordBatch.from_arrays([texts], names=["t"])
+            made = list(f(iter([batch])))
+            return spark.createDataFrame(pa.Table.from_batches(made))
+
+    pseudo_likelihood.train(Rows(), np.zeros(0, np.uint64))
+    assert sum(map(len, seen)) == 1003

@@ -166,7 +166,7 @@ def test_pseudo_likelihood_is_the_sum_over_masked_positions(docs, rows, nothing)
     hashed = {w: toxicity.word_hash(w) for w in counts}
     best = sorted(counts, key=lambda w: (-counts[w], int(np.uint64(hashed[w]).view(np.int64))))[: pseudo_likelihood.WORDS]
     assert ranked.tolist() == [hashed[w] for w in best]
-    net = pseudo_likelihood.train(texts.coalesce(1), ranked, rounds=1)
+    net, _ = pseudo_likelihood.train(texts.coalesce(1), ranked, rounds=1)
     number = {hashed[w]: i for i, w in enumerate(best)}
     side, outside = pseudo_likelihood.SIDE, pseudo_likelihood.SIZE
     data, offsets = textops.raw(pa.array(["w1 w2 zz w3", "w5", ""]))

@@ -90,47 +90,62 @@ class Network:
         return np.tanh(h)
 
     @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+    def _odds(z: np.ndarray) -> np.ndarray:
+        """exp(z) of each column over its largest, in place; columns are positions, so that sums and maxima run over rows."""
+        z -= z.max(axis=0)
+        return np.exp(z, out=z)
+
+    def _by_class(self, target: np.ndarray):
+        """An order of positions by class of the target, and (class, slice of that order) of each class that occurs."""
+        c = target // self.per_class
+        order = np.argsort(c.astype(np.min_scalar_type(self.classes)), kind="stable")
+        return order, list(packing.by_bucket(c[order]))
+
+    def _of_targets(self, z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log-probability of row ``at`` in each column."""
+        found = z[at, np.arange(len(at))]
+        top = z.max(axis=0)
+        z -= top
+        return found - top - np.log(np.exp(z, out=z).sum(axis=0))
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray, spelled: np.ndarray | None = None) -> np.ndarray:
         """Of the target numbers; or of the words themselves, given how the words without a number are ``spelled``."""
-        h = self._hidden(around)
-        c, t = target // self.per_class, target % self.per_class
-        out = np.take_along_axis(self._log_softmax(h @ self.cls.T + self.cls_b), c[:, None], 1)[:, 0]
-        order = np.argsort(c, kind="stable")
-        ends = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            rows = order[ends[k] : ends[k + 1]]
-            if len(rows) and spelled is not None and k == self.classes - 1:
-                out[rows] += spelled[rows]
-            elif len(rows):
-                out[rows] += np.take_along_axis(self._log_softmax(h[rows] @ self.tok[k].T + self.tok_b[k]), t[rows][:, None], 1)[:, 0]
+        out = np.empty(len(target), np.float32)
+        order, parts = self._by_class(target)
+        h = self._hidden(around[:, order])
+        c, t = target[order] // self.per_class, target[order] % self.per_class
+        got = self._of_targets(self.cls @ h.T + self.cls_b[:, None], c)
+        for k, rows in parts:
+            if spelled is not None and k == self.classes - 1:
+                got[rows] += spelled[order[rows]]
+            else:
+                got[rows] += self._of_targets(self.tok[k] @ h[rows].T + self.tok_b[k][:, None], t[rows])
+        out[order] = got
         return out
 
     def step(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One descent step on the mean loss of a batch."""
         n = len(target)
+        order, parts = self._by_class(target)
+        around, target = around[:, order], target[order]
         h = self._hidden(around)
-        c, t = target // self.per_class, target % self.per_class
-        g = np.exp(self._log_softmax(h @ self.cls.T + self.cls_b))
-        g[np.arange(n), c] -= 1
-        gh = g @ self.cls
-        scale = rate / n
-        d_cls, d_cls_b = g.T @ h, g.sum(axis=0)
-        order = np.argsort(c, kind="stable")
-        ends = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            rows = order[ends[k] : ends[k + 1]]
-            if len(rows):
-                hk = h[rows]
-                g = np.exp(self._log_softmax(hk @ self.tok[k].T + self.tok_b[k]))
-                g[np.arange(len(rows)), t[rows]] -= 1
-                gh[rows] += g @ self.tok[k]
-                self.tok[k] -= scale * (g.T @ hk)
-                self.tok_b[k] -= scale * g.sum(axis=0)
+        c, t, at = target // self.per_class, target % self.per_class, np.arange(n)
+        g = self._odds(self.cls @ h.T + self.cls_b[:, None])
+        g /= g.sum(axis=0)
+        g[c, at] -= 1
+        gh = g.T @ self.cls
+        scale = np.float32(rate / n)
+        d_cls, d_cls_b = g @ h, g.sum(axis=1)
+        for k, rows in parts:
+            if k == self.classes - 1:
+                break  # a word without a number is spelled: of the network only its class counts
+            hk = h[rows]
+            g = self._odds(self.tok[k] @ hk.T + self.tok_b[k][:, None])
+            g /= g.sum(axis=0)
+            g[t[rows], at[: len(hk)]] -= 1
+            gh[rows] += g.T @ self.tok[k]
+            self.tok[k] -= scale * (g @ hk)
+            self.tok_b[k] -= scale * g.sum(axis=1)
         self.cls -= scale * d_cls
         self.cls_b -= scale * d_cls_b
         gh *= 1 - h * h
@@ -143,9 +158,9 @@ class Network:
             self.emb[j][around[j][order[starts]]] -= np.add.reduceat(gh[order], starts, axis=0)
 
 
-def numbers(words: textops.Words, vocabulary: np.ndarray, number: np.ndarray, classes: int = CLASSES, per_class: int = PER_CLASS) -> np.ndarray:
-    """Token numbers: the word's own, or a hashed one among the others (the last class)."""
-    h = words.hashes()
+def numbers(words: textops.Words, vocabulary: np.ndarray, number: np.ndarray, classes: int = CLASSES, per_class: int = PER_CLASS, hashes: np.ndarray | None = None) -> np.ndarray:
+    """Token numbers: the word's own, or a hashed one among the others (the last class); ``hashes`` of the words, if they are known."""
+    h = words.hashes() if hashes is None else hashes
     out = ((classes - 1) * per_class + (h % np.uint64(per_class)).astype(np.int64)).astype(np.int64)
     if len(vocabulary) and len(h):
         slot = np.searchsorted(vocabulary, h)
@@ -230,16 +245,6 @@ def _steps(words: textops.Words, rare: np.ndarray) -> np.ndarray:
     return np.concatenate([EDGE * (EDGE + 1) + data[first], data[at] * (EDGE + 1) + data[at + 1], data[last] * (EDGE + 1) + EDGE])
 
 
-def _without_number(words: textops.Words, vocabulary: np.ndarray) -> np.ndarray:
-    """Which words are not in the sorted vocabulary."""
-    h = words.hashes()
-    if not len(vocabulary):
-        return np.ones(len(h), bool)
-    slot = np.searchsorted(vocabulary, h)
-    slot[slot == len(vocabulary)] = 0
-    return vocabulary[slot] != h
-
-
 def spelling_of(seen: np.ndarray) -> np.ndarray:
     """Log-probabilities of the next byte (or the end) after a byte (or the start), from counts of byte pairs."""
     may = np.r_[textops.ALNUM_WORD, True]
@@ -297,13 +302,14 @@ def train(texts: DataFrame, ranked: np.ndarray, rounds: int = ROUNDS, masked: in
             for batch in batches:
                 for part in textops.pieces(batch, "t"):
                     words = textops.Words(*textops.raw(part.column("t")), textops.ALNUM_WORD)
-                    ids = numbers(words, vocabulary, number, *shape)
+                    hashes = words.hashes()
+                    ids = numbers(words, vocabulary, number, *shape, hashes)
                     near = surroundings(ids, words.bounds, shape[0] * shape[1])
                     if turn == 0:
-                        pairs += np.bincount(_steps(words, _without_number(words, vocabulary)), minlength=len(pairs))
+                        pairs += np.bincount(_steps(words, ids >= (shape[0] - 1) * shape[1]), minlength=len(pairs))
                     # each round hides other positions
                     place = np.arange(len(ids), dtype=np.uint64) - words.bounds[:-1].astype(np.uint64).repeat(np.diff(words.bounds))
-                    hidden = textops.mix(words.hashes() + place * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(masked) == turn % masked
+                    hidden = textops.mix(hashes + place * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(masked) == turn % masked
                     wait_a.append(near[:, hidden])
                     wait_t.append(ids[hidden])
                     waiting += int(hidden.sum())

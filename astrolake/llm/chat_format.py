@@ -13,8 +13,9 @@ get a backslash after their first character, and backslashes are doubled, which
 ``unescape`` takes back.
 
 Prefix sums are taken per chunk of turn numbers and then over the chunks of a
-conversation, windows are groups of bounded size, and history meets its window by an
-equi-join on positions, so one very long conversation is spread over many tasks.
+conversation, windows are groups of bounded size and numbered without their texts, and
+only the turns that a window repeats are joined to it, by position, so one very long
+conversation is spread over many tasks.
 
 Defined cases: null text and null role are empty; a null turn number comes first;
 repeated rows are turns of their own; a null conv_id is a conversation; without
@@ -48,32 +49,39 @@ def tokens(text: Column) -> Column:
 
 
 def placed(turns: DataFrame) -> DataFrame:
-    """Turns with position ``p`` in their conversation, tokens ``n`` and tokens before ``before``."""
+    """Turns with position ``p`` in their conversation, tokens ``n``, tokens before ``before``, and tokens ``system_n`` of the system turn that opens it (else null).
+
+    Only counts of chunks go along a conversation; texts stay where their chunk is sorted."""
     rows = turns.withColumn("n", tokens(F.col("text")).cast("long")).withColumn("chunk", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK))
-    inside = Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "text")
+    along = Window.partitionBy("key").orderBy("chunk")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    opening = F.min_by(F.when(F.col("role") == "system", F.col("n")), F.struct("turn", "role", "text"))
+    chunks = rows.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"), opening.alias("o"))
+    chunks = chunks.select("key", "chunk", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.first("o").over(along).alias("system_n"))
+    inside = Window.partitionBy("key", "chunk").orderBy("turn", "role", "text")
     rows = rows.withColumn("p", F.row_number().over(inside) - 1).withColumn("before", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    along = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = rows.groupBy("conv_id", "chunk").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
-    chunks = chunks.select(F.col("conv_id").alias("cc"), F.col("chunk").alias("ck"), F.coalesce(F.sum("c").over(along), F.lit(0)).alias("c0"), F.coalesce(F.sum("t").over(along), F.lit(0)).alias("t0"))
-    joined = rows.join(chunks, rows["conv_id"].eqNullSafe(chunks["cc"]) & (rows["chunk"] == chunks["ck"]))
-    return joined.select("conv_id", (F.col("p") + F.col("c0")).alias("p"), "role", "text", "n", (F.col("before") + F.col("t0")).alias("before"))
+    return rows.join(chunks, ["key", "chunk"]).select("key", (F.col("p") + F.col("c0")).alias("p"), "role", "text", "n", (F.col("before") + F.col("t0")).alias("before"), "system_n")
 
 
 def windows(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
     """One row per window: conv_id, window, first (position of its first new turn), n_repeated, formatted, loss (spans of code points)."""
-    turns = placed(conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")))
-    system = turns.where("p = 0 AND role = 'system'").select(F.col("conv_id").alias("sc"), F.struct("p", "role", "text").alias("system"), F.col("n").alias("system_n"))
+    # a struct is equal to another with the same null, so that a null conv_id needs no join of its own kind
+    turns = placed(conversations.select(F.struct(F.col(conv_id).alias("conv_id")).alias("key"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     capacity = F.greatest(F.lit(budget - history_tokens) - F.coalesce("system_n", F.lit(0)), F.lit(LEAST))
-    spans = turns.join(system, turns["conv_id"].eqNullSafe(system["sc"]), "left").withColumn("c", capacity)
+    spans = turns.withColumn("c", capacity)
     spans = spans.withColumn("span", F.floor(F.col("before") / F.col("c"))).withColumn("over", F.floor((F.col("before") + F.col("n") - 1) / F.col("c")) > F.col("span"))
-    new = spans.groupBy("conv_id", "span", "over").agg(F.sort_array(F.collect_list(F.struct("p", "role", "text"))).alias("new"), F.min("p").alias("first"), F.min("before").alias("start"), F.first("system").alias("system"))
-    copies = turns.select(F.col("conv_id").alias("hc"), F.struct("p", "role", "text").alias("t"), "before", F.explode(F.sequence(F.col("p") + 1, F.col("p") + history)).alias("at"))
-    heads = new.select("conv_id", "first", "start", F.col("system").isNotNull().alias("has"))
-    past = heads.join(copies, heads["conv_id"].eqNullSafe(copies["hc"]) & (heads["first"] == copies["at"])).where((F.col("start") - F.col("before") <= history_tokens) & ~(F.col("has") & (F.col("t.p") == 0)))
-    past = past.groupBy("hc", "first").agg(F.sort_array(F.collect_list("t")).alias("past")).withColumnRenamed("first", "hf")
-    full = new.join(past, new["conv_id"].eqNullSafe(past["hc"]) & (new["first"] == past["hf"]), "left")
+    new = spans.groupBy("key", "span", "over").agg(F.sort_array(F.collect_list(F.struct("p", "role", "text"))).alias("new"), F.min("p").alias("first"), F.min("before").alias("start"), F.first("system_n").isNotNull().alias("has"))
+    # windows are numbered, and their history is chosen, by positions alone
+    heads = new.select("key", "first", "start", "has", (F.row_number().over(Window.partitionBy("key").orderBy("first")) - 1).alias("window"))
+    before = F.transform(F.array(*[F.lit(i) for i in range(1, history + 1)]).cast("array<bigint>"), lambda i: F.col("first") - i)
+    before = F.filter(before, lambda p: p >= F.when(F.col("has"), 1).otherwise(0))
+    opening = F.when(F.col("has") & (F.col("first") > 0), F.array(F.lit(0).cast("long"))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    asked = heads.select("key", "first", "start", "has", F.explode(F.concat(opening, before)).alias("p"))
+    past = asked.join(turns.select("key", "p", "role", "text", "before"), ["key", "p"]).where((F.col("start") - F.col("before") <= history_tokens) | (F.col("has") & (F.col("p") == 0)))
+    past = past.groupBy("key", "first").agg(F.sort_array(F.collect_list(F.struct("p", "role", "text"))).alias("past"))
+    full = new.select("key", "first", "new").join(heads.select("key", "first", "window"), ["key", "first"]).join(past, ["key", "first"], "left")
     none = F.expr("cast(array() as array<struct<p:bigint,role:string,text:string>>)")
-    repeated = F.concat(F.when((F.col("first") > 0) & F.col("system").isNotNull(), F.array("system")).otherwise(none), F.coalesce("past", none))
+    repeated = F.coalesce("past", none)
     full = full.withColumn("n_repeated", F.size(repeated)).withColumn(
         "parts",
         F.transform(
@@ -88,10 +96,9 @@ def windows(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "tur
         length = F.char_length(part["body"]).cast("long")
         return F.struct((start + length + 4).alias("at"), F.when(part["loss"], F.concat(done["spans"], F.array(F.struct(start.alias("start"), length.alias("length"))))).otherwise(done["spans"]).alias("spans"))
 
-    order = Window.partitionBy("conv_id").orderBy("first")
     return full.select(
-        "conv_id",
-        (F.row_number().over(order) - 1).alias("window"),
+        F.col("key.conv_id").alias("conv_id"),
+        "window",
         "first",
         "n_repeated",
         F.array_join(F.transform("parts", lambda x: F.concat(x["head"], x["body"], F.lit("</s>"))), "").alias("formatted"),

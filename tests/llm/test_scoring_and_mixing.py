@@ -245,6 +245,27 @@ def test_chat_budget(spark, talks):
         assert len(sizes) == 1 or sum(sizes) <= chat_format.BUDGET
 
 
+def test_chat_history(spark, talks):
+    """A window repeats the system turn and just the turns before it that fit; windows are numbered by their first turn."""
+    made = spark.createDataFrame(talks, "conv_id long, turn long, role string, text string")
+    size = lambda t: len(re.findall(r"[^\W_]+|[^\s\w]|_", t)) + 4
+    turn = re.compile(r"(?s)<s>\[ROLE\](.*?)\[/ROLE\](.*?)</s>")
+    plain = lambda t: re.sub(r"\\(\\?)", r"\1", t)
+    by = collections.defaultdict(list)
+    for t in sorted(talks, key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or "")):
+        by[t[0]].append((t[2] or "", t[3] or ""))
+    for history in (0, 2):
+        rows, seen = chat_format.windows(made, history=history).collect(), collections.defaultdict(list)
+        for r in rows:
+            said, first = by[r["conv_id"]], r["first"]
+            system = said[0][0] == "system"
+            past = [i for i in range(max(first - history, int(system)), first) if sum(size(x[1]) for x in said[i:first]) <= chat_format.HISTORY_TOKENS]
+            want = [said[0]] * (system and first > 0) + [said[i] for i in past]
+            assert [(plain(a), plain(b)) for a, b in turn.findall(r["formatted"])][: r["n_repeated"]] == want
+            seen[r["conv_id"]].append((r["first"], r["window"]))
+        assert all([w for _, w in sorted(v)] == list(range(len(v))) for v in seen.values())
+
+
 # URLs
 
 

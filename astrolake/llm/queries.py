@@ -112,6 +112,40 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(docs).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_pseudo_likelihood, op4_jaccard_join, op5_url_templates, op6_projection_ann, op7_suffix_dedup, op8_decontamination, op9_pu_quality, op10_source_mix)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle forms of every document, and the texts rebuilt from them."""
+    from astrolake.llm import fill_middle
+
+    made = fill_middle.transformed(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc.doc_id",
+        "n",
+        "form",
+        F.char_length("prefix").cast("long").alias("prefix_chars"),
+        F.char_length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors under eight codebooks of sixteen entries, refined six times."""
+    from astrolake.llm import packing, vector_codes
+
+    given = _read(spark, sf_dir, "embeddings")
+    books = vector_codes.train(given.select("vec_id", "embedding"))
+    rows = vector_codes.encoded(given.select("vec_id", "embedding", "label"), books)
+    rows = packing.written(rows.select("doc.vec_id", "doc.label", vector_codes.code_text(F.col("code")).alias("code"), "error", "codebooks_sha256"), "codes")
+    return vector_codes.with_group_error(rows, "label").select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty largest integer inner products of every twentieth vector."""
+    from astrolake.llm.pivot_search import largest_products
+
+    return largest_products(_read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20).select("query_id", "rank", "vec_id", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_pseudo_likelihood, op4_jaccard_join, op5_url_templates, op6_projection_ann, op7_suffix_dedup, op8_decontamination, op9_pu_quality, op10_source_mix, op11_fill_middle, op12_vector_codes, op13_pivot_search)}
 
 from astrolake.llm.sql import ORACLE_SQL  # noqa: E402, F401

@@ -71,4 +71,75 @@ SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, c
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8, "op10_source_mix": OP10}
+OP11 = r"""
+WITH r AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::varchar, '')) AS h FROM documents
+), u AS (
+  SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM r
+), d AS (
+  SELECT *, len(u)::bigint AS n, ('0x' || substr(h, 1, 8))::bigint % (len(u) + 1) AS c1, ('0x' || substr(h, 9, 8))::bigint % (len(u) + 1) AS c2,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::bigint % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::bigint % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+), p AS (
+  SELECT *, CASE WHEN form <> 'plain' THEN coalesce(array_to_string(u[1 : least(c1, c2)], ''), '') END AS a,
+         CASE WHEN form <> 'plain' THEN coalesce(array_to_string(u[least(c1, c2) + 1 : greatest(c1, c2)], ''), '') END AS b,
+         CASE WHEN form <> 'plain' THEN coalesce(array_to_string(u[greatest(c1, c2) + 1 : n], ''), '') END AS c
+  FROM d
+), o AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END AS o FROM p
+), s AS (
+  SELECT *, CASE WHEN form <> 'plain' THEN string_split_regex(o, '<[PSM]>') END AS s FROM o
+)
+SELECT doc_id, n, form, length(a)::bigint AS prefix_chars, length(b)::bigint AS middle_chars, sha256(o) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN o WHEN 'psm' THEN s[2] || s[4] || s[3] ELSE s[3] || s[4] || s[2] END) AS restored_sha256
+FROM s
+"""
+
+
+def _op12(rounds: int = 6) -> str:
+    """The rounds one below the other: nearest entries of all parts, then floors of means."""
+    kept = """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT rid, vec_id, (i // w)::bigint AS p, (i % w)::bigint AS j, floor(4096 * v[i + 1]::double)::bigint AS x
+  FROM (SELECT *, len(v) // 8 AS w, unnest(range(len(v))) AS i FROM kept)
+), book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p, j ORDER BY vec_id) - 1 AS e, j, x AS y FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)
+)"""
+
+    def near(i: int) -> str:
+        return f"""near{i} AS MATERIALIZED (
+  SELECT rid, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT rid, p, e, sum((x - y) * (x - y))::bigint AS d FROM parts JOIN book{i} USING (p, j) GROUP BY rid, p, e) GROUP BY rid, p
+)"""
+
+    steps = [kept]
+    for i in range(rounds):
+        steps += [near(i), f"""book{i + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, b.j, CASE WHEN c IS NULL THEN y ELSE (s - ((s % c) + c) % c) // c END::bigint AS y
+  FROM book{i} b LEFT JOIN (SELECT p, e, j, sum(x)::bigint AS s, count(*) AS c FROM parts JOIN near{i} USING (rid, p) GROUP BY p, e, j) m ON b.p = m.p AND b.e = m.e AND b.j = m.j
+)"""]
+    steps.append(near(rounds))
+    return "WITH " + ", ".join(steps) + f""", codes AS (
+  SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::bigint AS error FROM near{rounds} GROUP BY rid
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error,
+       (SELECT sha256(string_agg(y::varchar, ',' ORDER BY p, e, j)) FROM book{rounds}) AS codebooks_sha256
+FROM codes JOIN kept USING (rid)"""
+
+
+OP13 = """
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), products AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint AS score FROM kept q JOIN kept c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, rank::int AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM products
+) WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8, "op10_source_mix": OP10, "op11_fill_middle": OP11, "op12_vector_codes": _op12(), "op13_pivot_search": OP13}

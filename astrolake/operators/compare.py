@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,12 +23,14 @@ def row_counts(a: DataFrame, b: DataFrame, rank: str = "_rank") -> DataFrame:
     return both.withColumn("difference", F.col("n_a") - F.col("n_b"))
 
 
-def digest(df: DataFrame, rank: str = "_rank") -> DataFrame:
-    """Order-free digest of each rank's rows, to verify a copy against: count, sum and xor of row hashes.
+def row_hash(columns: list[str]) -> Column:
+    """A row's hash takes each column with its place and whether it is null, in order of names."""
+    return F.xxhash64(*[c for i, name in enumerate(sorted(columns)) for c in (F.lit(i), F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))])
+
 
-    A row's hash takes each column with its place and whether it is null, in order of names."""
-    parts = [c for i, name in enumerate(sorted(df.columns)) for c in (F.lit(i), F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))]
-    h = F.xxhash64(*parts)
+def digest(df: DataFrame, rank: str = "_rank") -> DataFrame:
+    """Order-free digest of each rank's rows, to verify a copy against: count, sum and xor of row hashes."""
+    h = row_hash(df.columns)
     return df.groupBy(rank).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h.cast("decimal(38,0)")).alias("sum_hash"), F.bit_xor(h).alias("xor_hash"))
 
 

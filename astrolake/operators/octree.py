@@ -61,8 +61,8 @@ def assign_leaf(df: DataFrame, axes: list[Column], levels: int, origin: float =
     for name, p in zip(("_cx", "_cy", "_cz"), axes, strict=True):
         low = F.lit(origin) + F.col(name) * F.lit(width)
         cells.append(cell(wrap(p, low, low + width, origin, origin + scale), low, F.lit(leaf_width), per_axis))
-    df = df.withColumn("_leaf", morton(*cells, bits=levels - 1).cast("int"))
-    return df.withColumn("_leaf_id", (F.col("_rank") * (8 ** (levels - 1)) + F.col("_leaf")).cast("int"))
+    df = df.withColumn("_leaf", morton(*cells, bits=levels - 1))
+    return df.withColumn("_leaf_id", F.col("_rank").cast("long") * F.lit(8 ** (levels - 1)).cast("long") + F.col("_leaf"))
 
 
 def leaf_boxes(df: DataFrame, levels: int, origin: float = 0.0, scale: float = 256.0, parts: int = 2) -> DataFrame:

@@ -6,17 +6,17 @@ a box of 256, and the rank of a 2 x 2 x 2 split.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astrolake.functions import typed
+from astrolake.functions import crc, typed
 from astrolake.model import Dataset, percent_slice
-from astrolake.operators import compare, octree, redistribute, sampling
-from astrolake.sources import ranked
-from astrolake.sources.shared import shared_folder
+from astrolake.operators import adaptive, boxes, compare, octree, redistribute, sampling
+from astrolake.sources import bucketed, ranked
+from astrolake.sources.shared import drop, exists, shared_folder
 from astrolake.operators.selection import AT_LEAST, AT_MOST, BETWEEN, IS, Selection, in_box, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,7 +78,9 @@ def events(spark: SparkSession, sf_dir: str) -> Dataset:
 
 
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return octree.assign_leaf(particles(spark, sf_dir), axes(), 2)
+    """Leaves of two levels; their numbers are small."""
+    found = octree.assign_leaf(particles(spark, sf_dir), axes(), 2)
+    return found.withColumns({c: F.col(c).cast("int") for c in ("_leaf", "_leaf_id")})
 
 
 def query(sql: str | None = None):
@@ -236,7 +238,7 @@ def leaf_assign(spark, d):
 @query(f"""WITH {PARTICLES}, c AS (SELECT id, _rank, floor((x - _cx * 128) / 32)::int AS a, floor((y - _cy * 128) / 32)::int AS b, floor((z - _cz * 128) / 32)::int AS c FROM particles)
 SELECT id, (_rank * 64 + (a // 2) * 32 + (b // 2) * 16 + (c // 2) * 8 + (a % 2) * 4 + (b % 2) * 2 + c % 2)::int AS _leaf_id FROM c""")
 def leaf_assign_three_levels(spark, d):
-    return octree.assign_leaf(particles(spark, d), axes(), 3).select("id", "_leaf_id")
+    return octree.assign_leaf(particles(spark, d), axes(), 3).select("id", F.col("_leaf_id").cast("int").alias("_leaf_id"))
 
 
 @query(f"WITH {LEAVES} SELECT _leaf_id, count(*) AS n_rows FROM leaves GROUP BY _leaf_id")
@@ -427,9 +429,9 @@ def print_rows(spark, d):
     return table_lines(e).select(F.split("value", "\t")[0].cast("long").alias("event_id"), F.col("value").alias("line"))
 
 
-@query(f"WITH {PARTICLES} SELECT id, printf('%g', x) AS x_text, printf('%g', x * 12345.678::double) AS large, printf('%g', -x / 1e7::double) AS small FROM particles WHERE id % 7 = 0")
+@query(f"WITH {PARTICLES} SELECT id, printf('%g', x) AS x_text, printf('%g', x * 12345.678::double) AS large, printf('%g', -x / 1e7::double) AS small FROM particles")
 def value_text(spark, d):
-    p = particles(spark, d).where("id % 7 = 0")
+    p = particles(spark, d)
     return p.select("id", typed.to_text(F.col("x")).alias("x_text"), typed.to_text(F.col("x") * 12345.678).alias("large"), typed.to_text(-F.col("x") / 1e7).alias("small"))
 
 
@@ -462,12 +464,24 @@ def avg_and_total(spark, d):
 # stored tables: written, then read back with what the layout allows to skip
 
 
-def stored_octree(spark: SparkSession, d: str) -> str:
-    path = f"{shared_folder(spark)}/octree-{uuid.uuid4().hex}"
-    ranked.write(Dataset(leaves(spark, d)), path, leaf_key="id")
+def stored(spark: SparkSession, d: str, name: str, last: str, make: Callable[[str], None]) -> str:
+    """Path of a table that a session's queries share: made once, ``last`` being what is written last."""
+    told = hashlib.md5(f"{spark.sparkContext.applicationId}:{d}".encode()).hexdigest()[:16]
+    path = f"{shared_folder(spark)}/catalog-{name}-{told}"
+    if not exists(spark, f"{path}/{last}"):
+        drop(spark, [path])
+        make(path)
     return path
 
 
+#: Rows of a block of the small tables stored here.
+SMALL_BLOCK = 256
+
+
+def stored_octree(spark: SparkSession, d: str) -> str:
+    return stored(spark, d, "octree", "_table", lambda path: ranked.write(Dataset(leaves(spark, d)), path, leaf_key="id", block_rows=SMALL_BLOCK))
+
+
 @query(f"WITH {PARTICLES} SELECT id, x, y, z FROM particles WHERE x BETWEEN 64 AND 128 AND y BETWEEN 0 AND 63.5 AND z BETWEEN 190 AND 256")
 def stored_region_rows(spark, d):
     return ranked.region(spark, stored_octree(spark, d), REGION).select("id", "x", "y", "z")
@@ -497,9 +511,7 @@ def stored_leaf_table(spark, d):
 
 
 def stored_partitions(spark: SparkSession, d: str) -> str:
-    path = f"{shared_folder(spark)}/partitioned-{uuid.uuid4().hex}"
-    ranked.write_partitioned(events(spark, d).df, path, redistribute.blocks_head(F.col("_rank"), 8, 3))
-    return path
+    return stored(spark, d, "partitioned", "_ranks", lambda path: ranked.write_partitioned(events(spark, d).df, path, redistribute.blocks_head(F.col("_rank"), 8, 3)))
 
 
 @query(f"WITH {EVENTS} SELECT _rank, CASE WHEN _rank < 6 THEN _rank // 3 ELSE 2 + (_rank - 6) // 2 END::int AS _partition, count(*) AS n_rows FROM ranked GROUP BY _rank")
@@ -514,12 +526,136 @@ def stored_rank_read(spark, d):
 
 @query(f"WITH {EXTENDED} SELECT event_id, _rowid FROM percents WHERE _percent < 0.2 AND _rank = 1")
 def stored_view_sql(spark, d):
-    path = f"{shared_folder(spark)}/view-{uuid.uuid4().hex}"
-    ranked.write(events(spark, d), path)
+    path = stored(spark, d, "view", "_table", lambda path: ranked.write(events(spark, d), path))
     ranked.register(ranked.read(spark, path), "stored_events")
     return spark.sql("SELECT event_id, _rowid FROM stored_events_extended WHERE _percent < 0.2 AND _rank = 1")
 
 
+@query(f"WITH {PARTICLES} SELECT id, x, y, z FROM particles WHERE x BETWEEN 64 AND 128 AND y BETWEEN 0 AND 63.5 AND z BETWEEN 190 AND 256")
+def stored_view_region(spark, d):
+    ranked.register_stored(spark, stored_octree(spark, d), "stored_particles")
+    return spark.sql("SELECT id, x, y, z FROM stored_particles_region(64, 128, 0, 63.5, 190, 256)")
+
+
+@query(f"""WITH {LEAVES}, s AS (SELECT *, row_number() OVER (PARTITION BY _rank, _leaf ORDER BY md5('0:' || id::varchar), id) - 1 AS k, count(*) OVER (PARTITION BY _rank, _leaf) AS n FROM leaves)
+SELECT id, _leaf_id FROM s WHERE k < floor(n * 0.1::double)""")
+def stored_leaf_prefix(spark, d):
+    return ranked.leaf_prefix(spark, stored_octree(spark, d), 0.1).select("id", "_leaf_id")
+
+
+def stored_shuffled(spark: SparkSession, d: str) -> str:
+    return stored(spark, d, "shuffled", "_table", lambda path: ranked.write(events(spark, d), path, shuffled_by="event_id", block_rows=SMALL_BLOCK))
+
+
+@query(_sample_sql(EVENTS, "ranked", "event_id", 0.3**3))
+def stored_sample(spark, d):
+    return ranked.sample(spark, stored_shuffled(spark, d), 0.3, sampling.CUBE).select("event_id", "_rank")
+
+
+@query(f"WITH {PARTICLES}, c AS (SELECT _rank, count(*) AS n_rows, min(x) AS min_x, max(x) AS max_x, min(z) AS min_z, max(z) AS max_z FROM particles GROUP BY _rank) SELECT *, (coalesce(sum(n_rows) OVER (ORDER BY _rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::bigint AS rank_offset FROM c")
+def stored_counts(spark, d):
+    return ranked.counts(spark, stored_octree(spark, d)).drop("min_y", "max_y")
+
+
+def _damage(df: DataFrame) -> DataFrame:
+    return df.withColumn("x", F.when(F.pmod("id", F.lit(997)) == 5, F.col("x") + 0.5).otherwise(F.col("x")))
+
+
+def stored_copy(spark: SparkSession, d: str) -> str:
+    """The stored octree with some values changed in place."""
+    return stored(spark, d, "copy", "_table", lambda path: ranked.write(Dataset(_damage(leaves(spark, d))), path, leaf_key="id", block_rows=SMALL_BLOCK))
+
+
+@query(STORED + """, hit AS (SELECT _rank, k // 256 AS b, max(n) AS n FROM stored GROUP BY _rank, k // 256 HAVING bool_or(id % 997 = 5))
+SELECT _rank, (b * 256)::bigint AS first_row, (least(b * 256 + 256, n) - 1)::bigint AS last_row FROM hit""")
+def verify_blocks(spark, d):
+    return ranked.differing_blocks(spark, stored_octree(spark, d), stored_copy(spark, d))
+
+
+@query(f"WITH {LEAVES} SELECT id, x, _rank, _leaf_id FROM leaves WHERE id % 997 = 5")
+def verify_block_rows(spark, d):
+    return ranked.differing_rows(spark, stored_octree(spark, d), stored_copy(spark, d)).select("id", "x", "_rank", "_leaf_id")
+
+
+@query(f"WITH {_CHANGED}, x AS (SELECT id, count(*) AS n, sum(x) AS v FROM a GROUP BY id), y AS (SELECT id, count(*) AS n, sum(x) AS v FROM b GROUP BY id) SELECT id, coalesce(x.n, 0) AS n_a, coalesce(y.n, 0) AS n_b FROM x FULL JOIN y USING (id) WHERE x.v IS DISTINCT FROM y.v")
+def stored_compare(spark, d):
+    a, b = _changed(spark, d)
+    names = []
+    for part, df in (("first", a), ("second", b)):
+        path = stored(spark, d, f"bucketed-{part}", "_SUCCESS", lambda path: None)
+        names.append(f"stored_{part}_{path[-16:]}")
+        if not (spark.catalog.tableExists(names[-1]) and exists(spark, f"{path}/_SUCCESS")):
+            bucketed.write(df, names[-1], path, "id", 8)
+    return bucketed.differing_keys(spark, *names, "id")
+
+
+_STEPS = ", ".join(f"t{k + 1} AS (SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 14514072000185962306::ubigint) ELSE c >> 1 END AS c FROM t{k})" for k in range(8))
+_CRC = "printf('%016x', xor(list_reduce(flatten(list_transform(v, lambda x: list_transform(range({n}), lambda i: ((x >> (8 * i)::bigint) & 255)::ubigint))), lambda c, x: xor(t[(xor(c, x) & 255)::bigint + 1], c >> 8), 18446744073709551615::ubigint), 18446744073709551615::ubigint))"
+#: Byte by byte over each rank's values in stored order.
+CRC_SQL = STORED + f""", t0 AS (SELECT i::ubigint AS i, i::ubigint AS c FROM range(256) r(i)), {_STEPS}, tbl AS (SELECT list(c ORDER BY i) AS t FROM t8),
+vals AS (SELECT _rank::bigint AS _rank, list(id ORDER BY k) AS ids, list(_leaf_id::bigint ORDER BY k) AS leaf_ids, count(*) AS n FROM stored GROUP BY _rank)
+SELECT _rank, 'id' AS name, n AS n_rows, n * 8 AS n_bytes, {_CRC.format(n=8)} AS crc FROM (SELECT _rank, n, ids AS v FROM vals), tbl
+UNION ALL SELECT _rank, '_leaf_id' AS name, n AS n_rows, n * 4 AS n_bytes, {_CRC.format(n=4)} AS crc FROM (SELECT _rank, n, leaf_ids AS v FROM vals), tbl"""
+
+
+@query(CRC_SQL)
+def column_crc(spark, d):
+    rows = ranked.read(spark, stored_octree(spark, d)).df
+    found = [crc.column_crc(rows, c).select("_rank", F.lit(c).alias("name"), "n_rows", "n_bytes", F.lower(F.lpad(F.conv(F.col("crc").cast("string"), 10, 16), 16, "0")).alias("crc")) for c in ("id", "_leaf_id")]
+    return found[0].unionByName(found[1])
+
+
+# boxes
+
+
+def halo_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """A box for every customer: most are small, one in a hundred is large, some reach beyond the grid."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("box_id"))
+    k = F.col("box_id")
+    width = F.when(k % 100 == 0, 90.0).otherwise((k % 30 + 2).cast("double"))
+    for a, factor in (("x", 7919), ("y", 104729), ("z", 31337)):
+        c = c.withColumn(f"{a}0", (k * factor % 1024).cast("double") / 4.0)
+        c = c.withColumn(f"{a}1", F.col(f"{a}0") + width)
+    return c
+
+
+BOXES = """boxes AS (SELECT *, x0 + w AS x1, y0 + w AS y1, z0 + w AS z1 FROM (
+  SELECT c_custkey AS box_id, (c_custkey * 7919 % 1024)::double / 4.0::double AS x0, (c_custkey * 104729 % 1024)::double / 4.0::double AS y0, (c_custkey * 31337 % 1024)::double / 4.0::double AS z0,
+         CASE WHEN c_custkey % 100 = 0 THEN 90.0::double ELSE (c_custkey % 30 + 2)::double END AS w FROM customer))"""
+
+
+@query(f"WITH {PARTICLES}, {BOXES} SELECT box_id, id FROM particles JOIN boxes ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1")
+def box_join(spark, d):
+    return boxes.box_join(particles(spark, d).select("id", "x", "y", "z"), halo_boxes(spark, d), axes()).select("box_id", "id")
+
+
+@query(f"WITH {PARTICLES}, {BOXES} SELECT box_id, count(*) AS n_rows, min(id) AS least FROM particles JOIN boxes ON "
+       + " AND ".join(f"({a} BETWEEN {a}0 AND {a}1 OR {a} BETWEEN {a}0 - 256 AND {a}1 - 256)" for a in "xyz") + " GROUP BY box_id")
+def box_join_periodic(spark, d):
+    found = boxes.box_join(particles(spark, d).select("id", "x", "y", "z"), halo_boxes(spark, d), axes(), periodic=True)
+    return found.groupBy("box_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("id").alias("least"))
+
+
+#: Four levels below the root, and at most 100 rows in a leaf above the last.
+_BITS = " + ".join(f"(({a} >> {b}) & 1) * {1 << (3 * b + s)}" for b in range(4) for a, s in (("cx", 2), ("cy", 1), ("cz", 0)))
+ADAPTIVE = f"""WITH {PARTICLES}, fine AS (SELECT id, ({_BITS})::bigint AS code FROM (SELECT id, least(floor(x / 16), 15)::bigint AS cx, least(floor(y / 16), 15)::bigint AS cy, least(floor(z / 16), 15)::bigint AS cz FROM particles)),
+spot AS (SELECT id, l::int AS _level, code >> (3 * (4 - l)) AS _code FROM fine, (SELECT unnest(range(5)) AS l)), nodes AS (SELECT _level, _code, count(*) AS n_rows FROM spot GROUP BY ALL),
+adaptive AS (SELECT c.*, c._code << (3 * (4 - c._level)) AS _first FROM nodes c LEFT JOIN nodes p ON p._level = c._level - 1 AND p._code = c._code >> 3 WHERE (c.n_rows <= 100 OR c._level = 4) AND (c._level = 0 OR p.n_rows > 100))
+"""
+
+
+@query(ADAPTIVE + "SELECT _level, _code, _first, ((_code + 1) << (3 * (4 - _level))) - 1 AS _last, n_rows, 256.0::double / (1 << _level) AS width FROM adaptive")
+def adaptive_leaf_table(spark, d):
+    found = adaptive.adaptive_leaves(particles(spark, d), axes(), 100, depth=4)
+    return found.select("_level", "_code", "_first", "_last", "n_rows", (F.col("max_x") - F.col("min_x")).alias("width"))
+
+
+@query(ADAPTIVE + "SELECT id, _first, _level FROM spot JOIN adaptive USING (_level, _code)")
+def adaptive_leaf_assign(spark, d):
+    p = particles(spark, d).select("id", "x", "y", "z")
+    return adaptive.assign(p, axes(), adaptive.adaptive_leaves(p, axes(), 100, depth=4), depth=4).select("id", "_first", "_level")
+
+
 # order
 
 

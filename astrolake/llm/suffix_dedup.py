@@ -330,10 +330,10 @@ def fetch_runs(rows: DataFrame, asked: DataFrame, plan: Plan, n_groups: int, spa
         leads = _leads(data, offsets[row] + start + ahead)
         hot = plan.is_hot(leads)
         if hot.any():
-            # a run of a hot token goes window by window
+            # a run of a hot token goes window by window, each by its own first bytes: the token may stand in it several times
             owner = np.repeat(np.arange(len(row)), np.where(hot, count, 1))
             inner = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            row, start, ahead, leads, hot = row[owner], start[owner] + inner, np.where(hot[owner], np.maximum(ahead[owner] - inner, 0), ahead[owner]), leads[owner], hot[owner]
+            row, start, ahead, leads, hot = row[owner], start[owner] + inner, np.where(hot[owner], 0, ahead[owner]), leads[owner], hot[owner]
             count = np.where(hot, 1, count[owner])
         at, length = offsets[row] + start, count + span - 1
         order, repeat = repeated_runs(view, at, length, length, row_ids[row])

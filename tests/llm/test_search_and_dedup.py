@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -108,6 +109,23 @@ def test_suffix_dedup_hot_tokens(docs, rows, monkeypatch, hot):
     assert sorted(((r["doc"]["doc_id"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in found), key=repr) == sorted(((r[0], r[4]) for r in brute_removed(rows)), key=repr)
 
 
+@pytest.mark.parametrize("unit", ["<> *** ~~~ ", "-=-", "ab "])
+@pytest.mark.parametrize("hot", [1, 2, None])
+def test_suffix_dedup_hot_tokens_of_periods(spark, monkeypatch, unit, hot):
+    """Windows in which a hot token stands several times meet wherever their runs begin."""
+    if hot:
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(len(unit))
+    letters = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(20, 60)))
+    rows = []
+    for i in range(120):
+        a, n = rng.randrange(len(unit)), rng.randrange(55, 110)
+        rows.append((i, letters() + (unit * 60)[a : a + n] + letters()))
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = sorted(((r["doc"]["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["removed"]), len(r["removed"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in found), key=repr)
+    assert got == brute_removed(rows)
+
+
 def test_suffix_dedup_compares_bytes(spark, monkeypatch):
     """Nothing unique goes, however badly tokens are hashed for the first exchange."""
     monkeypatch.setattr(suffix_dedup, "_CUT", np.uint64(61))

@@ -220,7 +220,7 @@ def largest_products(vectors: DataFrame, is_query: Column, k: int = 20, vec_id:
     n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, -(-n // (block or min(MOST_BLOCK, max(LEAST_BLOCK, n // (4 * cores))))))
     sent = records(rows.select("id", "v", F.coalesce(is_query, F.lit(False)).alias("asked"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")))
-    made = packing.written(assembled(sent, k, pivots, chunk), "pivot-blocks")
+    made = packing.written(assembled(sent.repartition(blocks, "block"), k, pivots, chunk), "pivot-blocks")
     queries = made.where("chunk >= 0").withColumn("chunk", F.struct("block", "chunk")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     held = made.where("chunk < 0").withColumn("chunk", F.struct(F.lit(-1).cast("long").alias("block"), "chunk"))
     placed = held.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "dim", "chunk")

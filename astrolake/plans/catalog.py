@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from astrolake.functions import crc, typed
 from astrolake.model import Dataset, percent_slice
 from astrolake.operators import adaptive, boxes, compare, octree, redistribute, sampling
-from astrolake.sources import bucketed, ranked
+from astrolake.sources import bucketed, growing, ranked
 from astrolake.sources.shared import drop, exists, shared_folder
+from astrolake.streaming import changes
 from astrolake.operators.selection import AT_LEAST, AT_MOST, BETWEEN, IS, Selection, in_box, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -605,6 +606,50 @@ def column_crc(spark, d):
     return found[0].unionByName(found[1])
 
 
+def grown_octree(spark: SparkSession, d: str) -> str:
+    """The octree of all particles, stored in three runs, of which the cells with three are merged."""
+
+    def make(path: str) -> None:
+        rows = leaves(spark, d)
+        growing.create(Dataset(rows.where("id % 3 = 0")), path, "id", shift=3)
+        growing.append(spark, path, rows.where("id % 3 = 1"))
+        growing.append(spark, path, rows.where("id % 3 = 2 AND _rank < 6"))
+        growing.compact(spark, path, most_runs=2)
+        growing.append(spark, path, rows.where("id % 3 = 2 AND _rank >= 6"))
+
+    return stored(spark, d, "grown", f"_versions/{4:010d}", make)
+
+
+@query(STORED + " SELECT _rank, _leaf_id, min(k)::bigint AS row_offset, count(*) AS n_rows, min(x) AS min_x, max(x) AS max_x FROM stored GROUP BY _rank, _leaf_id")
+def stored_append_leaves(spark, d):
+    return growing.leaves(spark, grown_octree(spark, d)).select("_rank", "_leaf_id", "row_offset", "n_rows", "min_x", "max_x")
+
+
+@query(STORED + " SELECT id, _rank, k::bigint AS _row_in_rank FROM stored")
+def stored_append_positions(spark, d):
+    return growing.positioned(spark, grown_octree(spark, d)).select("id", "_rank", "_row_in_rank")
+
+
+@query(f"WITH {PARTICLES} SELECT id, x, y, z FROM particles WHERE x BETWEEN 64 AND 128 AND y BETWEEN 0 AND 63.5 AND z BETWEEN 190 AND 256")
+def stored_append_region(spark, d):
+    return growing.region(spark, grown_octree(spark, d), REGION).select("id", "x", "y", "z")
+
+
+# steps
+
+_STEPPED = f"""{PARTICLES}, stepped AS (SELECT id, s AS _step, x + CASE WHEN (id + s) % 5 = 0 THEN s ELSE 0 END AS x FROM particles, (SELECT unnest(range(4)) AS s) WHERE (id * 31 + s * 7) % 10 < 7)"""
+
+
+@query(f"""WITH {_STEPPED}, w AS (SELECT *, lag(_step) OVER o AS b, lag(x) OVER o AS was, lead(_step) OVER o AS n FROM stepped WINDOW o AS (PARTITION BY id ORDER BY _step))
+SELECT id, _step, CASE WHEN b IS NULL OR b <> _step - 1 THEN 'appeared' ELSE 'moved' END AS change FROM w WHERE b IS NULL OR b <> _step - 1 OR was <> x
+UNION ALL SELECT id, _step + 1 AS _step, 'vanished' AS change FROM w WHERE _step < 3 AND (n IS NULL OR n <> _step + 1)""")
+def step_changes(spark, d):
+    steps = particles(spark, d).select("id", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("_step"))
+    steps = steps.where(F.pmod(F.col("id") * 31 + F.col("_step") * 7, F.lit(10)) < 7)
+    moved = F.when(F.pmod(F.col("id") + F.col("_step"), F.lit(5)) == 0, F.col("_step")).otherwise(0)
+    return changes.changes(steps.withColumn("x", F.col("x") + moved), values=("x",))
+
+
 # boxes
 
 

@@ -10,10 +10,11 @@ test allows: a point as near as the k-th best so far would, with probability
 so points beyond that projected distance are passed over, and the search ends at the first
 leaf that lies beyond it.
 
-All vectors are indexed, in blocks of about ``BLOCK`` rows dealt by hash; queries come in
-chunks of about ``CHUNK``.  Each pair of block and chunk is one group: a stated query set
-against all rows, in blocks.  A block's best few go on, and the best of all blocks are
-chosen per query.
+All vectors are indexed, in blocks of about ``BLOCK`` rows dealt by hash.  A block is moved
+once and builds its tree once; all queries stream past it in chunks of about ``CHUNK``: a
+stated query set against all rows, in blocks.  A block's best few go on, and the best of all
+blocks are chosen per query.  Vectors are scaled by powers of two first, which is exact, so
+that squares of very large or small components stay numbers.
 
 Defined cases: vectors that are null, empty, of zero length, or hold null or non-finite
 components take no part; only vectors of the query's dimension are candidates; a query's
@@ -35,7 +36,7 @@ from astrolake.llm import packing
 M, CONFIDENCE, LEAF = 8, 0.95, 64
 #: Leaves looked at before the stopping test is made again.
 STEP = 4
-BLOCK, CHUNK = 16384, 1024
+BLOCK, CHUNK = 16384, 64
 #: More than rounding puts between the scores of equal vectors.
 SLACK = 1e-12
 SEED = 5
@@ -83,15 +84,28 @@ class KdTree:
         return (gap * gap).sum(axis=2)
 
 
-def search(ids, vectors, query_ids, queries, k: int, m: int = M, confidence: float = CONFIDENCE, leaf: int = LEAF, tally: list | None = None):
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component near one; angles and their rounding stay."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0.0))[1][:, None])
+
+
+class Block:
+    """Vectors with the kd-tree of their projections."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, m: int = M, leaf: int = LEAF):
+        self.ids, self.vectors, self.m = ids, scaled(vectors), m
+        self.unit = self.vectors / np.sqrt((self.vectors * self.vectors).sum(axis=1))[:, None]
+        self.points = self.unit @ directions(vectors.shape[1], m)
+        self.tree = KdTree(self.points, leaf)
+
+
+def search(block: Block, query_ids, queries, k: int, confidence: float = CONFIDENCE, tally: list | None = None):
     """Per query the k best of the block as arrays (query number, candidate number, cosine); ``tally`` receives the share of points verified."""
-    unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
+    ids, vectors, unit, points, tree = block.ids, block.vectors, block.unit, block.points, block.tree
+    queries = scaled(queries)
     uq = queries / np.sqrt((queries * queries).sum(axis=1))[:, None]
-    d = directions(vectors.shape[1], m)
-    tree, pq = KdTree(unit @ d, leaf), uq @ d
-    cut = chi_square_quantile(confidence, m)
+    pq, cut = uq @ directions(queries.shape[1], block.m), chi_square_quantile(confidence, block.m)
     found_q, found_c, found_s = [], [], []
-    points = unit @ d
     for q in range(len(queries)):
         least = tree.least_squares(pq[q : q + 1])[0]
         order = np.argsort(least, kind="stable")
@@ -165,24 +179,29 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id",
     asked = rows.where(is_query)
     n, nq = rows.count(), asked.count()
     blocks, chunks = max(1, -(-n // block)), max(1, -(-nq // chunk))
-    left = _blobs(rows.withColumn("block", F.pmod("h", F.lit(blocks))).select("id", "v", "dim", "block"), "block").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    left = _blobs(rows.withColumn("block", F.pmod("h", F.lit(blocks))).select("id", "v", "dim", "block"), "block").withColumn("chunk", F.lit(-1).cast("long"))
     right = _blobs(asked.withColumn("chunk", F.pmod("h", F.lit(chunks))).select("id", "v", "dim", "chunk"), "chunk").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
-    def load(table: pa.Table, dim: int):
-        got = [packing.unpack(b) for b in table.column("blob").to_pylist()]
-        return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).reshape(-1, dim)
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if a.num_rows and b.num_rows:
-            dim = a.column("dim")[0].as_py()
-            ids, v = load(a, dim)
-            query_ids, q = load(b, dim)
-            i, c, s = search(ids, v, query_ids, q, k, m, confidence)
-            out = [query_ids[i], ids[c], s]
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    pair = ["block", "chunk", "dim"]
-    found = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(run, "query_id long, vec_id long, score double")
+    def run(batches):
+        """Rows in order of block, dimension, and the block's vectors before the queries."""
+        of, parts, held = None, [], None
+        for batch in batches:
+            for b, dim, number, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "dim", "chunk", "blob")), strict=True):
+                got = packing.unpack(blob)
+                got[1] = got[1].reshape(len(got[0]), dim)
+                if of != (b, dim):
+                    of, parts, held = (b, dim), [], None
+                if number < 0:
+                    parts.append(got)
+                    continue
+                if not parts and held is None:
+                    continue  # no vector of this dimension in the block
+                if held is None:
+                    held, parts = Block(np.concatenate([g[0] for g in parts]), np.concatenate([g[1] for g in parts]), m), []
+                i, c, s = search(held, *got, k, confidence)
+                yield pa.RecordBatch.from_arrays([pa.array(got[0][i], pa.int64()), pa.array(held.ids[c], pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+
+    placed = left.unionByName(right).repartition(blocks, "block").sortWithinPartitions("block", "dim", "chunk")
+    found = placed.mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -17,8 +17,9 @@ Learning uses a bounded sample of labelled rows (``MAX_LABELLED``); scoring is o
 over all rows, whole texts, without a shuffle.
 
 Defined cases: null and empty texts score like a text without terms; without toxic
-labels every score is the smoothed rate of the label; repeated rows score alike; other
-columns are passed through.
+labels every score is the smoothed rate of the label; an id with labels of both kinds is
+toxic; repeated rows score alike; other columns are passed through, but for one of the
+score's own name.  Words seen in fewer than ``MIN_DOCS`` toxic rows are no terms.
 """
 
 from __future__ import annotations
@@ -334,7 +335,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, learning, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Lexicon and model.  ``learning``: condition on ``_id`` for rows to learn from."""
-    marks = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where(learning & F.col("_y").isin(0, 1)).dropDuplicates(["_id"])
+    marks = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where(learning & F.col("_y").isin(0, 1)).groupBy("_id").agg(F.max("_y").alias("_y"))
     n = marks.count()
     share = min(1.0, MAX_LABELLED / max(n, 1))
     few = marks.where(F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -383,7 +384,8 @@ def train(docs: DataFrame, labels: DataFrame, learning, doc_id: str = "doc_id",
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "_score") -> DataFrame:
-    """``docs`` with the score."""
+    """``docs`` with the score; a column of that name in the input is replaced."""
+    docs = docs.drop(name)
     held, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]):

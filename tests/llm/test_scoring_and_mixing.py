@@ -106,6 +106,13 @@ def test_toxicity_on_held_out_rows(abusive, spark):
         flat = {r["_score"] for r in toxicity.scored(docs, toxicity.train(docs, none, F.lit(True))).collect()}
         assert len(flat) == 1
     assert toxicity.scored(docs.limit(0), model).count() == 0
+    # a column of the score's name is replaced, a very long text is scored like its parts' sums ask for, labels of both kinds are toxic
+    long = docs.limit(1).select("doc_id", F.expr("repeat('plain words of no harm ', 60000)").alias("text"), F.lit(7.0).alias("_score"), F.lit("x").alias("word"))
+    once = toxicity.scored(long, model).collect()
+    assert len(once) == 1 and set(once[0].asDict()) == {"doc_id", "text", "_score", "word"} and 0 <= once[0]["_score"] < 0.5
+    both = labels.unionByName(labels.where("toxic = 1").withColumn("toxic", F.lit(0)))
+    flipped = toxicity.scored(docs, toxicity.train(docs, both, queries._fold("_id", 5) != 0)).collect()
+    assert sorted(map(str, flipped)) == sorted(map(str, got))
 
 
 # quality

@@ -2,8 +2,8 @@
 
 A token is a lower-cased word.  Words with an exact count in the whole corpus of at least
 ``least_count`` (the square root of the tokens over 16, so the vocabulary grows with the
-corpus) have a number of their own; as surroundings all others share hashed numbers,
-which form the last class.  A window network predicts a token from two tokens on each
+corpus up to ``MOST_WORDS``) have a number of their own; as surroundings all others share
+hashed numbers, which form the last class.  A window network predicts a token from two tokens on each
 side: the sum of one embedding per position, a tanh, and a softmax in two steps (class,
 then token within class), with about as many classes as tokens in each.  A word without
 a number has the probability of the last class times that of its spelling: a chain of
@@ -12,12 +12,13 @@ own, and for given surroundings these sum to at most one (the chain also spells
 have a number).  The score of a document is the sum of log p(token | both sides) over all
 its tokens.
 
-Training covers all tokens of all documents: in each round every task starts from the
-shared parameters, runs minibatch descent over the masked positions of its own documents
-(fixed by hash; the rounds mask different ones, so over ``MASKED`` rounds each position is
-a target once), and the results are averaged by
-the number of tokens, part by part, in two steps.  What is gathered grows with the input;
-what reaches the driver is one set of parameters.
+Training covers all tokens of all documents.  A common start is learned from a bounded
+sample (``started``).  In each round every task then starts from the shared parameters, runs
+minibatch descent over the masked positions of its own documents (fixed by hash; the rounds
+mask different ones, so over ``MASKED`` rounds each position is a target once), and the
+results are averaged by the number of tokens, part by part, in two steps.  A row's step goes
+by the gradients it has had, so rare words learn as well as frequent ones.  What is gathered
+grows with the input; what reaches the driver is one set of parameters.
 
 Defined cases: null and wordless texts have 0 tokens, score 0 and mean 0; before any
 token is seen the parameters are the seeded ones; repeated rows score alike; other
@@ -41,9 +42,13 @@ CLASSES, PER_CLASS, OTHERS = 16, 32, 32
 SIZE = CLASSES * PER_CLASS
 WORDS = SIZE - OTHERS
 DIM, SIDE = 16, 2
-ROUNDS, MASKED, BATCH, SEED = 2, 2, 4096, 3
-#: Positions of the smallest batch, and the first step length.
-LEAST_BATCH, RATE = 256, 2.5
+ROUNDS, MASKED, BATCH, SEED = 2, 2, 1 << 14, 3
+#: Step length of a row whose gradients have all been alike.
+RATE = 0.2
+#: Positions that the common start is learned from, in batches of so many, and how often at most a smaller corpus is gone over for it.
+START_POSITIONS, START_BATCH, START_PASSES = 1 << 19, 1024, 8
+#: Words with a number of their own at most; the network stays under 100 MB, and all other words are spelled.
+MOST_WORDS = 1 << 18
 PARTS = 8
 #: The byte that stands before and after a word's own.
 EDGE = 256
@@ -84,10 +89,12 @@ class Network:
         self.tok_b[:] = np.log(share / share.sum(axis=1, keepdims=True))
 
     def _hidden(self, around: np.ndarray) -> np.ndarray:
-        h = self.emb[0][around[0]] + self.bias
+        h = np.take(self.emb[0], around[0], axis=0)
+        h += self.bias
+        one = np.empty_like(h)
         for j in range(1, 2 * SIDE):
-            h += self.emb[j][around[j]]
-        return np.tanh(h)
+            h += np.take(self.emb[j], around[j], axis=0, out=one, mode="clip")
+        return np.tanh(h, out=h)
 
     @staticmethod
     def _odds(z: np.ndarray) -> np.ndarray:
@@ -123,18 +130,16 @@ class Network:
         out[order] = got
         return out
 
-    def step(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One descent step on the mean loss of a batch."""
-        n = len(target)
+    def step(self, around: np.ndarray, target: np.ndarray, rates: Rates) -> None:
+        """One descent step on the summed loss of a batch; each row goes by its own rate."""
         order, parts = self._by_class(target)
         around, target = around[:, order], target[order]
         h = self._hidden(around)
-        c, t, at = target // self.per_class, target % self.per_class, np.arange(n)
+        c, t, at = target // self.per_class, target % self.per_class, np.arange(len(target))
         g = self._odds(self.cls @ h.T + self.cls_b[:, None])
         g /= g.sum(axis=0)
         g[c, at] -= 1
         gh = g.T @ self.cls
-        scale = np.float32(rate / n)
         d_cls, d_cls_b = g @ h, g.sum(axis=1)
         for k, rows in parts:
             if k == self.classes - 1:
@@ -144,18 +149,42 @@ class Network:
             g /= g.sum(axis=0)
             g[t[rows], at[: len(hk)]] -= 1
             gh[rows] += g.T @ self.tok[k]
-            self.tok[k] -= scale * (g @ hk)
-            self.tok_b[k] -= scale * g.sum(axis=1)
-        self.cls -= scale * d_cls
-        self.cls_b -= scale * d_cls_b
+            d, d_b = g @ hk, g.sum(axis=1)
+            rate = rates.of(rates.tok[k], (d * d).sum(axis=1) + d_b * d_b)
+            self.tok[k] -= rate[:, None] * d
+            self.tok_b[k] -= rate * d_b
+        rate = rates.of(rates.cls, (d_cls * d_cls).sum(axis=1) + d_cls_b * d_cls_b)
+        self.cls -= rate[:, None] * d_cls
+        self.cls_b -= rate * d_cls_b
         gh *= 1 - h * h
-        self.bias -= scale * gh.sum(axis=0)
-        gh *= scale
+        d = gh.sum(axis=0)
+        self.bias -= rates.of(rates.bias, (d * d).sum(keepdims=True)) * d
+        short = np.min_scalar_type(self.emb.shape[1])
         for j in range(2 * SIDE):
             # gradients of equal numbers are summed before they are taken off
-            order = np.argsort(around[j], kind="stable")
-            starts, _ = packing.groups(around[j][order])
-            self.emb[j][around[j][order[starts]]] -= np.add.reduceat(gh[order], starts, axis=0)
+            order = np.argsort(around[j].astype(short), kind="stable")
+            near = around[j][order]
+            starts, _ = packing.groups(near)
+            d, rows = np.add.reduceat(gh[order], starts, axis=0), near[starts]
+            self.emb[j][rows] -= rates.of(rates.emb[j], (d * d).sum(axis=1), rows)[:, None] * d
+
+
+class Rates:
+    """Squares of the gradients so far of each row of a network: a row's step is ``RATE`` over their root (per component)."""
+
+    def __init__(self, net: Network, flat: np.ndarray | None = None):
+        shapes = ((2 * SIDE, net.emb.shape[1]), (1,), (net.classes,), (net.classes, net.per_class))
+        sizes = [int(np.prod(s)) for s in shapes]
+        self.flat = np.full(sum(sizes), 1e-7, np.float32) if flat is None else flat.copy()
+        ends = np.cumsum(sizes)
+        self.emb, self.bias, self.cls, self.tok = (self.flat[e - n : e].reshape(s) for e, n, s in zip(ends, sizes, shapes, strict=True))
+
+    @staticmethod
+    def of(seen: np.ndarray, squares: np.ndarray, rows=slice(None)) -> np.ndarray:
+        """The rates of the rows, once the new squares are counted."""
+        now = seen[rows] + squares
+        seen[rows] = now
+        return np.float32(RATE * math.sqrt(DIM)) / np.sqrt(now)
 
 
 def numbers(words: textops.Words, vocabulary: np.ndarray, number: np.ndarray, classes: int = CLASSES, per_class: int = PER_CLASS, hashes: np.ndarray | None = None) -> np.ndarray:
@@ -173,7 +202,7 @@ def numbers(words: textops.Words, vocabulary: np.ndarray, number: np.ndarray, cl
 def surroundings(ids: np.ndarray, bounds: np.ndarray, outside: int = SIZE) -> np.ndarray:
     """Numbers of the tokens around each token, row-wise; beyond a text's ends stands a number of its own."""
     n, rows = len(ids), len(bounds) - 1
-    padded = np.full(n + SIDE * (rows + 1), outside, np.int64)
+    padded = np.full(n + SIDE * (rows + 1), outside, np.int32)
     at = np.arange(n) + SIDE * (np.repeat(np.arange(rows), np.diff(bounds)) + 1)
     padded[at] = ids
     return np.stack([padded[at + j] for j in (*range(-SIDE, 0), *range(1, SIDE + 1))])
@@ -225,10 +254,10 @@ def vocabulary_of(texts: DataFrame, n_buckets: int, words: int = WORDS) -> np.nd
 
 
 def full_vocabulary(texts: DataFrame, n_buckets: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes and counts of all words of at least ``least_count``, most frequent first (ties by hash), and the tokens of all others."""
+    """Hashes and counts of the words of at least ``least_count`` (up to ``MOST_WORDS``), most frequent first (ties by hash), and the tokens of all others."""
     counts = packing.written(word_counts(texts, n_buckets), "word-counts")
     tokens = int(counts.agg(F.sum("c")).first()[0] or 0)
-    found = counts.where(F.col("c") >= least_count(tokens)).toArrow()
+    found = counts.where(F.col("c") >= least_count(tokens)).orderBy(F.desc("c"), "h").limit(MOST_WORDS).toArrow()
     h, c = found.column("h").to_numpy(), found.column("c").to_numpy()
     top = np.lexsort((h, -c))
     return h[top].view(np.uint64), c[top], tokens - int(c.sum())
@@ -269,21 +298,62 @@ def spelled(words: textops.Words, table: np.ndarray) -> np.ndarray:
     return table[EDGE, data[words.start]] + run[last] - run[words.start] + table[data[last], EDGE]
 
 
-def train(texts: DataFrame, ranked: np.ndarray, rounds: int = ROUNDS, masked: int = MASKED, shape: tuple[int, int] = (CLASSES, PER_CLASS), counts: np.ndarray | None = None, rest: int = 0) -> tuple[Network, np.ndarray]:
-    """Rounds of local descent on all documents and averaging; and the spelling of words without a number, counted in the first round."""
+def started(texts: DataFrame, ranked: np.ndarray, shape: tuple[int, int], counts: np.ndarray, rest: int) -> tuple[Network, Rates]:
+    """The network from which all tasks start, learned by one task from a bounded sample of texts, and the rates it has come to.
+
+    Tasks that start from noise learn the same in different directions, and their average
+    forgets it; from a common start they go on in the same ones.  The sample is of about
+    ``START_POSITIONS`` tokens, different texts chosen by hash."""
+    net = Network(None, *shape)
+    net.start_from(counts, rest)
+    share = min(1.0, START_POSITIONS / max(int(counts.sum()) + rest, 1))
+    key = F.xxhash64("t", F.lit(SEED))
+    few = texts.where(F.col("t").isNotNull() & (F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30)))).distinct()
+    order = np.argsort(ranked)
+    held = texts.sparkSession.sparkContext.broadcast((ranked[order], order, net.flat))
+
+    def learn(batches: Iterator[pa.RecordBatch]):
+        vocabulary, number, flat = held.value
+        own, found = Network(flat, *shape), []
+        rates = Rates(own)
+        for batch in batches:
+            for part in textops.pieces(batch, "t"):
+                words = textops.Words(*textops.raw(part.column("t")), textops.ALNUM_WORD)
+                ids = numbers(words, vocabulary, number, *shape)
+                found.append((surroundings(ids, words.bounds, shape[0] * shape[1]), ids))
+        if found:
+            around, target = np.concatenate([f[0] for f in found], axis=1), np.concatenate([f[1] for f in found])
+            for turn in range(min(START_PASSES, -(-START_POSITIONS // max(len(target), 1)))):
+                mixed = np.random.default_rng(turn).permutation(len(target))
+                for i in range(0, len(mixed), START_BATCH):
+                    own.step(around[:, mixed[i : i + START_BATCH]], target[mixed[i : i + START_BATCH]], rates)
+            yield pa.RecordBatch.from_arrays([pa.array([packing.pack(own.flat, rates.flat)], pa.binary())], names=["values"])
+
+    # one task, in an order that does not depend on how rows are dealt
+    made = few.withColumn("_h", key).repartition(1).sortWithinPartitions("_h", "t").select("t").mapInArrow(learn, "values binary").collect()
+    if made:
+        flat, seen = packing.unpack(made[0]["values"])
+        net = Network(flat, *shape)
+        return net, Rates(net, seen)
+    return net, Rates(net)
+
+
+def train(texts: DataFrame, ranked: np.ndarray, rounds: int = ROUNDS, masked: int = MASKED, shape: tuple[int, int] = (CLASSES, PER_CLASS), start: tuple[Network, Rates] | None = None) -> tuple[Network, np.ndarray]:
+    """Rounds of local descent on all documents and averaging, from a common ``start``; and the spelling of words without a number, counted in the first round."""
     order = np.argsort(ranked)
-    net, pairs = Network(None, *shape), np.zeros((EDGE + 1) ** 2)
-    if counts is not None:
-        net.start_from(counts, rest)
+    pairs = np.zeros((EDGE + 1) ** 2)
+    net = start[0] if start else Network(None, *shape)
+    first = start[1].flat if start else None
     # results of the tasks are averaged in two steps, so that no group has more than about the root of their number
     lanes = max(1, math.isqrt(texts.rdd.getNumPartitions()))
     for turn in range(rounds):
-        held = texts.sparkSession.sparkContext.broadcast((ranked[order], order, net.flat))
+        held = texts.sparkSession.sparkContext.broadcast((ranked[order], order, net.flat, first))
 
         def descend(batches: Iterator[pa.RecordBatch], held=held, turn=turn):
-            vocabulary, number, flat = held.value
+            vocabulary, number, flat, squares = held.value
             own, seen, steps, pairs = Network(flat, *shape), 0, 0, np.zeros((EDGE + 1) ** 2, np.int64)
-            around, target = np.zeros((2 * SIDE, 0), np.int64), np.zeros(0, np.int64)
+            rates = Rates(own, squares)
+            around, target = np.zeros((2 * SIDE, 0), np.int32), np.zeros(0, np.int64)
             wait_a, wait_t, waiting = [], [], 0
 
             def learn(last: bool):
@@ -291,11 +361,10 @@ def train(texts: DataFrame, ranked: np.ndarray, rounds: int = ROUNDS, masked: in
                 nonlocal around, target, steps, wait_a, wait_t, waiting
                 a, t = np.concatenate([around, *wait_a], axis=1), np.concatenate([target, *wait_t])
                 mixed = np.random.default_rng(steps).permutation(len(t))
-                size = min(BATCH, max(LEAST_BATCH, len(t) // 128)) if last else BATCH
-                end = len(t) if last else len(t) // size * size
-                for i in range(0, end, size):
-                    b = mixed[i : min(i + size, end)]
-                    own.step(a[:, b], t[b], RATE * min(1.0, len(b) / LEAST_BATCH) / (1 + steps / 400) / math.sqrt(1 + turn))
+                end = len(t) if last else len(t) // BATCH * BATCH
+                for i in range(0, end, BATCH):
+                    b = mixed[i : min(i + BATCH, end)]
+                    own.step(a[:, b], t[b], rates)
                     steps += 1
                 around, target, wait_a, wait_t, waiting = a[:, mixed[end:]], t[mixed[end:]], [], [], 0
 
@@ -314,7 +383,7 @@ def train(texts: DataFrame, ranked: np.ndarray, rounds: int = ROUNDS, masked: in
                     wait_t.append(ids[hidden])
                     waiting += int(hidden.sum())
                     seen += len(ids)
-                    if waiting >= 16 * BATCH:
+                    if waiting >= 8 * BATCH:
                         learn(False)
             if waiting or len(target):
                 learn(True)
@@ -348,7 +417,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds:
     _, size = packing.text_size(texts, "t")
     ranked, counts, rest = full_vocabulary(texts, packing.bucket_count(size, 32 << 20))
     shape = shape_for(len(ranked))
-    net, table = train(texts, ranked, rounds, masked, shape, counts, rest)
+    net, table = train(texts, ranked, rounds, masked, shape, started(texts, ranked, shape, counts, rest))
     order = np.argsort(ranked)
     held = docs.sparkSession.sparkContext.broadcast((ranked[order], order, net.flat, table))
 
@@ -361,8 +430,8 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds:
                 ids = numbers(words, vocabulary, number, *shape)
                 around = surroundings(ids, words.bounds, shape[0] * shape[1])
                 log_p, spelt = np.zeros(len(ids)), spelled(words, table)
-                for i in range(0, len(ids), 1 << 14):
-                    log_p[i : i + (1 << 14)] = own.log_probabilities(around[:, i : i + (1 << 14)], ids[i : i + (1 << 14)], spelt[i : i + (1 << 14)])
+                for i in range(0, len(ids), BATCH):
+                    log_p[i : i + BATCH] = own.log_probabilities(around[:, i : i + BATCH], ids[i : i + BATCH], spelt[i : i + BATCH])
                 n = np.diff(words.bounds)
                 total = np.diff(np.r_[0.0, np.cumsum(log_p)][words.bounds])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(total / np.maximum(n, 1), pa.float64())], names=["doc_id", "n_tokens", "score", "mean_score"])

@@ -55,6 +55,54 @@ def test_natural_order_beats_shuffled_and_gibberish(spark):
     assert means[0] > means[1] + 0.2 and means[1] > means[2] + 1
 
 
+def prose(rng, n, kinds=("det", "adj", "noun", "verb", "adv"), words=300):
+    """Sentences of a grammar of ``words`` words a kind, frequent ones first."""
+    return " ".join(f"{k}{min(int(rng.expovariate(0.02)), words - 1)}" for _ in range(n) for k in kinds)
+
+
+def test_default_parameters_use_the_surroundings(spark):
+    """With the default rounds and several partitions natural order is worth 0.2 nats a token and more."""
+    rng = random.Random(12)
+    natural = [prose(rng, rng.randrange(10, 120)) for _ in range(400)]
+    shuffled = [" ".join(rng.sample(t.split(), len(t.split()))) for t in natural[:60]]
+    frame = spark.createDataFrame([*enumerate([*natural, *shuffled])], "doc_id long, text string").repartition(6)
+    found = {r["doc_id"]: r["mean_score"] for r in pseudo_likelihood.scored(frame).collect()}
+    gaps = [found[i] - found[400 + i] for i in range(60)]
+    assert np.mean(gaps) > 0.2 and np.mean([g > 0 for g in gaps]) > 0.95
+
+
+def test_very_long_text_and_clashing_names(spark):
+    rng = random.Random(13)
+    long = prose(rng, 20000)
+    rows = [(1, long, "x", 1.0, 2, "h"), (2, prose(rng, 30), "x", 1.0, 2, "h"), (3, None, "x", 1.0, 2, "h"), (2**62, "short", None, None, None, None)]
+    got = {r["doc_id"]: r for r in pseudo_likelihood.scored(spark.createDataFrame(rows, "doc_id long, text string, t string, score double, n_tokens int, h string")).collect()}
+    assert got[1]["n_tokens"] == 100000 and got[3]["score"] == 0 and got[2**62]["n_tokens"] == 1
+    assert all(np.isfinite(r["score"]) and r["score"] <= 0 for r in got.values())
+
+
+def test_words_beyond_the_bound_are_spelled(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "MOST_WORDS", 40)
+    rng = random.Random(14)
+    frame = spark.createDataFrame([(i, prose(rng, 40)) for i in range(30)], "doc_id long, text string")
+    ranked, counts, rest = pseudo_likelihood.full_vocabulary(frame.select(F.col("text").alias("t")), 3)
+    assert len(ranked) == 40 and int(counts.sum()) + rest == 30 * 200 and (np.diff(counts) <= 0).all()
+    assert all(np.isfinite(r["score"]) for r in pseudo_likelihood.scored(frame).collect())
+
+
+def test_steps_follow_the_gradient():
+    """The first step of every row goes down its gradient, by the same length."""
+    rng = np.random.default_rng(3)
+    net = pseudo_likelihood.Network(None)
+    around, target = rng.integers(0, 480, (4, 200)), rng.integers(0, 480, 200)
+    before, old = pseudo_likelihood.Network(net.flat), net.log_probabilities(around, target).sum()
+    net.step(around, target, pseudo_likelihood.Rates(net))
+    moved = np.sqrt(((net.cls - before.cls) ** 2).sum(axis=1) + (net.cls_b - before.cls_b) ** 2)
+    assert np.allclose(moved[:-1], pseudo_likelihood.RATE * pseudo_likelihood.DIM**0.5, rtol=1e-2)
+    # a small share of that step improves the sum as the gradient says
+    little = pseudo_likelihood.Network(before.flat + 1e-3 * (net.flat - before.flat))
+    assert little.log_probabilities(around, target).sum() > old
+
+
 def test_every_position_is_a_target_once(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(pseudo_likelihood.Network, "step", lambda self, around, target, rate: seen.append(target.copy()))

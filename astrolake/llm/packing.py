@@ -11,16 +11,17 @@ from __future__ import annotations
 
 import ctypes
 import struct
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from astrolake.sources.shared import drop, shared_folder, written  # noqa: F401
+
 FLUSH_BYTES = 8 << 20
 
 BLOB_SCHEMA = "bucket long, blob binary"
@@ -112,34 +113,6 @@ def bucket_count(size: int, each: int, least: int = 12) -> int:
     return int(max(least, -(-size // each)))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: that of spark.checkpoint.dir, or one in the warehouse where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_intermediate"
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here, and lost executors lose nothing.
-
-    The path is added to ``made``, for ``drop`` once what follows from it is written as well."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    if made is not None:
-        made.append(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def drop(spark: SparkSession, made: list[str]) -> None:
-    """Delete what ``written`` has put into the shared folder."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in made:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-    made.clear()
-
-
 def extended(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` with further columns."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

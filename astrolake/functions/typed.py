@@ -33,6 +33,20 @@ def schema_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, name string, label string, role string")
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """Numbers as SQL shows them: floats as double, integers as bigint (unsigned 64 bits stay decimals, so none wraps), vectors as null doubles; others stay."""
+
+    def wide(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.FractionalType) and not isinstance(f.dataType, T.DecimalType):
+            return c.cast("double").alias(f.name)
+        if isinstance(f.dataType, T.IntegralType):
+            return c.cast("bigint").alias(f.name)
+        return F.lit(None).cast("double").alias(f.name) if isinstance(f.dataType, T.ArrayType) else c
+
+    return df.select(*[wide(f) for f in df.schema.fields])
+
+
 def parse(text: str, kind: T.DataType) -> Column:
     """A literal of a column's type from text; null where the text is no such value."""
     return F.lit(text).try_cast(kind)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_
 
@@ -25,7 +25,7 @@ def infer_roles(columns: list[str]) -> dict[str, str]:
 
 @dataclass(frozen=True)
 class Dataset:
-    """A DataFrame with the roles of its columns.
+    """A DataFrame with the roles of its columns, inferred from their names where none are given.
 
     ``rank`` names the horizontal partition, ``order`` the columns that fix the order
     of rows inside one.  Positions need a window per rank; a table that is read often
@@ -36,12 +36,12 @@ class Dataset:
     df: DataFrame
     rank: str = "_rank"
     order: tuple[str, ...] = ("id",)
-    roles: dict[str, str] = field(default_factory=dict)
+    roles: dict[str, str] | None = None
     origin: tuple[float, float, float] = (0.0, 0.0, 0.0)
     scale: tuple[float, float, float] = (256.0, 256.0, 256.0)
 
     def __post_init__(self):
-        if not self.roles:
+        if self.roles is None:
             object.__setattr__(self, "roles", infer_roles(self.df.columns))
 
     def with_df(self, df: DataFrame) -> Dataset:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from astrolake.model import Dataset
+
 
 def blocks_tail(rank: Column, n_ranks: int, readers: int) -> Column:
     """Contiguous blocks; the last readers take one more where it does not divide, and only they read where ranks are few."""
@@ -44,3 +48,13 @@ def natural_partition(host: Column, rank: Column | None = None, per_host: int =
 def reshard(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """As many partitions as asked for; contiguous by key if one is given."""
     return df.repartitionByRange(n, *keys) if keys else df.repartition(n)
+
+
+def reranked(data: Dataset, n_ranks: int, n: int) -> Dataset:
+    """The table dealt to ``n`` ranks instead of ``n_ranks``: each takes neighbouring ranks whole, and the last ones one more where it does not divide.
+
+    Where the number changes, ranks are no longer boxes in space, so the roles of columns go."""
+    if n == n_ranks:
+        return data
+    df = data.df.withColumn("_source_rank", F.col(data.rank)).withColumn(data.rank, blocks_tail(F.col(data.rank), n_ranks, n))
+    return replace(data, df=df, order=("_source_rank", *data.order), roles={})

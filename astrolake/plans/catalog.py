@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from astrolake.functions import crc, typed
 from astrolake.model import Dataset, percent_slice
 from astrolake.operators import adaptive, boxes, compare, octree, redistribute, sampling
-from astrolake.sources import bucketed, growing, ranked
+from astrolake.sources import bucketed, export, growing, ranked
 from astrolake.sources.shared import drop, exists, shared_folder
 from astrolake.streaming import changes
 from astrolake.operators.selection import AT_LEAST, AT_MOST, BETWEEN, IS, Selection, in_box, load
@@ -701,6 +701,82 @@ def adaptive_leaf_assign(spark, d):
     return adaptive.assign(p, axes(), adaptive.adaptive_leaves(p, axes(), 100, depth=4), depth=4).select("id", "_first", "_level")
 
 
+# what stands beside stored rows, other layouts and exports, read back
+
+
+@query(STORED + """ SELECT 'table' AS section, 'n_rows' AS name, count(*)::varchar AS value FROM stored
+UNION ALL SELECT 'table', 'n_ranks', count(DISTINCT _rank)::varchar FROM stored UNION ALL SELECT 'table', 'n_blocks', count(DISTINCT (_rank, k // 256))::varchar FROM stored
+UNION ALL SELECT 'table', v[1], v[2] FROM (SELECT unnest([['block_rows', '256'], ['order', '_leaf_id,id'], ['origin_x', '0.0'], ['origin_y', '0.0'], ['origin_z', '0.0'], ['scale_x', '256.0'], ['scale_y', '256.0'], ['scale_z', '256.0']]) AS v)
+UNION ALL SELECT 'role', v[1], v[2] FROM (SELECT unnest([['x', 'x'], ['y', 'y'], ['z', 'z']]) AS v)
+UNION ALL SELECT 'column', v[1], v[2] FROM (SELECT unnest([['id', 'i64'], ['x', 'f64'], ['y', 'f64'], ['z', 'f64'], ['_cx', 'i32'], ['_cy', 'i32'], ['_cz', 'i32'], ['_leaf', 'i32'], ['_leaf_id', 'i32'], ['_rank', 'i32']]) AS v)
+UNION ALL SELECT 'rank', _rank::varchar, count(*)::varchar FROM stored GROUP BY _rank UNION ALL SELECT 'leaf', _leaf_id::varchar, count(*)::varchar FROM stored GROUP BY _leaf_id""")
+def stored_header(spark, d):
+    return ranked.header(spark, stored_octree(spark, d))
+
+
+@query(f"WITH {PARTICLES} SELECT count(*) AS n_rows, (count(*) FILTER (x >= 0 AND x <= 256 AND y >= 0 AND y <= 256 AND z >= 0 AND z <= 256)) AS n_inside, 0.0::double AS origin_x, 256.0::double AS scale_x FROM particles")
+def physical_box(spark, d):
+    data = ranked.read(spark, stored_octree(spark, d))
+    inside = in_box([data.axis(a) for a in AXES], list(data.origin), [o + s for o, s in zip(data.origin, data.scale, strict=True)], closed=True)
+    return data.df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(inside).alias("n_inside"), F.lit(data.origin[0]).alias("origin_x"), F.lit(data.scale[0]).alias("scale_x"))
+
+
+@query(f"WITH {EVENTS} SELECT event_id, (event_id % 3)::int AS _step, _rank FROM ranked")
+def series_rows(spark, d):
+    def make(path: str) -> None:
+        for step in range(3):
+            events(spark, d).df.where(F.pmod("event_id", F.lit(3)) == step).write.parquet(f"{path}/{step}")
+
+    path = stored(spark, d, "series", "2/_SUCCESS", make)
+    return ranked.series(spark, f"{path}/*", r"/(\d+)/[^/]*$").select("event_id", "_step", "_rank")
+
+
+@query(STORED + " SELECT id, x, k::bigint AS _row_in_rank FROM stored WHERE _rank = 5")
+def stored_other_codec(spark, d):
+    path = stored(spark, d, "codec", "_table", lambda path: ranked.write(Dataset(leaves(spark, d)), path, compression="gzip", leaf_key="id"))
+    return ranked.read(spark, path).df.where("_rank = 5").select("id", "x", "_row_in_rank")
+
+
+@query(f"""WITH {PARTICLES}, s AS (SELECT id, _rank AS _source_rank, CASE WHEN _rank < 2 THEN 0 WHEN _rank < 5 THEN 1 ELSE 2 END AS _rank FROM particles)
+SELECT id, _rank, (row_number() OVER (PARTITION BY _rank ORDER BY _source_rank, id) - 1)::bigint AS _row_in_rank FROM s""")
+def stored_reshard(spark, d):
+    path = stored(spark, d, "reshard", "_table", lambda path: ranked.write(redistribute.reranked(Dataset(particles(spark, d)), 8, 3), path, block_rows=SMALL_BLOCK))
+    return ranked.read(spark, path).df.select("id", "_rank", "_row_in_rank")
+
+
+@query("SELECT l_linenumber::bigint AS l_linenumber, l_quantity::double AS l_quantity, l_returnflag FROM lineitem")
+def widened_columns(spark, d):
+    return typed.widened(table(spark, d, "lineitem").select("l_linenumber", F.col("l_quantity").cast("float").alias("l_quantity"), "l_returnflag"))
+
+
+@query(f"WITH {PARTICLES} SELECT id, x::float AS x, z::float AS z, _rank, (row_number() OVER (PARTITION BY _rank ORDER BY id) - 1)::bigint AS place FROM particles")
+def row_major_records(spark, d):
+    def make(path: str) -> None:
+        zero = F.lit(0).cast("float")
+        export.write_row_major(particles(spark, d).withColumns({c: zero for c in ("vx", "vy", "vz", "phi")}), path, block_rows=SMALL_BLOCK)
+
+    back = export.read_row_major(spark, stored(spark, d, "records", "_SUCCESS", make))
+    return back.select("id", "x", "z", "_rank", (F.col("_block") * SMALL_BLOCK + F.col("_in_block")).alias("place"))
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
+def csv_rows(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    path = stored(spark, d, "csv", "_SUCCESS", lambda path: export.write_csv(rows, path))
+    return spark.read.schema(rows.schema).option("header", "true").csv(path)
+
+
+@query(f"WITH {PARTICLES} SELECT id, x FROM particles WHERE _rank = 4 AND x >= 150.5 AND y BETWEEN 5 AND 100")
+def selection_chain(spark, d):
+    chosen = Selection().add("z", IS, 1).reset().add("_rank", IS, "4").add("_rank", IS, "4").add("x", AT_LEAST, 150.5).add("no such column", IS, 3).add("y", BETWEEN, 5, 100)
+    return load(particles(spark, d), ["id"], ["x"], chosen)
+
+
+@query(LEAF_TABLE + "SELECT _leaf_id, printf('%d : %.1f - %.1f, %.1f - %.1f, %.1f - %.1f : %d rows from %d, rank %d', _leaf_id, min_x, max_x, min_y, max_y, min_z, max_z, n_rows, row_offset, _rank) AS line FROM leaf_table")
+def leaf_lines(spark, d):
+    return octree.leaf_text(octree.leaf_table(leaves(spark, d), 2))
+
+
 # order
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolake.functions.typed import type_label
@@ -56,3 +56,19 @@ def row_major(df: DataFrame, rank: str = "_rank", order: tuple[str, ...] = ("id"
 def write_row_major(df: DataFrame, path: str, **options) -> None:
     """The records as a table with a directory per rank, blocks in order."""
     row_major(df, **options).repartition("_rank").sortWithinPartitions("_rank", "block").write.partitionBy("_rank").parquet(path)
+
+
+def read_row_major(spark: SparkSession, path: str) -> DataFrame:
+    """The particles of stored records, with their rank and their place in it (from 0)."""
+    kind = np.dtype([(n, t) for n, t in ROW_MAJOR])
+    blocks = spark.read.parquet(path).select(F.col("_rank").cast("int").alias("_rank"), F.col("block").cast("long").alias("block"), "data")
+
+    def run(batches):
+        for batch in batches:
+            for r, b, data in zip(*(batch.column(c).to_pylist() for c in ("_rank", "block", "data")), strict=True):
+                rows = np.frombuffer(data, kind)
+                columns = [pa.array(np.ascontiguousarray(rows[n])) for n, _ in ROW_MAJOR]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([r] * len(rows), pa.int32()), pa.array([b] * len(rows), pa.int64()), pa.array(np.arange(len(rows)), pa.int64())], names=[*(n for n, _ in ROW_MAJOR), "_rank", "_block", "_in_block"])
+
+    shown = ", ".join(f"{n} {'bigint' if t == '<i8' else 'float'}" for n, t in ROW_MAJOR)
+    return blocks.mapInArrow(run, f"{shown}, _rank int, _block long, _in_block long")

@@ -88,6 +88,26 @@ def counts(spark: SparkSession, path: str) -> DataFrame:
     return ranks.withColumn("rank_offset", F.coalesce(F.sum("n_rows").over(Window.orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
 
 
+def header(spark: SparkSession, path: str) -> DataFrame:
+    """(section, name, value) of what stands beside the rows: table (rows, blocks, box, roles), columns with their types, ranks with their rows, leaves with theirs."""
+    from astrolake.functions.typed import type_label
+
+    told = json.loads(spark.read.text(f"{path}/_table").first()["value"])
+    fields = [f for f in read(spark, path).df.schema.fields if f.name not in (*HIDDEN, "_block")]
+    rows = [("table", "block_rows", str(told["block_rows"])), ("table", "order", ",".join(told["order"]))]
+    rows += [("table", f"origin_{a}", str(o)) for a, o in zip("xyz", told["origin"], strict=True)] + [("table", f"scale_{a}", str(o)) for a, o in zip("xyz", told["scale"], strict=True)]
+    rows += [("role", a, c) for a, c in told["roles"].items()] + [("column", f.name, type_label(f)) for f in fields]
+    found = parts(spark, path)
+
+    def counted(section: str, key: str) -> DataFrame:
+        return found.groupBy(key).agg(F.sum("n_rows").cast("string").alias("value")).select(F.lit(section).alias("section"), F.col(key).cast("string").alias("name"), "value")
+
+    whole = found.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).cast("string").alias("n_rows"), F.countDistinct("_block").cast("string").alias("n_blocks"), F.countDistinct("_rank").cast("string").alias("n_ranks"))
+    whole = whole.select(F.explode(F.array(*[F.struct(F.lit("table").alias("section"), F.lit(c).alias("name"), F.col(c).alias("value")) for c in ("n_rows", "n_blocks", "n_ranks")])).alias("h")).select("h.*")
+    all_of = [spark.createDataFrame(rows, "section string, name string, value string"), whole, counted("rank", "_rank"), *([counted("leaf", "_leaf_id")] if "_leaf_id" in found.columns else [])]
+    return reduce(DataFrame.unionByName, all_of)
+
+
 def picked(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """Rows of the blocks that ``wanted`` (_rank, _block, repeated at will) names.
 

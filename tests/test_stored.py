@@ -146,6 +146,30 @@ def test_tables_without_roles_or_rows(spark, tmp_path):
     assert ranked.counts(spark, f"{tmp_path}/e").count() == 0
 
 
+def test_other_number_of_ranks(box):
+    from astrolake.operators import redistribute
+
+    assert redistribute.reranked(box, 8, 8) is box
+    for n in (3, 16):
+        dealt = redistribute.reranked(box, 8, n)
+        assert dealt.roles == {} and compare.identical(dealt.df.select("id"), box.df.select("id"))
+        pairs = sorted(tuple(r) for r in dealt.df.select("_source_rank", "_rank").distinct().collect())
+        assert len(pairs) == 8 and [p[1] for p in pairs] == sorted(p[1] for p in pairs) and len({p[1] for p in pairs}) == min(n, 8)
+
+
+def test_header_reads_no_rows(spark, rows, path):
+    got = {(r["section"], r["name"]): r["value"] for r in ranked.header(spark, path).collect()}
+    assert got["table", "n_rows"] == str(rows.count()) and got["table", "block_rows"] == "16" and got["role", "x"] == "x"
+    assert got["column", "_leaf_id"] == "i64" and sum(int(v) for (s, _), v in got.items() if s == "leaf") == rows.count()
+    assert scanned(ranked.header(spark, path)) == 0
+
+
+def test_widened(spark):
+    df = spark.createDataFrame([(1, 2, 0.5, [1.0], "t")], "a tinyint, b int, c float, d array<float>, e string")
+    got = typed.widened(df)
+    assert [t for _, t in got.dtypes] == ["bigint", "bigint", "double", "double", "string"] and tuple(got.first()) == (1, 2, 0.5, None, "t")
+
+
 def test_partitions_are_written_by_ranges(spark, box, tmp_path):
     ranked.write_partitioned(box.df, f"{tmp_path}/p", F.lit(0), file_rows=100)
     assert len(spark.read.parquet(f"{tmp_path}/p").inputFiles()) >= 8

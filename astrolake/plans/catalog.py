@@ -411,7 +411,14 @@ def type_label_table(spark, d):
     return typed.schema_table(table(spark, d, "lineitem")).drop("role")
 
 
-@query()
+_STEPS = ", ".join(f"t{k + 1} AS (SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 14514072000185962306::ubigint) ELSE c >> 1 END AS c FROM t{k})" for k in range(8))
+#: The CRC of a list of bytes ``b``, from the table ``t`` of 256 words.
+_CRC_OF = "xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255)::bigint + 1], c >> 8), 18446744073709551615::ubigint), 18446744073709551615::ubigint)"
+_CRC_TABLE = f"t0 AS (SELECT i::ubigint AS i, i::ubigint AS c FROM range(256) r(i)), {_STEPS}, tbl AS (SELECT list(c ORDER BY i) AS t FROM t8)"
+
+
+@query(f"""WITH {_CRC_TABLE}, texts AS (SELECT o_orderkey, list_transform(range(1, length(o_orderpriority) + 1), lambda i: ord(substr(o_orderpriority, i, 1))::ubigint) AS b FROM orders)
+SELECT o_orderkey, ({_CRC_OF})::decimal(20,0) AS crc FROM texts, tbl""")
 def crc64_digest(spark, d):
     return table(spark, d, "orders").select("o_orderkey", typed.crc64(F.col("o_orderpriority").cast("binary")).alias("crc"))
 
@@ -590,13 +597,12 @@ def stored_compare(spark, d):
     return bucketed.differing_keys(spark, *names, "id")
 
 
-_STEPS = ", ".join(f"t{k + 1} AS (SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 14514072000185962306::ubigint) ELSE c >> 1 END AS c FROM t{k})" for k in range(8))
-_CRC = "printf('%016x', xor(list_reduce(flatten(list_transform(v, lambda x: list_transform(range({n}), lambda i: ((x >> (8 * i)::bigint) & 255)::ubigint))), lambda c, x: xor(t[(xor(c, x) & 255)::bigint + 1], c >> 8), 18446744073709551615::ubigint), 18446744073709551615::ubigint))"
 #: Byte by byte over each rank's values in stored order.
-CRC_SQL = STORED + f""", t0 AS (SELECT i::ubigint AS i, i::ubigint AS c FROM range(256) r(i)), {_STEPS}, tbl AS (SELECT list(c ORDER BY i) AS t FROM t8),
+_BYTES = "flatten(list_transform(v, lambda x: list_transform(range({n}), lambda i: ((x >> (8 * i)::bigint) & 255)::ubigint)))"
+CRC_SQL = STORED + f""", {_CRC_TABLE},
 vals AS (SELECT _rank::bigint AS _rank, list(id ORDER BY k) AS ids, list(_leaf_id::bigint ORDER BY k) AS leaf_ids, count(*) AS n FROM stored GROUP BY _rank)
-SELECT _rank, 'id' AS name, n AS n_rows, n * 8 AS n_bytes, {_CRC.format(n=8)} AS crc FROM (SELECT _rank, n, ids AS v FROM vals), tbl
-UNION ALL SELECT _rank, '_leaf_id' AS name, n AS n_rows, n * 4 AS n_bytes, {_CRC.format(n=4)} AS crc FROM (SELECT _rank, n, leaf_ids AS v FROM vals), tbl"""
+SELECT _rank, 'id' AS name, n AS n_rows, n * 8 AS n_bytes, printf('%016x', {_CRC_OF}) AS crc FROM (SELECT _rank, n, {_BYTES.format(n=8)} AS b FROM (SELECT _rank, n, ids AS v FROM vals)), tbl
+UNION ALL SELECT _rank, '_leaf_id' AS name, n AS n_rows, n * 4 AS n_bytes, printf('%016x', {_CRC_OF}) AS crc FROM (SELECT _rank, n, {_BYTES.format(n=4)} AS b FROM (SELECT _rank, n, leaf_ids AS v FROM vals)), tbl"""
 
 
 @query(CRC_SQL)

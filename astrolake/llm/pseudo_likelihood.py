@@ -42,7 +42,7 @@ CLASSES, PER_CLASS, OTHERS = 16, 32, 32
 SIZE = CLASSES * PER_CLASS
 WORDS = SIZE - OTHERS
 DIM, SIDE = 16, 2
-ROUNDS, MASKED, BATCH, SEED = 2, 2, 1 << 14, 3
+ROUNDS, MASKED, BATCH, SEED = 1, 1, 1 << 14, 3
 #: Step length of a row whose gradients have all been alike.
 RATE = 0.2
 #: Positions that the common start is learned from, in batches of so many, and how often at most a smaller corpus is gone over for it.
@@ -97,9 +97,19 @@ class Network:
         return np.tanh(h, out=h)
 
     @staticmethod
-    def _odds(z: np.ndarray) -> np.ndarray:
-        """exp(z) of each column over its largest, in place; columns are positions, so that sums and maxima run over rows."""
-        z -= z.max(axis=0)
+    def _scores(weights: np.ndarray, bias: np.ndarray, h1: np.ndarray) -> np.ndarray:
+        """Scores with positions as columns, so that sums run over rows; biases are a column more of the weights."""
+        return np.concatenate([weights, bias[:, None]], axis=1) @ h1.T
+
+    def _small(self) -> bool:
+        """No score can be so large that its exp is no number."""
+        return max((np.abs(w).sum(axis=-1) + np.abs(b)).max() for w, b in ((self.cls, self.cls_b), (self.tok, self.tok_b))) < 80
+
+    def _odds(self, weights: np.ndarray, bias: np.ndarray, h1: np.ndarray, small: bool) -> np.ndarray:
+        """exp of the scores, over their largest unless all are ``small``."""
+        z = self._scores(weights, bias, h1)
+        if not small:
+            z -= z.max(axis=0)
         return np.exp(z, out=z)
 
     def _by_class(self, target: np.ndarray):
@@ -108,64 +118,90 @@ class Network:
         order = np.argsort(c.astype(np.min_scalar_type(self.classes)), kind="stable")
         return order, list(packing.by_bucket(c[order]))
 
-    def _of_targets(self, z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _of_targets(self, weights: np.ndarray, bias: np.ndarray, h1: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
         """Log-probability of row ``at`` in each column."""
+        z = self._scores(weights, bias, h1)
         found = z[at, np.arange(len(at))]
-        top = z.max(axis=0)
-        z -= top
-        return found - top - np.log(np.exp(z, out=z).sum(axis=0))
+        if not small:
+            top = z.max(axis=0)
+            z -= top
+            found -= top
+        return found - np.log(np.exp(z, out=z).sum(axis=0))
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray, spelled: np.ndarray | None = None) -> np.ndarray:
         """Of the target numbers; or of the words themselves, given how the words without a number are ``spelled``."""
-        out = np.empty(len(target), np.float32)
+        out, small = np.empty(len(target), np.float32), self._small()
         order, parts = self._by_class(target)
-        h = self._hidden(around[:, order])
+        h1 = self._with_one(self._hidden(around[:, order]))
         c, t = target[order] // self.per_class, target[order] % self.per_class
-        got = self._of_targets(self.cls @ h.T + self.cls_b[:, None], c)
+        got = self._of_targets(self.cls, self.cls_b, h1, c, small)
         for k, rows in parts:
             if spelled is not None and k == self.classes - 1:
                 got[rows] += spelled[order[rows]]
             else:
-                got[rows] += self._of_targets(self.tok[k] @ h[rows].T + self.tok_b[k][:, None], t[rows])
+                got[rows] += self._of_targets(self.tok[k], self.tok_b[k], h1[rows], t[rows], small)
         out[order] = got
         return out
 
+    @staticmethod
+    def _with_one(h: np.ndarray) -> np.ndarray:
+        h1 = np.empty((len(h), DIM + 1), np.float32)
+        h1[:, :DIM], h1[:, DIM] = h, 1
+        return h1
+
     def step(self, around: np.ndarray, target: np.ndarray, rates: Rates) -> None:
-        """One descent step on the summed loss of a batch; each row goes by its own rate."""
-        order, parts = self._by_class(target)
+        """One descent step on the summed loss of a batch; each row goes by its own rate.
+
+        Biases are a column more of the weights.  Sums of the odds divide the small sides of
+        the products, and what targets take off is summed by target, so the odds themselves
+        are made, added up and multiplied, but never rewritten."""
+        per, last = self.per_class, self.classes - 1
+        order = np.argsort(target.astype(np.min_scalar_type(self.emb.shape[1])), kind="stable")
         around, target = around[:, order], target[order]
-        h = self._hidden(around)
-        c, t, at = target // self.per_class, target % self.per_class, np.arange(len(target))
-        g = self._odds(self.cls @ h.T + self.cls_b[:, None])
-        g /= g.sum(axis=0)
-        g[c, at] -= 1
-        gh = g.T @ self.cls
-        d_cls, d_cls_b = g @ h, g.sum(axis=1)
-        for k, rows in parts:
-            if k == self.classes - 1:
-                break  # a word without a number is spelled: of the network only its class counts
-            hk = h[rows]
-            g = self._odds(self.tok[k] @ hk.T + self.tok_b[k][:, None])
-            g /= g.sum(axis=0)
-            g[t[rows], at[: len(hk)]] -= 1
-            gh[rows] += g.T @ self.tok[k]
-            d, d_b = g @ hk, g.sum(axis=1)
-            rate = rates.of(rates.tok[k], (d * d).sum(axis=1) + d_b * d_b)
-            self.tok[k] -= rate[:, None] * d
-            self.tok_b[k] -= rate * d_b
-        rate = rates.of(rates.cls, (d_cls * d_cls).sum(axis=1) + d_cls_b * d_cls_b)
-        self.cls -= rate[:, None] * d_cls
-        self.cls_b -= rate * d_cls_b
+        h, c = self._hidden(around), target // per
+        h1, small = self._with_one(h), self._small()
+        starts, _ = packing.groups(target)
+        sums, of = np.add.reduceat(h1, starts, axis=0), target[starts]
+        odds = self._odds(self.cls, self.cls_b, h1, small)
+        part = 1 / odds.sum(axis=0)[:, None]
+        gh = odds.T @ self.cls
+        gh *= part
+        gh -= self.cls[c]
+        d_cls = odds @ (h1 * part)
+        firsts, _ = packing.groups(of // per)
+        d_cls[of[firsts] // per] -= np.add.reduceat(sums, firsts, axis=0)
+        d_tok = np.zeros((self.classes, per, DIM + 1), np.float32)
+        known = of < last * per  # a word without a number is spelled: of the network only its class counts
+        d_tok.reshape(-1, DIM + 1)[of[known]] = -sums[known]
+        for k, rows in packing.by_bucket(c):
+            if k == last:
+                break
+            odds = self._odds(self.tok[k], self.tok_b[k], h1[rows], small)
+            part = 1 / odds.sum(axis=0)[:, None]
+            d = odds.T @ self.tok[k]
+            d *= part
+            d -= self.tok[k][target[rows] - k * per]
+            gh[rows] += d
+            d_tok[k] += odds @ (h1[rows] * part)
+        rate = rates.of(rates.tok, (d_tok * d_tok).sum(axis=2))
+        self.tok -= rate[:, :, None] * d_tok[:, :, :DIM]
+        self.tok_b -= rate * d_tok[:, :, DIM]
+        rate = rates.of(rates.cls, (d_cls * d_cls).sum(axis=1))
+        self.cls -= rate[:, None] * d_cls[:, :DIM]
+        self.cls_b -= rate * d_cls[:, DIM]
         gh *= 1 - h * h
         d = gh.sum(axis=0)
         self.bias -= rates.of(rates.bias, (d * d).sum(keepdims=True)) * d
-        short = np.min_scalar_type(self.emb.shape[1])
+        short, by_place = np.min_scalar_type(self.emb.shape[1]), np.ascontiguousarray(gh.T)
         for j in range(2 * SIDE):
             # gradients of equal numbers are summed before they are taken off
             order = np.argsort(around[j].astype(short), kind="stable")
             near = around[j][order]
-            starts, _ = packing.groups(near)
-            d, rows = np.add.reduceat(gh[order], starts, axis=0), near[starts]
+            starts, number = packing.groups(near)
+            of = np.empty(len(near), np.int64)
+            of[order] = number
+            d = np.stack([np.bincount(of, g, len(starts)) for g in by_place], axis=1).astype(np.float32)
+            rows = near[starts]
             self.emb[j][rows] -= rates.of(rates.emb[j], (d * d).sum(axis=1), rows)[:, None] * d
 
 

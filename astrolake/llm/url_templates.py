@@ -8,7 +8,8 @@ The template tree of a host grows level by level over path segments.  Digits in
 segment become #; where a node has more than ``MAX_CHILDREN`` children, those with less
 than ``MIN_SHARE`` of its pages are variable and become one wildcard *.  Branches whose
 labelled share of blocked pages does not differ from that of their labelled siblings
-(|z| below ``MERGE_Z``) are merged into one branch ~.  The levels end at ``DEPTH``: what
+(|z| below ``MERGE_Z``) are merged into one branch ~.  Segments that are a * or ~ of their
+own get a backslash.  The levels end at ``DEPTH``: what
 remains of a path is one last segment.
 
 A template's purity is its share of blocked labels, smoothed by the host's share with
@@ -68,10 +69,12 @@ def templates(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
         labels, others = F.col("allow") + F.col("block"), F.col("all_allow") + F.col("all_block") - F.col("allow") - F.col("block")
         pooled = (F.col("all_block") + 0.5) / (F.col("all_allow") + F.col("all_block") + 1)
         z = F.abs(F.col("block") / labels - (F.col("all_block") - F.col("block")) / others) / F.sqrt(pooled * (1 - pooled) * (1 / labels + 1 / others))
+        # a segment that reads like a wildcard or a merged branch is none
+        literal = F.regexp_replace("segment", r"^(\\*[*~])$", r"\\$1")
         name = (
             F.when((F.col("children") > MAX_CHILDREN) & (F.col("n") < MIN_SHARE * F.col("all_n")), "*")
-            .when((labels > 0) & (others > 0), F.when(z < MERGE_Z, "~").otherwise(F.col("segment")))
-            .otherwise(F.col("segment"))
+            .when((labels > 0) & (others > 0), F.when(z < MERGE_Z, "~").otherwise(literal))
+            .otherwise(literal)
         )
         names = children.join(nodes, ["host", "node"]).select(F.col("host").alias("_h"), F.col("node").alias("_n"), F.col("segment").alias("_s"), name.alias("name"))
         joined = here.join(names, (here["host"] == names["_h"]) & (here["node"] == names["_n"]) & (here["segment"] == names["_s"]), "left")

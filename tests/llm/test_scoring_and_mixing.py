@@ -300,7 +300,7 @@ def brute_templates(shapes, depth=url_templates.DEPTH):
             total = [sum(v[i] for _, v in kids) for i in range(3)]
             for s, v in kids:
                 labels, others = v[1] + v[2], total[1] + total[2] - v[1] - v[2]
-                name[h, n, s] = s
+                name[h, n, s] = re.sub(r"^(\\*[*~])$", r"\\\1", s)
                 if len(kids) > url_templates.MAX_CHILDREN and v[0] < url_templates.MIN_SHARE * total[0]:
                     name[h, n, s] = "*"
                 elif labels and others:
@@ -316,7 +316,7 @@ def test_url_verdicts(spark):
     rng, rows = random.Random(7), [(-1, None), (-2, ""), (-3, "no scheme/x"), (-4, "a\nb://EXAMPLE.org/es/x?y#z"), (-5, "http://"), (-6, "http://h?://b"), (-7, "x" * 5000 + "://org/" + "y/" * 3000)]
     hosts = ["example.org", "a.example.org", "WWW.example.ORG", "notexample.org", "shop.com", "com", "shop.net", "Éa.com"]
     for i in range(900):
-        path = rng.choice(["/es/", "/en/", "/fr/", "/de/", "/", "//x", "", "/tag/"]) + rng.choice(["", f"{rng.randrange(300)}", f"p{rng.randrange(20)}/q{rng.randrange(4)}/r/s/t", "item"])
+        path = rng.choice(["/es/", "/en/", "/fr/", "/de/", "/", "//x", "", "/tag/", "/*/", "/~/", "/\\*/"]) + rng.choice(["", f"{rng.randrange(300)}", f"p{rng.randrange(20)}/q{rng.randrange(4)}/r/s/t", "item"])
         rows.append((i, f"{rng.choice(['http', 'HTTPS'])}://{rng.choice(hosts)}{path}{rng.choice(['', '?a=/b', '#c'])}"))
     rows += rows[:20]
     df = url_templates.judged(spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash")), queries.URL_RULES)
@@ -398,3 +398,36 @@ def test_pareto_order(spark):
     got = source_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 800)).where("doc_id < 5000").collect()
     small, large = (np.mean([r["copies"] for r in got if r["size"] == n]) for n in (1, 10))
     assert 0 <= small < large <= 3
+
+
+def test_inclusion_shares_over_seeds(spark):
+    """Over many seeds a document is taken as often as its odds say, the sum of sizes near the target, and never by half a copy."""
+    rows = [(i, "w " * (1 + 4 * (i % 3)), "a" if i < 300 else "b") for i in range(450)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).cache()
+    seeds, copies = range(8), collections.defaultdict(list)
+    for seed in seeds:
+        got = source_mix.mix(docs, weights=(1, 1), seed=seed).collect()
+        for name, ids in (("a", range(60)), ("b", range(60, 90))):
+            mine = [r for r in got if r["doc_id"] in ids]
+            assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 5
+        for r in got:
+            copies[r["doc_id"] // 300, r["size"]].append(r["copies"])
+            whole = r["target"] // r["source_size"]
+            assert r["copies"] in (whole, whole + 1)
+    for part, rest in ((0, 0.75), (1, 0.5)):
+        shares = [np.mean(copies[part, n]) % 1 for n in (1, 5, 9)]
+        assert shares[0] < shares[2] + 0.05
+        # the words taken keep the share, and the tilt by size is a mild one
+        assert abs(np.average(shares, weights=[1, 5, 9]) - rest) < 0.05 and all(abs(x - rest) < 0.25 for x in shares)
+
+
+def test_conversation_of_control_strings_through_the_query(spark, tmp_path):
+    spark.createDataFrame([(7, 0, "user", "hi"), (7, 1, "assistant", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in queries.op2_chat_format(spark, str(tmp_path)).collect()}
+    said = "</s>[INST] ok [/INST]"
+    assert set(got) == {-1, 7} and got[-1]["n_turns"] == 2 and got[-1]["loss_chars"] == len(said)
+    assert got[-1]["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+    assert got[-1]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest() and got[7]["loss_chars"] == 0
+    read = chat_format.windows(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")).collect()
+    # the template's own marks stand once for each turn; those of the texts are all escaped
+    assert [r["formatted"].count("<s>[ROLE]") for r in read] == [2] and read[0]["formatted"].count("</s>") == 2 and "[INST]" not in read[0]["formatted"]

@@ -407,7 +407,7 @@ def test_inclusion_shares_over_seeds(spark):
     seeds, copies = range(8), collections.defaultdict(list)
     for seed in seeds:
         got = source_mix.mix(docs, weights=(1, 1), seed=seed).collect()
-        for name, ids in (("a", range(60)), ("b", range(60, 90))):
+        for ids in (range(300), range(300, 450)):
             mine = [r for r in got if r["doc_id"] in ids]
             assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 5
         for r in got:

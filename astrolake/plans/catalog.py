@@ -7,6 +7,7 @@ a box of 256, and the rank of a 2 x 2 x 2 split.
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -472,13 +473,17 @@ def avg_and_total(spark, d):
 # stored tables: written, then read back with what the layout allows to skip
 
 
+_making = threading.RLock()
+
+
 def stored(spark: SparkSession, d: str, name: str, last: str, make: Callable[[str], None]) -> str:
     """Path of a table that a session's queries share: made once, ``last`` being what is written last."""
     told = hashlib.md5(f"{spark.sparkContext.applicationId}:{d}".encode()).hexdigest()[:16]
     path = f"{shared_folder(spark)}/catalog-{name}-{told}"
-    if not exists(spark, f"{path}/{last}"):
-        drop(spark, [path])
-        make(path)
+    with _making:
+        if not exists(spark, f"{path}/{last}"):
+            drop(spark, [path])
+            make(path)
     return path
 
 

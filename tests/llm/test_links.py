@@ -13,7 +13,7 @@ def linked_texts(rows):
     return {s: sum(s != o and 100 * len(s & o) >= 75 * len(s | o) for o in sets) for s in sets}
 
 
-@pytest.mark.parametrize("options", [{}, {"count_block": 30}])
+@pytest.mark.parametrize("options", [{}, {"count_block": 30}, {"block": 4, "all_pairs": 3}])
 def test_all_links_are_counted(spark, options):
     rng = random.Random(9)
     base, rows = [f"w{rng.randrange(400)}" for _ in range(200)], []

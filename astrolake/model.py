@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from astrolake.sources.shared import written
+from astrolake.sources.shared import broadcast_if_few, written
 
 #: Rows of a group that one task may sort, and rows of a range where a group has more.
 WINDOW_ROWS, CELL_ROWS = 1 << 23, 1 << 21
@@ -77,7 +77,7 @@ class Dataset:
         """
         rows = numbered(self.df, [self.rank], self.order, "_row_in_rank", "_rank_rows")
         ranks = self.ranks().select(F.col("_rank").alias("_r"), "rank_offset")
-        rows = rows.join(F.broadcast(ranks), F.col(self.rank).eqNullSafe(F.col("_r"))).drop("_r")
+        rows = rows.join(broadcast_if_few(ranks), F.col(self.rank).eqNullSafe(F.col("_r"))).drop("_r")
         rows = rows.withColumn("_rowid", F.col("rank_offset") + F.col("_row_in_rank") + 1).drop("rank_offset")
         if leaf is None:
             return rows.withColumn("_percent", F.col("_row_in_rank") / F.col("_rank_rows"))

@@ -12,6 +12,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from astrolake.sources.shared import broadcast_if_few
+
 LINEAR, CUBE = 1, 3
 #: Leading hexadecimal digits of the shuffled order that make a cell.
 CELL_DIGITS = 3
@@ -45,9 +47,7 @@ def first_shuffled(df: DataFrame, by: list[str], key: str, take, seed: int = 0)
     inside = keys.join(edges, same(names, [f"{n}e" for n in names]) & (F.col("_cell") == F.col("_edge")))
     placed = inside.withColumn("_k", F.row_number().over(whole.orderBy("_hash", "_key")))
     ends = placed.where("_k = _left").select(*names, F.col("_hash").alias("_last"), F.col("_key").alias("_last_key"))
-    few = ends.limit(BROADCAST_GROUPS + 1).collect()
-    if len(few) <= BROADCAST_GROUPS:
-        ends = F.broadcast(df.sparkSession.createDataFrame(few, ends.schema))
+    ends = broadcast_if_few(ends, BROADCAST_GROUPS)
     h = shuffle_key(key, seed)
     joined = df.join(ends, same([f"`{c}`" for c in by], names)).where((h < F.col("_last")) | ((h == F.col("_last")) & (F.col(key) <= F.col("_last_key"))))
     return joined.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -5,6 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a small side of a join that the driver may hold and broadcast.
+FEW = 1 << 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,3 +49,9 @@ def written(df: DataFrame, name: str, made: list[str] | None = None) -> DataFram
     if made is not None:
         made.append(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def broadcast_if_few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df`` taken to the driver and broadcast if it has ``most`` rows or fewer; else ``df`` as it is."""
+    few = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(few, df.schema)) if len(few) <= most else df

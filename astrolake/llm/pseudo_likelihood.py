@@ -45,6 +45,8 @@ DIM, SIDE = 16, 2
 ROUNDS, MASKED, BATCH, SEED = 1, 1, 1 << 14, 3
 #: Step length of a row whose gradients have all been alike.
 RATE = 0.2
+#: Positions whose odds are made at a time, so that they stay in a core's cache.
+WIDTH = 512
 #: Positions that the common start is learned from, in batches of so many, and how often at most a smaller corpus is gone over for it.
 START_POSITIONS, START_BATCH, START_PASSES = 1 << 19, 1024, 8
 #: Words with a number of their own at most; the network stays under 100 MB, and all other words are spelled.
@@ -120,13 +122,17 @@ class Network:
 
     def _of_targets(self, weights: np.ndarray, bias: np.ndarray, h1: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
         """Log-probability of row ``at`` in each column."""
-        z = self._scores(weights, bias, h1)
-        found = z[at, np.arange(len(at))]
-        if not small:
-            top = z.max(axis=0)
-            z -= top
-            found -= top
-        return found - np.log(np.exp(z, out=z).sum(axis=0))
+        found = np.empty(len(at), np.float32)
+        for a in range(0, len(at), WIDTH):
+            some = slice(a, a + WIDTH)
+            z = self._scores(weights, bias, h1[some])
+            of = z[at[some], np.arange(z.shape[1])]
+            if not small:
+                top = z.max(axis=0)
+                z -= top
+                of -= top
+            found[some] = of - np.log(np.exp(z, out=z).sum(axis=0))
+        return found
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray, spelled: np.ndarray | None = None) -> np.ndarray:
         """Of the target numbers; or of the words themselves, given how the words without a number are ``spelled``."""
@@ -162,12 +168,15 @@ class Network:
         h1, small = self._with_one(h), self._small()
         starts, _ = packing.groups(target)
         sums, of = np.add.reduceat(h1, starts, axis=0), target[starts]
-        odds = self._odds(self.cls, self.cls_b, h1, small)
-        part = 1 / odds.sum(axis=0)[:, None]
-        gh = odds.T @ self.cls
-        gh *= part
+        gh, d_cls = np.empty_like(h), np.zeros((self.classes, DIM + 1), np.float32)
+        for a in range(0, len(c), WIDTH):
+            near = h1[a : a + WIDTH]
+            odds = self._odds(self.cls, self.cls_b, near, small)
+            part = 1 / odds.sum(axis=0)[:, None]
+            np.matmul(odds.T, self.cls, out=gh[a : a + WIDTH])
+            gh[a : a + WIDTH] *= part
+            d_cls += odds @ (near * part)
         gh -= self.cls[c]
-        d_cls = odds @ (h1 * part)
         firsts, _ = packing.groups(of // per)
         d_cls[of[firsts] // per] -= np.add.reduceat(sums, firsts, axis=0)
         d_tok = np.zeros((self.classes, per, DIM + 1), np.float32)
@@ -176,13 +185,15 @@ class Network:
         for k, rows in packing.by_bucket(c):
             if k == last:
                 break
-            odds = self._odds(self.tok[k], self.tok_b[k], h1[rows], small)
-            part = 1 / odds.sum(axis=0)[:, None]
-            d = odds.T @ self.tok[k]
-            d *= part
-            d -= self.tok[k][target[rows] - k * per]
-            gh[rows] += d
-            d_tok[k] += odds @ (h1[rows] * part)
+            for a in range(rows.start, rows.stop, WIDTH):
+                some = slice(a, min(a + WIDTH, rows.stop))
+                odds = self._odds(self.tok[k], self.tok_b[k], h1[some], small)
+                part = 1 / odds.sum(axis=0)[:, None]
+                d = odds.T @ self.tok[k]
+                d *= part
+                d -= self.tok[k][target[some] - k * per]
+                gh[some] += d
+                d_tok[k] += odds @ (h1[some] * part)
         rate = rates.of(rates.tok, (d_tok * d_tok).sum(axis=2))
         self.tok -= rate[:, :, None] * d_tok[:, :, :DIM]
         self.tok_b -= rate * d_tok[:, :, DIM]

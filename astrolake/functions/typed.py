@@ -80,6 +80,7 @@ def flatten_vector(df: DataFrame, column: str, length: int) -> DataFrame:
     return df.select(*others, *[F.get(F.col(column), F.lit(i)).alias(f"{column}{n}") for i, n in enumerate(names)])
 
 
+#: Fixed value: the reflected polynomial of ECMA-182.
 _CRC_POLYNOMIAL = 0xC96C5795D7870F42
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from astrolake.functions.typed import parse
 
+#: The names of the criteria.
 IS, AT_LEAST, AT_MOST, BETWEEN = "is", "greater or equal to", "less or equal to", "is between"
 
 

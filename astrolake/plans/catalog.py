@@ -487,12 +487,12 @@ def stored(spark: SparkSession, d: str, name: str, last: str, make: Callable[[st
     return path
 
 
-#: Rows of a block of the small tables stored here.
-SMALL_BLOCK = 256
+#: Rows of a block of the tables stored here, which the SQL of some queries fixes, and of a directory, which holds many of them.
+SMALL_BLOCK, FILE_ROWS = 256, 1 << 20
 
 
 def stored_octree(spark: SparkSession, d: str) -> str:
-    return stored(spark, d, "octree", "_table", lambda path: ranked.write(Dataset(leaves(spark, d)), path, leaf_key="id", block_rows=SMALL_BLOCK))
+    return stored(spark, d, "octree", "_table", lambda path: ranked.write(Dataset(leaves(spark, d)), path, leaf_key="id", block_rows=SMALL_BLOCK, file_rows=FILE_ROWS))
 
 
 @query(f"WITH {PARTICLES} SELECT id, x, y, z FROM particles WHERE x BETWEEN 64 AND 128 AND y BETWEEN 0 AND 63.5 AND z BETWEEN 190 AND 256")
@@ -557,7 +557,7 @@ def stored_leaf_prefix(spark, d):
 
 
 def stored_shuffled(spark: SparkSession, d: str) -> str:
-    return stored(spark, d, "shuffled", "_table", lambda path: ranked.write(events(spark, d), path, shuffled_by="event_id", block_rows=SMALL_BLOCK))
+    return stored(spark, d, "shuffled", "_table", lambda path: ranked.write(events(spark, d), path, shuffled_by="event_id", block_rows=SMALL_BLOCK, file_rows=FILE_ROWS))
 
 
 @query(_sample_sql(EVENTS, "ranked", "event_id", 0.3**3))
@@ -576,7 +576,7 @@ def _damage(df: DataFrame) -> DataFrame:
 
 def stored_copy(spark: SparkSession, d: str) -> str:
     """The stored octree with some values changed in place."""
-    return stored(spark, d, "copy", "_table", lambda path: ranked.write(Dataset(_damage(leaves(spark, d))), path, leaf_key="id", block_rows=SMALL_BLOCK))
+    return stored(spark, d, "copy", "_table", lambda path: ranked.write(Dataset(_damage(leaves(spark, d))), path, leaf_key="id", block_rows=SMALL_BLOCK, file_rows=FILE_ROWS))
 
 
 @query(STORED + """, hit AS (SELECT _rank, k // 256 AS b, max(n) AS n FROM stored GROUP BY _rank, k // 256 HAVING bool_or(id % 997 = 5))
@@ -751,7 +751,7 @@ def stored_other_codec(spark, d):
 @query(f"""WITH {PARTICLES}, s AS (SELECT id, _rank AS _source_rank, CASE WHEN _rank < 2 THEN 0 WHEN _rank < 5 THEN 1 ELSE 2 END AS _rank FROM particles)
 SELECT id, _rank, (row_number() OVER (PARTITION BY _rank ORDER BY _source_rank, id) - 1)::bigint AS _row_in_rank FROM s""")
 def stored_reshard(spark, d):
-    path = stored(spark, d, "reshard", "_table", lambda path: ranked.write(redistribute.reranked(Dataset(particles(spark, d)), 8, 3), path, block_rows=SMALL_BLOCK))
+    path = stored(spark, d, "reshard", "_table", lambda path: ranked.write(redistribute.reranked(Dataset(particles(spark, d)), 8, 3), path, block_rows=SMALL_BLOCK, file_rows=FILE_ROWS))
     return ranked.read(spark, path).df.select("id", "_rank", "_row_in_rank")
 
 

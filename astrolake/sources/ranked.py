@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from astrolake.model import Dataset
 
 
-#: Rows of a block: a directory of one file, which one task writes.
+#: Rows of a block: the unit of extents, digests and comparisons, and unless told otherwise a directory of one file, which one task writes.
 BLOCK_ROWS = 1 << 22
 #: Blocks that a read picks by a broadcast; more of them are picked by a shuffle.
 BROADCAST_BLOCKS = 1 << 16
@@ -21,18 +21,23 @@ BROADCAST_BLOCKS = 1 << 16
 HIDDEN = ["_row_in_rank", "_rank_rows", "_rowid", "_percent"]
 
 
-def write(data: Dataset, path: str, compression: str = "zstd", leaf_key: str | None = None, shuffled_by: str | None = None, block_rows: int = BLOCK_ROWS) -> None:
+def write(data: Dataset, path: str, compression: str = "zstd", leaf_key: str | None = None, shuffled_by: str | None = None, block_rows: int = BLOCK_ROWS, file_rows: int | None = None) -> None:
     """Store a table with its positions, so that rank, row range and percent filters are plain scan filters.
 
-    Rows of a rank stand in blocks of ``block_rows``: directories ``_rank``, ``_block`` (rows of
-    the table before it), each written by one task, so a large rank is written by many.  Beside
-    the rows goes a table of
-    parts (rows of a block, with ``leaf_key`` of one leaf in a block): first row, rows, extent
-    and digest.  Reads that need some blocks only, counts, extents and comparisons start there.
+    Rows of a rank stand in directories ``_rank``, ``_block`` (rows of the table before it) of
+    ``file_rows``, each written by one task, so a large rank is written by many.  A directory
+    holds one block of ``block_rows``, or a whole number of them where ``file_rows`` is larger:
+    fine blocks cost rows of the table of parts, not files.  Beside the rows goes that table of
+    parts (rows of a block, with ``leaf_key`` of one leaf in a block): first row, rows, extent,
+    digest and ``_held``, the directory.  Reads that need some blocks only, counts, extents and
+    comparisons start there.
 
     With ``leaf_key`` the order of rows is that of leaves, shuffled inside a leaf; with
     ``shuffled_by`` it is the shuffled order of the whole rank.  Positions, percents and row
     ids follow it.  Pages carry checksums, which readers verify."""
+    file_rows = block_rows if file_rows is None else file_rows
+    if file_rows % block_rows:
+        raise ValueError("a directory holds whole blocks")
     if leaf_key is not None and (not set(data.roles) >= set("xyz") or "_leaf_id" not in data.df.columns):
         raise ValueError("an octree needs the roles x, y, z and assigned leaves")
     if key := leaf_key or shuffled_by:
@@ -41,34 +46,43 @@ def write(data: Dataset, path: str, compression: str = "zstd", leaf_key: str | N
         data = replace(data, df=data.df.withColumn("_shuffle", shuffle_key(key)), order=(*(["_leaf_id"] if leaf_key else []), "_shuffle", key))
     rows = data.extended().drop("_shuffle")
     rows = rows.withColumnRenamed(data.rank, "_rank") if data.rank != "_rank" else rows
-    rows = rows.withColumn("_block", F.col("_rowid") - 1 - F.pmod(F.col("_row_in_rank"), F.lit(block_rows)))
-    n_blocks = data.ranks().agg(F.sum(F.ceil(F.col("n_rows") / block_rows))).first()[0]
-    rows = rows.repartition(int(max(n_blocks or 0, 1)), "_rank", "_block").sortWithinPartitions("_rank", "_block", "_row_in_rank")
+    rows = rows.withColumn("_block", block_of(file_rows))
+    n_files = data.ranks().agg(F.sum(F.ceil(F.col("n_rows") / file_rows))).first()[0]
+    rows = rows.repartition(int(max(n_files or 0, 1)), "_rank", "_block").sortWithinPartitions("_rank", "_block", "_row_in_rank")
     rows.write.partitionBy("_rank", "_block").option("compression", compression).option("parquet.page.write-checksum.enabled", "true").parquet(path)
     spark = data.df.sparkSession
-    part_table(spark.read.schema(rows.schema).parquet(path), data.roles).write.parquet(f"{path}/_parts")
+    part_table(spark.read.schema(rows.schema).parquet(path), data.roles, block_rows).write.parquet(f"{path}/_parts")
     order = [c for c in data.order if c != "_shuffle"]
     sidecar = json.dumps({"roles": data.roles, "order": order, "origin": list(data.origin), "scale": list(data.scale), "block_rows": block_rows})
     spark.createDataFrame([(sidecar,)], "value string").coalesce(1).write.text(f"{path}/_table")
 
 
+def block_of(n: int) -> Column:
+    """Rows of the table before the block of ``n`` rows that a stored row is in."""
+    return F.col("_rowid") - 1 - F.pmod(F.col("_row_in_rank"), F.lit(n))
+
+
 def part_keys(df: DataFrame) -> list[str]:
     return ["_rank", "_block", *(["_leaf_id"] if "_leaf_id" in df.columns else [])]
 
 
-def part_table(stored: DataFrame, roles: dict[str, str]) -> DataFrame:
-    """first_row, n_rows, min_x .. max_z (of role columns) and digest of the rows of every part."""
+def part_table(stored: DataFrame, roles: dict[str, str], block_rows: int) -> DataFrame:
+    """_held (directory), first_row, n_rows, min_x .. max_z (of role columns) and digest of the rows of every part."""
     from astrolake.operators.compare import row_hash
 
     extent = [f(F.col(f"`{roles[a]}`").cast("double")).alias(f"{n}_{a}") for a in "xyz" if a in roles for n, f in (("min", F.min), ("max", F.max))]
     h = row_hash([c for c in stored.columns if c not in (*HIDDEN, "_rank", "_block")])
     digest = [F.sum(h.cast("decimal(38,0)")).alias("sum_hash"), F.bit_xor(h).alias("xor_hash")]
-    return stored.groupBy(*part_keys(stored)).agg(F.min("_row_in_rank").alias("first_row"), F.count(F.lit(1)).alias("n_rows"), *extent, *digest)
+    stored = stored.withColumnRenamed("_block", "_held").withColumn("_block", block_of(block_rows))
+    return stored.groupBy(*part_keys(stored), "_held").agg(F.min("_row_in_rank").alias("first_row"), F.count(F.lit(1)).alias("n_rows"), *extent, *digest)
 
 
 def parts(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table of parts: it is as long as the table has blocks, and occupied leaves."""
-    return spark.read.parquet(f"{path}/_parts")
+    """The stored table of parts: it is as long as the table has blocks, and occupied leaves.
+
+    Tables from before directories of several blocks have one directory for each."""
+    found = spark.read.parquet(f"{path}/_parts")
+    return found if "_held" in found.columns else found.withColumn("_held", F.col("_block"))
 
 
 def _over(found: DataFrame, *keys: str) -> DataFrame:
@@ -78,8 +92,13 @@ def _over(found: DataFrame, *keys: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
-    """_rank, _block, first_row, n_rows, extent and digest of every block."""
-    return _over(parts(spark, path), "_rank", "_block")
+    """_rank, _block, _held, first_row, n_rows, extent and digest of every block."""
+    return _over(parts(spark, path), "_rank", "_block", "_held")
+
+
+def directories(spark: SparkSession, path: str) -> DataFrame:
+    """_rank, _block, first_row, n_rows, extent and digest of every directory, under the name that its rows have."""
+    return _over(parts(spark, path), "_rank", "_held").withColumnRenamed("_held", "_block")
 
 
 def counts(spark: SparkSession, path: str) -> DataFrame:
@@ -92,7 +111,7 @@ def header(spark: SparkSession, path: str) -> DataFrame:
     """(section, name, value) of what stands beside the rows: table (rows, blocks, box, roles), columns with their types, ranks with their rows, leaves with theirs."""
     from astrolake.functions.typed import type_label
 
-    told = json.loads(spark.read.text(f"{path}/_table").first()["value"])
+    told = _told(spark, path)
     fields = [f for f in read(spark, path).df.schema.fields if f.name not in (*HIDDEN, "_block")]
     rows = [("table", "block_rows", str(told["block_rows"])), ("table", "order", ",".join(told["order"]))]
     rows += [("table", f"origin_{a}", str(o)) for a, o in zip("xyz", told["origin"], strict=True)] + [("table", f"scale_{a}", str(o)) for a, o in zip("xyz", told["scale"], strict=True)]
@@ -108,37 +127,48 @@ def header(spark: SparkSession, path: str) -> DataFrame:
     return reduce(DataFrame.unionByName, all_of)
 
 
+def _few(wanted: DataFrame) -> DataFrame:
+    """Marked for a broadcast, if it has up to ``BROADCAST_BLOCKS`` rows."""
+    return F.broadcast(wanted) if wanted.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS else wanted
+
+
 def picked(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """Rows of the blocks that ``wanted`` (_rank, _block, repeated at will) names.
+    """Rows of the directories that ``wanted`` (_rank, _block, repeated at will) names.
 
     Up to ``BROADCAST_BLOCKS`` are broadcast; the scan then takes its directories from them
     by dynamic partition pruning.  More of them are joined by a shuffle."""
     wanted = wanted.select("_rank", "_block").where("_block >= 0").distinct()
-    small = len(wanted.limit(BROADCAST_BLOCKS + 1).collect()) <= BROADCAST_BLOCKS
-    return read(spark, path).df.join(F.broadcast(wanted) if small else wanted, ["_rank", "_block"], "left_semi")
+    return read(spark, path).df.join(_few(wanted), ["_rank", "_block"], "left_semi")
+
+
+def picked_blocks(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """Rows of the blocks that ``wanted`` (of ``blocks``, repeated at will) names; only their directories are read."""
+    data = picked(spark, path, wanted.select("_rank", F.col("_held").alias("_block")))
+    wanted = wanted.select("_rank", F.col("_block").alias("_in")).distinct()
+    return data.withColumn("_in", block_of(block_rows(spark, path))).join(_few(wanted), ["_rank", "_in"], "left_semi").drop("_in")
 
 
 def sample(spark: SparkSession, path: str, share: float, power: int = 1) -> DataFrame:
     """Exactly round(n * share**power) rows of every rank of a table stored with ``shuffled_by``.
 
-    They are the first ones, so samples of rising shares hold each other, and only the blocks
-    in front are read."""
+    They are the first ones, so samples of rising shares hold each other, and only the
+    directories in front are read."""
     part = F.lit(float(share) ** power)
     ranks = _over(parts(spark, path), "_rank").select("_rank", F.round(F.col("n_rows") * part).alias("_take"))
-    wanted = blocks(spark, path).join(ranks, "_rank").where(F.col("first_row") < F.col("_take"))
+    wanted = directories(spark, path).join(ranks, "_rank").where(F.col("first_row") < F.col("_take"))
     return picked(spark, path, wanted).where(F.col("_row_in_rank") < F.round(F.col("_rank_rows") * part))
 
 
 def leaf_prefix(spark: SparkSession, path: str, share: float) -> DataFrame:
     """First trunc(n * share) rows of every leaf of a stored octree.
 
-    Leaves are ranges of positions, and blocks are bins of them: the parts of leaves that
-    hold wanted positions meet the rows by block and leaf, and blocks without any are not read."""
+    Leaves are ranges of positions, and directories are bins of them: the leaves in
+    directories that hold wanted positions meet the rows, and directories without any are not read."""
     leaf = Window.partitionBy("_rank", "_leaf_id")
-    ends = parts(spark, path).withColumn("_end", F.min("first_row").over(leaf) + F.floor(F.sum("n_rows").over(leaf) * F.lit(float(share))))
+    found = _over(parts(spark, path), "_rank", "_held", "_leaf_id").withColumnRenamed("_held", "_block")
+    ends = found.withColumn("_end", F.min("first_row").over(leaf) + F.floor(F.sum("n_rows").over(leaf) * F.lit(float(share))))
     wanted = ends.where(F.col("first_row") < F.col("_end")).select("_rank", "_block", "_leaf_id", "_end")
-    small = len(wanted.limit(BROADCAST_BLOCKS + 1).collect()) <= BROADCAST_BLOCKS
-    return read(spark, path).df.join(F.broadcast(wanted) if small else wanted, ["_rank", "_block", "_leaf_id"]).where(F.col("_row_in_rank") < F.col("_end")).drop("_end")
+    return read(spark, path).df.join(_few(wanted), ["_rank", "_block", "_leaf_id"]).where(F.col("_row_in_rank") < F.col("_end")).drop("_end")
 
 
 def _same_digest(a: str, b: str) -> Column:
@@ -161,9 +191,9 @@ def differing_blocks(spark: SparkSession, a: str, b: str) -> DataFrame:
 
 
 def differing_rows(spark: SparkSession, a: str, b: str) -> DataFrame:
-    """Rows (without hidden columns) that ``a`` has more often than ``b``; only blocks that differ are read of either."""
+    """Rows (without hidden columns) that ``a`` has more often than ``b``; only blocks that differ are compared, and only their directories read."""
     wanted = differing_blocks(spark, a, b).select("_rank", "first_row")
-    found = [picked(spark, p, blocks(spark, p).join(wanted, ["_rank", "first_row"], "left_semi")) for p in (a, b)]
+    found = [picked_blocks(spark, p, blocks(spark, p).join(wanted, ["_rank", "first_row"], "left_semi")) for p in (a, b)]
     columns = [c for c in found[0].columns if c not in (*HIDDEN, "_block")]
     return found[0].select(*columns).exceptAll(found[1].select(*columns))
 
@@ -171,16 +201,24 @@ def differing_rows(spark: SparkSession, a: str, b: str) -> DataFrame:
 def damaged(spark: SparkSession, path: str) -> DataFrame:
     """(_rank, first_row, last_row) of blocks whose rows no longer give the digest stored with them."""
     data = read(spark, path)
-    now = part_table(data.df, data.roles)
+    now = part_table(data.df, data.roles, block_rows(spark, path))
     joined = parts(spark, path).alias("a").join(now.alias("b"), part_keys(now), "full").where(~_same_digest("a", "b"))
     end = [F.col(f"{t}.first_row") + F.col(f"{t}.n_rows") - 1 for t in "ab"]
     found = joined.select("_rank", "_block", F.least("a.first_row", "b.first_row").alias("first_row"), F.greatest(*end).alias("last_row"))
     return found.groupBy("_rank", "_block").agg(F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row")).drop("_block")
 
 
+def _told(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/_table").first()["value"])
+
+
+def block_rows(spark: SparkSession, path: str) -> int:
+    return _told(spark, path)["block_rows"]
+
+
 def read(spark: SparkSession, path: str) -> Dataset:
     """The table with roles and box; wrong page checksums fail the read."""
-    meta = json.loads(spark.read.text(f"{path}/_table").first()["value"])
+    meta = _told(spark, path)
     df = spark.read.option("parquet.page.verify-checksum.enabled", "true").parquet(path)
     return Dataset(df, "_rank", tuple(meta["order"]), meta["roles"], tuple(meta["origin"]), tuple(meta["scale"]))
 
@@ -262,12 +300,12 @@ def register(data: Dataset, name: str) -> None:
 def register_stored(spark: SparkSession, path: str, name: str) -> None:
     """The views of ``register``, and for SQL a table function ``name_region(x0, x1, y0, y1, z0, z1)``: rows of the closed box.
 
-    It joins the rows with the blocks whose extent meets the box, so a query with it reads only their
-    directories (dynamic partition pruning), which a condition on x, y, z of a view alone cannot do."""
+    It joins the rows with the directories whose extent meets the box, so a query with it reads only
+    these (dynamic partition pruning), which a condition on x, y, z of a view alone cannot do."""
     data = read(spark, path)
     register(data, name)
     data.df.createOrReplaceTempView(f"{name}_stored")
-    blocks(spark, path).createOrReplaceTempView(f"{name}_blocks")
+    directories(spark, path).createOrReplaceTempView(f"{name}_blocks")
     kept = [f for f in data.df.schema.fields if f.name not in (*HIDDEN, "_block")]
     bounds = [(a, f"{a}0", f"{a}1") for a in "xyz"]
     meets = " AND ".join(f"b.max_{a} >= {name}_region.{lo} AND b.min_{a} <= {name}_region.{hi}" for a, lo, hi in bounds)

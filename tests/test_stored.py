@@ -1,5 +1,6 @@
 """Stored tables: what is read, what is compared, and CRCs of columns."""
 
+import os
 import random
 
 import pytest
@@ -64,6 +65,64 @@ def test_blocks_cover_ranks(spark, rows, path):
     assert len(files) == len(found) == len(stored.df.inputFiles())
 
 
+@pytest.fixture(scope="module")
+def coarse(box, rows, tmp_path_factory):
+    """The same table and blocks in directories of four blocks."""
+    at = f"{tmp_path_factory.mktemp('coarse')}/t"
+    ranked.write(box.with_df(rows), at, leaf_key="id", block_rows=16, file_rows=64)
+    return at
+
+
+def test_directories_hold_many_blocks(spark, box, rows, path, coarse, tmp_path):
+    assert compare.identical(ranked.blocks(spark, coarse).drop("_held"), ranked.blocks(spark, path).drop("_held"))
+    assert compare.identical(ranked.header(spark, coarse), ranked.header(spark, path))
+    sizes = [r["n"] for r in box.with_df(rows).ranks().select(F.ceil(F.col("n_rows") / 64).alias("n")).collect()]
+    stored = ranked.read(spark, coarse).df
+    assert len(stored.inputFiles()) == sum(sizes) < ranked.blocks(spark, coarse).count()
+    assert compare.identical(stored.drop("_block"), ranked.read(spark, path).df.drop("_block"))
+    for share in (0.0, 0.1, 1.0):
+        assert compare.identical(ranked.leaf_prefix(spark, coarse, share).select("id"), ranked.leaf_prefix(spark, path, share).select("id"))
+    ranked.register_stored(spark, coarse, "coarse")
+    narrow = spark.sql("SELECT id FROM coarse_region(10, 20, 0, 50, 100, 200)")
+    assert compare.identical(narrow, octree.region_rows(rows, [F.col(a) for a in AXES], (10.0, 20.0, 0.0, 50.0, 100.0, 200.0)).select("id"))
+    assert 0 < scanned(narrow) < rows.count()
+    for name, rows_of in (("s", 16), ("f", 64)):
+        ranked.write(box, f"{tmp_path}/{name}", shuffled_by="id", block_rows=16, file_rows=rows_of)
+    assert compare.identical(ranked.sample(spark, f"{tmp_path}/s", 0.1).select("id"), ranked.sample(spark, f"{tmp_path}/f", 0.1).select("id"))
+    assert 0 < scanned(ranked.sample(spark, f"{tmp_path}/f", 0.1)) <= 8 * 64
+    with pytest.raises(ValueError):
+        ranked.write(box, f"{tmp_path}/w", block_rows=16, file_rows=40)
+
+
+@pytest.mark.parametrize("few", [1 << 16, 0])
+def test_blocks_of_a_directory_are_compared(spark, box, rows, coarse, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(ranked, "BROADCAST_BLOCKS", few)
+    other = f"{tmp_path}/o"
+    wrong = rows.withColumn("phi", F.when(F.col("id").isin(5, 700), -1.0).otherwise(F.col("phi")).cast("float"))
+    ranked.write(box.with_df(wrong), other, leaf_key="id", block_rows=16, file_rows=64)
+    places = {(r["_rank"], r["_row_in_rank"] // 16 * 16) for r in ranked.read(spark, coarse).df.where("id in (5, 700)").collect()}
+    assert {(r["_rank"], r["first_row"]) for r in ranked.differing_blocks(spark, coarse, other).collect()} == places
+    assert {r["id"] for r in ranked.differing_rows(spark, coarse, other).collect()} == {5, 700}
+    assert ranked.picked_blocks(spark, coarse, ranked.blocks(spark, coarse).where("first_row = 16")).select("_row_in_rank").distinct().count() == 16
+    assert ranked.damaged(spark, other).count() == 0
+    hit = ranked.read(spark, other).df.where("_rank = 3 AND _row_in_rank BETWEEN 64 AND 127")
+    block, kept = hit.first()["_block"], hit.drop("_rank", "_block")
+    changed = kept.withColumn("x", F.when(F.col("_row_in_rank") == 77, F.lit(1.5)).otherwise(F.col("x")).cast("float")).collect()
+    spark.createDataFrame(changed, kept.schema).coalesce(1).write.mode("overwrite").parquet(f"{other}/_rank=3/_block={block}")
+    spark.catalog.refreshByPath(other)
+    got = [tuple(r) for r in ranked.damaged(spark, other).select("_rank", "first_row", "last_row").collect()]
+    assert len(got) == 1 and got[0][0] == 3 and 64 <= got[0][1] <= 77 <= got[0][2] <= 79
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_files_of_the_catalog_do_not_follow_blocks(spark):
+    from astrolake.plans import catalog
+
+    for make in (catalog.stored_octree, catalog.stored_shuffled):
+        at = make(spark, "/root/testdata/sf0.01")
+        assert len(ranked.read(spark, at).df.inputFiles()) == 8 < ranked.blocks(spark, at).count()
+
+
 def test_leaf_prefix_reads_less(spark, rows, path):
     got = ranked.leaf_prefix(spark, path, 0.1)
     assert compare.identical(got.select("id"), sampling.leaf_prefix(rows, 0.1, "id", ["_rank", "_leaf"]).select("id"))

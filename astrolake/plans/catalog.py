@@ -593,12 +593,12 @@ def verify_block_rows(spark, d):
 @query(f"WITH {_CHANGED}, x AS (SELECT id, count(*) AS n, sum(x) AS v FROM a GROUP BY id), y AS (SELECT id, count(*) AS n, sum(x) AS v FROM b GROUP BY id) SELECT id, coalesce(x.n, 0) AS n_a, coalesce(y.n, 0) AS n_b FROM x FULL JOIN y USING (id) WHERE x.v IS DISTINCT FROM y.v")
 def stored_compare(spark, d):
     a, b = _changed(spark, d)
-    names = []
+    names, buckets = [], bucketed.buckets_for(a, b)
     for part, df in (("first", a), ("second", b)):
         path = stored(spark, d, f"bucketed-{part}", "_SUCCESS", lambda path: None)
         names.append(f"stored_{part}_{path[-16:]}")
         if not (spark.catalog.tableExists(names[-1]) and exists(spark, f"{path}/_SUCCESS")):
-            bucketed.write(df, names[-1], path, "id", 8)
+            bucketed.write(df, names[-1], path, "id", buckets)
     return bucketed.differing_keys(spark, *names, "id")
 
 

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from astrolake.operators.compare import row_hash
 
 
+#: Rows of a bucket, which one task sorts and compares.
+BUCKET_ROWS = 1 << 18
+
+
+def buckets_for(*tables: DataFrame, least: int = 8) -> int:
+    """Buckets for tables that are to be compared: as many as the rows of the longest ask for."""
+    return max(least, *[-(-t.count() // BUCKET_ROWS) for t in tables])
+
+
 def write(df: DataFrame, table: str, path: str, key: str, buckets: int) -> None:
     """An external table of the session's catalog: one sorted file for each bucket of the key."""
     df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("overwrite").option("path", path).saveAsTable(table)

@@ -270,6 +270,21 @@ def test_buckets_are_compared_in_place(spark, tmp_path):
         spark.sql(f"DROP TABLE {n}")
 
 
+def test_buckets_follow_rows(spark, monkeypatch):
+    from astrolake.plans import catalog
+
+    assert bucketed.buckets_for(spark.range(5), spark.range(0)) == 8
+    monkeypatch.setattr(bucketed, "BUCKET_ROWS", 100)
+    assert bucketed.buckets_for(spark.range(5), spark.range(1201)) == 13
+    orders = spark.range(1500).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.col("id").cast("double").alias("o_totalprice"))
+    monkeypatch.setattr(catalog, "table", lambda spark, d, name: orders)
+    got = catalog.stored_compare(spark, "of 1500 orders")
+    assert got.count() == sum(i % 100 == 7 or i % 50 == 3 for i in range(1500))
+    kept = [t.name for t in spark.catalog.listTables() if t.name.startswith(("stored_first_", "stored_second_"))]
+    told = [{r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {t}").collect()}.get("Num Buckets") for t in kept]
+    assert told.count("15") == 2
+
+
 def test_crc_of_pieces():
     import numpy as np
 

@@ -29,7 +29,8 @@ from astrolake.model import Dataset, numbered
 from astrolake.operators.sampling import shuffle_key
 from astrolake.sources.shared import _file_system
 
-FILE_ROWS = 1 << 22
+#: Rows that one task of a run sorts and writes.
+FILE_ROWS = 1 << 20
 #: Live cells that a read picks by a broadcast; more of them are picked by a shuffle.
 BROADCAST_CELLS = 1 << 16
 

@@ -82,6 +82,14 @@ def test_growing_conflicts_and_cases(spark, box, rows, tmp_path):
     assert "dynamicpruning" in plan
 
 
+def test_runs_are_written_by_tasks_of_bounded_size(spark, tmp_path):
+    n = (1 << 20) + (1 << 18)
+    rows = spark.range(n).select("id", *[F.lit(1.0).alias(a) for a in AXES], F.lit(0).alias("_rank"), F.lit(0).alias("_leaf_id"))
+    growing.create(Dataset(rows), f"{tmp_path}/b", "id")
+    sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/b/runs").groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 1 << 20
+
+
 def stepped(seed):
     rng = random.Random(seed)
     rows = []

@@ -105,3 +105,22 @@ def test_large_leaf_numbers(spark):
     df = spark.createDataFrame([(255.99, 255.99, 255.99)], "x double, y double, z double")
     got = octree.assign_leaf(octree.rank_grid(df, AXES, parts=4), AXES, 11, parts=4).first()
     assert got["_leaf_id"] == 63 * 8**10 + 8**10 - 1
+
+
+@pytest.mark.parametrize("options", [{"most_copies": 2}, {"most_copies": 2, "broadcast_cells": 0, "heavy_points": 7}])
+def test_boxes_of_equal_bounds(given, options):
+    points, found, p, b = given
+    b = b.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("box_id") % 7).cast("int"))))
+    got = sorted(tuple(r) for r in boxes.box_join(p, b, AXES, **options).select("box_id", "copy", "x0", "z1", "id").collect())
+    assert got == sorted((q[0], n, q[1], q[6], r[0]) for q in found for n in range(q[0] % 7 + 1) for r in points if inside(r[1:], q[1:], False))
+    lists = boxes.copies(b, most=2).select("x0", F.size("_copies").alias("n")).collect()
+    assert sum(r["n"] for r in lists) == sum(q[0] % 7 + 1 for q in found if q[0] not in (205, 206, 207))
+    one = boxes.box_join(p, b.select(*boxes.BOUNDS), AXES, **options)
+    assert one.columns == ["id", "x", "y", "z", *boxes.BOUNDS] and one.count() == len(got)
+
+
+def test_points_and_boxes_are_shuffled_once(given):
+    _, _, p, b = given
+    plan = boxes.box_join(p, b, AXES, broadcast_cells=0, heavy_points=7).select("box_id", "id")._jdf.queryExecution().executedPlan().toString()
+    by_cell = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "_cell" in line]
+    assert len(by_cell) == 2

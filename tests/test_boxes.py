@@ -124,3 +124,31 @@ def test_points_and_boxes_are_shuffled_once(given):
     plan = boxes.box_join(p, b, AXES, broadcast_cells=0, heavy_points=7).select("box_id", "id")._jdf.queryExecution().executedPlan().toString()
     by_cell = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "_cell" in line]
     assert len(by_cell) == 2
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_cells": 0, "heavy_points": 7}])
+@pytest.mark.parametrize("periodic", [False, True])
+def test_box_aggregates(given, options, periodic):
+    points, found, p, b = given
+    b = b.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("box_id") % 7).cast("int"))))
+    got = boxes.box_aggregates(p, b, AXES, [F.count(F.lit(1)).alias("n"), F.min("id").alias("least")], periodic=periodic, **options)
+    held = [(q, [r[0] for r in points if inside(r[1:], q[1:], periodic)]) for q in found]
+    assert sorted(tuple(r) for r in got.select("box_id", "copy", "n", "least").collect()) == sorted((q[0], i, len(ids), min(ids)) for q, ids in held if ids for i in range(q[0] % 7 + 1))
+    assert got.columns == [*b.columns, "n", "least"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "NestedLoop" not in plan
+
+
+def test_periodic_query_aggregates_equal_boxes_once(spark, tmp_path):
+    from astrolake.plans import catalog
+
+    spark.createDataFrame([(i, i % 40, float(i * 37 % 20000)) for i in range(900)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    # bounds repeat every lcm(1024, 300) keys: fifty boxes, four times
+    spark.range(50).selectExpr("explode(transform(sequence(0, 3), i -> id * 100 + i * 76800)) AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalog.box_join_periodic(spark, str(tmp_path))
+    rows = {r["box_id"]: (r["n_rows"], r["least"]) for r in got.collect()}
+    assert len(rows) >= 40 and all(rows.get(k % 76800) == v for k, v in rows.items())
+    assert {k % 76800 + 76800 * i for k in rows for i in range(4)} == set(rows)
+    # the join of points with cells comes after boxes have been made distinct, below the join with all boxes
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2 and "Generate explode(_b" not in plan

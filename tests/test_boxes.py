@@ -152,3 +152,28 @@ def test_periodic_query_aggregates_equal_boxes_once(spark, tmp_path):
     # the join of points with cells comes after boxes have been made distinct, below the join with all boxes
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 2 and "Generate explode(_b" not in plan
+
+
+def test_pairs_are_small_when_written(spark, tmp_path):
+    rng = random.Random(3)
+    place = lambda low, high: rng.randrange(low * 100, high * 100) / 100
+    points = [(i, *[place(64, 96) for _ in range(3)]) for i in range(1500)]
+    low = [[place(60, 80) for _ in range(3)] for _ in range(400)]
+    found = [(i + 1000 * copy, *[v for a in low[i] for v in (a, a + 14.0)]) for copy in range(70) for i in range(400)]
+    p, b = spark.createDataFrame(points, "id long, x double, y double, z double"), spark.createDataFrame(found, "box_id long, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double")
+    boxes.box_join(p, b, AXES, broadcast_cells=0).select("box_id", "id").write.parquet(f"{tmp_path}/pairs")
+    got = spark.read.parquet(f"{tmp_path}/pairs")
+    held = sum(inside(r[1:], [v for a in q for v in (a, a + 14.0)], False) for q in low for r in points)
+    assert got.count() == got.distinct().count() == 70 * held > 1_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 70 * held
+
+
+@pytest.mark.parametrize("depth", [0, 2])
+def test_blocks_are_bounded(given, depth):
+    points, _, p, _ = given
+    keyed = boxes.point_cells(p, AXES, [boxes.TILE, 8]).withColumn("_key", F.lit(0)).withColumn("_depth", F.lit(depth))
+    blocks = boxes._blocks(keyed, ["_cell", "_level", "_key"], 0.0, 256.0, most=7)
+    rows = blocks.select("_level", "_min_x", "_max_x", "_x", "_z", F.col("_p0.value").alias("ids")).collect()
+    assert max(len(r["ids"]) for r in rows) == 7 and all(len(r["ids"]) == len(r["_x"]) == len(r["_z"]) for r in rows)
+    assert all(r["_min_x"] <= x <= r["_max_x"] for r in rows for x in r["_x"])
+    assert sorted((r["_level"], i) for r in rows for i in r["ids"]) == sorted((n, r[0]) for n in (boxes.TILE, 8) for r in points if r[0] not in (503, 504))

@@ -177,3 +177,10 @@ def test_blocks_are_bounded(given, depth):
     assert max(len(r["ids"]) for r in rows) == 7 and all(len(r["ids"]) == len(r["_x"]) == len(r["_z"]) for r in rows)
     assert all(r["_min_x"] <= x <= r["_max_x"] for r in rows for x in r["_x"])
     assert sorted((r["_level"], i) for r in rows for i in r["ids"]) == sorted((n, r[0]) for n in (boxes.TILE, 8) for r in points if r[0] not in (503, 504))
+
+
+def test_lists_of_boxes_are_cut_by_eights(spark):
+    b = spark.range(300).selectExpr("id AS box_id", *[f"{v}D AS {c}" for c, v in zip(boxes.BOUNDS, (0, 1) * 3, strict=True)])
+    lists = [[r["box_id"] for r in row["_copies"]] for row in boxes.copies(b).collect()]
+    assert sorted(map(len, lists)) == [300 % boxes.LISTED, boxes.LISTED, boxes.LISTED] and boxes.LISTED % 8 == 0
+    assert sorted(sum(lists, [])) == list(range(300))
